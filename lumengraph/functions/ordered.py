@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumengraph.session import cut
+
 BUCKET = "_bucket"
 
 
@@ -78,7 +80,8 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, name: st
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """The middle value (or the mean of the two middle ones) of each group."""
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    # Read four times below: written once instead of computed four times.
+    counts = cut(df.groupBy(*keys, value).agg(F.count("*").alias("_n")))
     run = running_totals(
         with_buckets(counts, keys, value), keys, [F.col(value)], {"_upto": F.col("_n")}
     ).drop(BUCKET)

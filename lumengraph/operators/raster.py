@@ -12,11 +12,14 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumengraph.functions import colour
+from lumengraph.session import cut
 
 KEYS = ("image_id", "y", "height", "width")
 CHANNELS = ("r", "g", "b")
@@ -119,6 +122,9 @@ def _pad_line(values: Column, width: Column, k: int, border: str) -> Column:
     if border == "reflect101":
         left, right = F.slice(values, 2, k), F.slice(values, width - k, k)
         return F.concat(F.reverse(left), values, F.reverse(right))
+    if border == "symmetric":
+        left, right = F.slice(values, 1, k), F.slice(values, width - k + 1, k)
+        return F.concat(F.reverse(left), values, F.reverse(right))
     if border == "nearest":
         left, right = F.get(values, F.lit(0)), F.get(values, width - 1)
         return F.concat(F.array_repeat(left, k), values, F.array_repeat(right, k))
@@ -135,6 +141,9 @@ def _virtual_lines(above: int, below: int, border: str) -> Column:
     if border == "reflect101":
         top = F.when((y >= 1) & (y <= above), F.array(-y))
         bottom = F.when((y >= h - 1 - below) & (y <= h - 2), F.array((h - 1) * 2 - y))
+    elif border == "symmetric":
+        top = F.when(y < above, F.array(-y - 1))
+        bottom = F.when(y >= h - below, F.array(h * 2 - 1 - y))
     elif border in ("nearest", "zero"):
         top = F.when(y == 0, F.array(*[F.lit(-i) for i in range(1, above + 1)])) if above else None
         bottom = F.when(y == h - 1, F.array(*[h - 1 + i for i in range(1, below + 1)])) if below else None
@@ -387,14 +396,46 @@ _GRAYS = 1 << 14  # working gray levels
 _BINS = 256
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _tile_curve(bins: pd.Series, counts: pd.Series, area: pd.Series, clip: pd.Series) -> pd.Series:
+    """Gray curve of a tile from its (at most 256) histogram cells."""
+    out = []
+    for b, n, a, c in zip(bins, counts, area, clip):
+        hist = np.zeros(_BINS, dtype=np.int64)
+        hist[np.asarray(b)] = np.asarray(n)
+        limit = max(int(c * a), 1)
+        surplus = int(np.maximum(hist - limit, 0).sum())
+        hist = np.minimum(hist, limit)
+        share = surplus // _BINS
+        raised = np.minimum(hist + share, limit)
+        surplus -= int((raised - hist).sum())
+        hist = raised
+        # The rest goes out one by one, to bins spaced evenly over the ones with room.
+        while surplus > 0:
+            before = surplus
+            for start in range(_BINS):
+                room = hist < limit
+                step = max(1, int(room.sum()) // surplus)
+                chosen = np.arange(start, _BINS, step)
+                chosen = chosen[room[chosen]]
+                hist[chosen] += 1
+                surplus -= len(chosen)
+                if surplus <= 0:
+                    break
+            if surplus == before:
+                break
+        rising = np.cumsum(hist) * ((_GRAYS - 1) / a)
+        out.append(np.minimum(rising, _GRAYS - 1).astype(np.int32))
+    return pd.Series(out)
+
+
 def equalize_adaptive(strips: DataFrame, clip_limit: float = 0.03, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """Contrast-limited adaptive histogram equalisation of the HSV value channel.
 
     Output channels are doubles in [0, 1]. The image is cut into tiles of an eighth
     of its size; a tile histogram is clipped, its surplus spread over the bins, and
     its running share becomes a gray curve. A pixel blends the curves of the four
-    tiles around it. What is left of the surplus after the even spread goes to the
-    lowest unclipped bins.
+    tiles around it.
     """
     top = lambda r, g, b: F.greatest(r, g, b) / 255.0
     work = map_strips(strips, "v", top, channels)
@@ -435,49 +476,11 @@ def equalize_adaptive(strips: DataFrame, clip_limit: float = 0.03, channels: Seq
         .agg(F.count("*").cast("int").alias("n"))
     )
     bins = F.sequence(F.lit(0), F.lit(_BINS - 1))
-    hist = cells.groupBy("image_id", "th", "tw", "ty", "tx").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found")
+    tiles = cells.groupBy("image_id", "th", "tw", "ty", "tx").agg(
+        F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts")
     )
-    hist = hist.withColumn("hist", F.transform(bins, lambda i: F.coalesce(F.try_element_at(F.col("found"), i), F.lit(0))))
-    limit = F.greatest(F.lit(1), F.floor(F.lit(clip_limit) * F.col("th") * F.col("tw")).cast("int"))
-    hist = hist.withColumn("limit", limit)
-    add = lambda acc, v: acc + v
-    total = lambda arr: F.aggregate(arr, F.lit(0), add)
-    over = total(F.transform("hist", lambda n: F.greatest(n - F.col("limit"), F.lit(0))))
-    hist = hist.withColumn("surplus", over).withColumn("share", F.floor(F.col("surplus") / _BINS).cast("int"))
-    raised = F.transform("hist", lambda n: F.least(F.col("limit"), F.least(n, F.col("limit")) + F.col("share")))
-    hist = hist.withColumn("raised", raised)
-    hist = hist.withColumn(
-        "rest",
-        F.col("surplus") - total("raised") + total(F.transform("hist", lambda n: F.least(n, F.col("limit")))),
-    )
-    # Bins take the rest in order, each up to its room.
-    room = F.aggregate(
-        "raised",
-        F.struct(F.col("rest").alias("left"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct(
-            (acc["left"] - F.least(F.col("limit") - n, acc["left"])).alias("left"),
-            F.concat(acc["out"], F.array(n + F.least(F.col("limit") - n, acc["left"]))).alias("out"),
-        ),
-    )["out"]
-    hist = hist.withColumn("filled", room)
-    curve = F.aggregate(
-        "filled",
-        F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct(
-            (acc["sum"] + n).alias("sum"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.least(
-                        F.lit(_GRAYS - 1),
-                        F.floor((acc["sum"] + n) * (F.lit(float(_GRAYS - 1)) / (F.col("th") * F.col("tw")))).cast("int"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    curves = hist.select("image_id", "ty", "tx", curve.alias("curve"))
+    curve = _tile_curve("bins", "counts", F.col("th") * F.col("tw"), F.lit(float(clip_limit)))
+    curves = tiles.select("image_id", "ty", "tx", curve.alias("curve"))
     # Each line blends two tile rows; the curves of a tile row are one array.
     rows = curves.groupBy("image_id", "ty").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tx", "curve"))), lambda s: s["curve"]).alias("curves"),
@@ -509,7 +512,8 @@ def equalize_adaptive(strips: DataFrame, clip_limit: float = 0.03, channels: Seq
             + pick("curves1", right) * (F.col("fy") * fx)
         )
 
-    work = work.withColumn("eq", F.transform("bin", blend))
+    # Written once: the range of the result and the result itself both need it.
+    work = cut(work.select(*KEYS, *channels, F.transform("bin", blend).alias("eq")))
     final = work.groupBy("image_id").agg(
         F.min(F.array_min("eq")).alias("eq_lo"), F.max(F.array_max("eq")).alias("eq_hi")
     )

@@ -189,7 +189,7 @@ def _lbp_sql(body: str) -> str:
     UNION ALL SELECT image_id, radius, n, 'uniform',
       CASE WHEN bit_count(xor(raw, raw >> 1) & ((1::BIGINT << (radius*8-1)) - 1)) <= 2 THEN bit_count(raw) ELSE radius*8+1 END FROM cnt
     UNION ALL SELECT image_id, radius, n, 'ror',
-      list_min(list_transform(range(0, radius*8), k -> ((raw >> k) | (raw << (radius*8-k))) & ((1::BIGINT << (radius*8)) - 1))) FROM cnt)
+      list_min(list_transform(range(0, radius*8), lambda k: ((raw >> k) | (raw << (radius*8-k))) & ((1::BIGINT << (radius*8)) - 1))) FROM cnt)
   GROUP BY image_id, radius, method, code)""",
         """span AS (
   SELECT image_id, radius, method, sum(n) AS size,
