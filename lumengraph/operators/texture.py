@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from lumengraph.functions import colour
 from lumengraph.operators import raster
 from lumengraph.operators.raster import horizontal_pass, vertical_pass, weighted, with_neighbours
+from lumengraph.operators.regions import label_regions
+from lumengraph.session import cut
 
 # --- co-occurrence ----------------------------------------------------------------------------
 
@@ -520,3 +522,84 @@ def wavelet_statistics(coefficients: DataFrame) -> DataFrame:
         flat_zero(F.col("kurt") * std4 / (std4 + 1e-10)).alias("kurtosis"),
         flat_zero(F.col("skew") * std3 / (std3 + 1e-10)).alias("skewness"),
     )
+
+
+# --- edges -----------------------------------------------------------------------------------
+
+EDGE_THRESHOLDS = (50, 100, 150)
+# Tangent of 22.5 degrees in 15-bit fixed point.
+_TAN_22 = 13573
+WEAK, STRONG = 1, 2
+
+
+def edge_candidates(strips: DataFrame, column: str = "gray", mask: str | None = None) -> DataFrame:
+    """Strips with ``class_<t>``: 0 none, 1 weak, 2 strong, after thinning ridges.
+
+    A pixel is a ridge if its gradient magnitude (sum of both absolute derivatives) is
+    not below that of its two neighbours across the edge. Weak starts at half of t.
+    """
+    keep = [mask] if mask else []
+    bytes_ = strips.withColumn(column, F.transform(column, lambda v: F.floor(v * 255.0).cast("int")))
+    near = with_neighbours(bytes_, [column], 1, 1, border="nearest", keep=keep)
+    deriv, smooth = SOBEL[3]
+    width = F.col("width")
+    tall = near.select(
+        *raster.KEYS, *keep,
+        vertical_pass(F.col(column), smooth, width + 2).alias("s"),
+        vertical_pass(F.col(column), deriv, width + 2).alias("d"),
+    )
+    both = tall.select(
+        *raster.KEYS, *keep,
+        horizontal_pass(F.col("s"), deriv, width).alias("dx"),
+        horizontal_pass(F.col("d"), smooth, width).alias("dy"),
+    ).withColumn("mag", F.zip_with("dx", "dy", lambda a, b: F.abs(a) + F.abs(b)))
+    ring = with_neighbours(both, ["mag"], 1, 1, border="zero", keep=["dx", "dy", *keep])
+    at = lambda x, dy, dx: F.get(F.get(F.col("mag"), F.lit(1 + dy)), x + (1 + dx))
+
+    def ridge(s: Column, x: Column) -> Column:
+        m = at(x, 0, 0)
+        across, down = F.abs(s["dx"]), F.abs(s["dy"]) * 32768
+        flat = across * _TAN_22
+        steep = flat + across * 65536
+        beside = (m > at(x, 0, -1)) & (m >= at(x, 0, 1))
+        above = (m > at(x, -1, 0)) & (m >= at(x, 1, 0))
+        falling = (m > at(x, -1, 1)) & (m > at(x, 1, -1))
+        rising = (m > at(x, -1, -1)) & (m > at(x, 1, 1))
+        opposite = (s["dx"] < 0) != (s["dy"] < 0)
+        peak = F.when(down < flat, beside).when(down > steep, above).when(opposite, falling).otherwise(rising)
+        return F.when(peak, m).otherwise(F.lit(0.0))
+
+    lines = ring.withColumn("ridge", F.transform(F.arrays_zip("dx", "dy"), ridge))
+    graded = lambda t: F.transform(
+        "ridge", lambda m: F.when(m > t, STRONG).when(m > t // 2, WEAK).otherwise(0)
+    )
+    return lines.select(*raster.KEYS, *keep, *[graded(t).alias(f"class_{t}") for t in EDGE_THRESHOLDS])
+
+
+def edge_ratios(strips: DataFrame, column: str = "gray", mask: str | None = None) -> DataFrame:
+    """``canny_edge_ratio_t*``: edge pixels over mask pixels for each threshold.
+
+    An edge is a connected stretch of candidates with at least one strong pixel. All
+    thresholds go through one labelling, as separate pictures.
+    """
+    inside = F.size(F.filter(mask, lambda m: m)) if mask else F.col("width")
+    size = strips.groupBy("image_id").agg(F.sum(inside).alias("size"))
+    cells = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"class_{t}").alias("class")) for t in EDGE_THRESHOLDS])
+    graded = cut(edge_candidates(strips, column, mask).select(*raster.KEYS, F.inline(cells)))
+    graded = graded.withColumn("image_id", F.struct("image_id", "t")).drop("t")
+    marked = graded.withColumn("edge", F.transform("class", lambda c: c > 0))
+    runs = label_regions(marked.drop("class"), "edge")
+    held = runs.join(graded.select("image_id", "y", "class"), ["image_id", "y"]).select(
+        "image_id", "region", (F.col("x1") - F.col("x0") + 1).alias("n"),
+        F.array_max(F.slice("class", F.col("x0") + 1, F.col("x1") - F.col("x0") + 1)).alias("top"),
+    )
+    edges = held.groupBy("image_id", "region").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(
+        F.col("top") == STRONG
+    )
+    found = edges.groupBy(F.col("image_id.image_id").alias("image_id")).agg(
+        *[F.sum(F.when(F.col("image_id.t") == t, F.col("n")).otherwise(0)).alias(f"n_{t}") for t in EDGE_THRESHOLDS]
+    )
+    return size.join(found, "image_id", "left").select(
+        "image_id",
+        *[(F.coalesce(f"n_{t}", F.lit(0)) / F.col("size")).alias(f"canny_edge_ratio_t{t}") for t in EDGE_THRESHOLDS],
+    )

@@ -258,7 +258,7 @@ def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.with_(
         sql.RECORDS,
         body="""SELECT CAST(analysis_id AS BIGINT) AS image_id,
-  CASE WHEN predicted_class = 1 OR CAST(analysis_id AS BIGINT) % 4 > 0
+  CASE WHEN probability > 0.1
     THEN '{"status":200,"message":"Image processed successfully","data":{"probability":' || CAST(CAST(floor(probability * 100) / 100 AS DOUBLE) AS VARCHAR)
       || ',"risk_level":"' || CASE WHEN CAST(floor(probability * 100) / 100 AS DOUBLE) > 0.5 THEN 'HIGH' ELSE 'LOW' END || '","validation":"' || batch || '"}}'
     ELSE '{"status":400,"message":"Invalid input image","details":"' || batch || '"}' END AS payload FROM rec""",
@@ -268,7 +268,7 @@ def api_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir).select(
         F.col("analysis_id").cast("bigint").alias("image_id"),
         (F.floor(F.col("probability") * 100) / 100.0).alias("probability"),
-        ((F.col("predicted_class") == 1) | (F.col("analysis_id").cast("bigint") % 4 > 0)).alias("is_valid"),
+        (F.col("probability") > 0.1).alias("is_valid"),
         F.col("batch").alias("validation"),
     )
     return results.api_payload(rows)

@@ -361,6 +361,49 @@ def wavelet_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(texture.wavelet_statistics(texture.wavelet_coefficients(strips)))
 
 
+_SOBEL_3 = {n: m for n, m in _sobel_kernels().items() if n.endswith("3")}
+
+
+def _canny_sql() -> str:
+    clamp = lambda p, n: f"least(greatest({p}, 0), {n} - 1)"
+    rows = [(dy, dx, _SOBEL_3["gx3"][dy + 1][dx + 1], _SOBEL_3["gy3"][dy + 1][dx + 1]) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    return sql.with_(
+        sql.RASTER,
+        f"gp AS MATERIALIZED (SELECT image_id, y, x, floor({sql.GRAY}*255.0::DOUBLE) AS v FROM pix)",
+        sql.values("tp", "dy, dx, kx, ky", rows),
+        f"""toq AS MATERIALIZED (SELECT p.image_id, p.y, p.x, {clamp('p.y+tp.dy', 's.h')} AS qy, {clamp('p.x+tp.dx', 's.w')} AS qx, kx, ky
+  FROM gp p JOIN dims s USING (image_id) CROSS JOIN tp)""",
+        """gr AS MATERIALIZED (SELECT t.image_id, t.y, t.x, sum(q.v*kx) AS dx, sum(q.v*ky) AS dy, abs(sum(q.v*kx)) + abs(sum(q.v*ky)) AS m
+  FROM toq t JOIN gp q ON q.image_id = t.image_id AND q.y = t.qy AND q.x = t.qx GROUP BY t.image_id, t.y, t.x)""",
+        "o9(dy, dx) AS (SELECT r.i - 1, c.i - 1 FROM range(0, 3) AS r(i), range(0, 3) AS c(i))",
+        """nbr AS MATERIALIZED (SELECT p.image_id, p.y, p.x, o.dy AS oy, o.dx AS ox, p.y + o.dy AS qy, p.x + o.dx AS qx FROM gr p, o9 o)""",
+        """ring AS MATERIALIZED (SELECT n.image_id, n.y, n.x, """
+        + ", ".join(
+            f"coalesce(max(CASE WHEN n.oy = {dy} AND n.ox = {dx} THEN q.m END), 0) AS m_{dy + 1}{dx + 1}" for dy in (-1, 0, 1) for dx in (-1, 0, 1)
+        )
+        + """ FROM nbr n LEFT JOIN gr q ON q.image_id = n.image_id AND q.y = n.qy AND q.x = n.qx GROUP BY n.image_id, n.y, n.x)""",
+        """pk AS MATERIALIZED (SELECT r.image_id, r.y, r.x, CASE WHEN
+    CASE WHEN abs(g.dy)*32768 < abs(g.dx)*13573 THEN m_11 > m_10 AND m_11 >= m_12
+      WHEN abs(g.dy)*32768 > abs(g.dx)*13573 + abs(g.dx)*65536 THEN m_11 > m_01 AND m_11 >= m_21
+      WHEN (g.dx < 0) <> (g.dy < 0) THEN m_11 > m_02 AND m_11 > m_20
+      ELSE m_11 > m_00 AND m_11 > m_22 END THEN m_11 ELSE 0 END AS m
+  FROM ring r JOIN gr g USING (image_id, y, x))""",
+        "cl AS MATERIALIZED (SELECT image_id, t.t, y, x, m > t.t AS strong FROM pk, (VALUES (50), (100), (150)) AS t(t) WHERE m > t.t // 2)",
+        """ed AS (SELECT image_id, t, y, x FROM cl WHERE strong
+  UNION SELECT c.image_id, c.t, c.y, c.x FROM ed e, o9 o, cl c WHERE c.image_id = e.image_id AND c.t = e.t AND c.y = e.y + o.dy AND c.x = e.x + o.dx)""",
+        "sz AS (SELECT image_id, count(*) AS n FROM pix GROUP BY image_id)",
+        recursive=True,
+        body="SELECT s.image_id, "
+        + ", ".join(sql.r(f"count(CASE WHEN e.t = {t} THEN 1 END)::DOUBLE / any_value(s.n)") + f" AS canny_edge_ratio_t{t}" for t in (50, 100, 150))
+        + " FROM sz s LEFT JOIN ed e ON e.image_id = s.image_id GROUP BY s.image_id",
+    )
+
+
+@query("H10_canny_ratio", _canny_sql())
+def canny_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(texture.edge_ratios(raster.gray_strips(tables.raster(spark, sf_dir))))
+
+
 # --- shape -----------------------------------------------------------------------------------
 
 _POINTS = (

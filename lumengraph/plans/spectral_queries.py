@@ -163,14 +163,13 @@ def spectral_band_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     "G10_default_spectral",
     sql.with_(
         _POWER,
-        """some AS (SELECT image_id, max(sqrt(power)) AS amplitude FROM pow WHERE image_id % 2 = 0 GROUP BY image_id)""",
-        body=f"""SELECT n.image_id, {sql.r('coalesce(s.amplitude, 0.0)')} AS spectral_amplitude
-FROM (SELECT DISTINCT image_id FROM nodes) n LEFT JOIN some s USING (image_id)""",
+        "peak AS (SELECT image_id, max(sqrt(power)) AS v FROM pow GROUP BY image_id)",
+        body=f"SELECT image_id, {sql.r('CASE WHEN v > 50 THEN v ELSE 0.0 END')} AS spectral_amplitude FROM peak",
     ),
 )
 def default_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures of every second graph are taken away; their places get the defaults."""
+    """Small peaks are taken away; their places get the default."""
     nodes, power = _power(spark, sf_dir)
     peaks = spectral.band_peak(power)
-    lost = peaks.withColumn("spectral_amplitude", F.when(F.col("image_id") % 2 == 0, F.col("spectral_amplitude")))
+    lost = peaks.withColumn("spectral_amplitude", F.when(F.col("spectral_amplitude") > 50, F.col("spectral_amplitude")))
     return rounded(measures.with_defaults(lost, spectral.SPECTRAL_DEFAULTS))
