@@ -19,12 +19,12 @@ LAB = ("l", "a", "b")
 def lab_strips(strips: DataFrame, color_input: str = "rgb") -> DataFrame:
     """Strips of Lab channels.
 
-    ``rgb`` takes byte channels. ``lab`` takes channels that already are normalised Lab
-    in [0, 1] and converts them once more as if they were RGB, as the original dataflow
-    does.
+    ``rgb`` takes byte channels, ``unit`` takes channels in [0, 1]. The original dataflow
+    hands normalised Lab channels to this step as if they were RGB; ``unit`` on such
+    channels repeats that.
     """
     scale = 255.0 if color_input == "rgb" else 1.0
-    if color_input not in ("rgb", "lab"):
+    if color_input not in ("rgb", "unit"):
         raise ValueError(f"unknown colour input {color_input!r}")
     names = ("r", "g", "b")
     part = lambda i: lambda r, g, b: colour.rgb_to_lab(r / scale, g / scale, b / scale)[i]

@@ -488,7 +488,8 @@ def wavelet_coefficients(strips: DataFrame, column: str = "gray", levels: int =
     out = None
     bands = {"horizontal": "da", "vertical": "ad", "diagonal": "dd"}
     for step in range(levels):
-        done = wavelet_step(current, "aa")
+        # Written per level: the bands of this level and the next level both read it.
+        done = cut(wavelet_step(current, "aa"))
         rows = [
             F.struct(F.lit(b).alias("band"), F.lit(levels - step).alias("level"), F.col(c).alias("c"))
             for b, c in bands.items()

@@ -194,3 +194,33 @@ def analysis_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (p > 0.5).cast("int").alias("predicted_class"),
         F.col("event_type").alias("batch"),
     )
+
+
+def write_bitmaps(strips: DataFrame, folder: str) -> None:
+    """Write strips as BMP files ``<folder>/<class>/img_<id>.bmp`` from the tasks.
+
+    The folder must be reachable as a path by every executor. A picture is one file,
+    so its lines meet in one row.
+    """
+    line = F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda s: F.array(s["b"], s["g"], s["r"])))
+    whole = strips.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("y", line.alias("bytes")))).alias("lines"),
+        F.max("width").alias("width"), F.max("height").alias("height"),
+    )
+
+    def save(rows) -> None:
+        import os
+        import struct
+
+        for row in rows:
+            w, h = row["width"], row["height"]
+            pad = b"\0" * (-3 * w % 4)
+            body = b"".join(bytes(r["bytes"]) + pad for r in reversed(row["lines"]))
+            head = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54)
+            info = struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0)
+            place = os.path.join(folder, "melanoma" if row["image_id"] % 2 else "benign")
+            os.makedirs(place, exist_ok=True)
+            with open(os.path.join(place, f"img_{row['image_id']}.bmp"), "wb") as out:
+                out.write(head + info + body)
+
+    whole.foreachPartition(save)
