@@ -299,12 +299,12 @@ def assortativity(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS
     arcs = both_ways(edges).join(end("u", "x"), [*keys, "u"]).join(end("v", "y"), [*keys, "v"])
     # The weights of an arc play no part in the correlation, only in the strengths.
     found = arcs.groupBy(*keys).agg(
-        F.corr("x", "y").alias("r"), F.max("x").alias("hi"), F.min("x").alias("lo")
+        F.covar_pop("x", "y").alias("cov"), F.var_pop("x").alias("var"), F.max("x").alias("hi"), F.min("x").alias("lo")
     )
-    flat = (F.col("hi") - F.col("lo")) <= F.abs("hi") * 1e-12
+    # Both ends have the same spread. Equal strengths, up to rounding, leave it undefined.
+    varies = (F.col("hi") - F.col("lo")) > F.abs("hi") * 1e-12
     return nodes.select(*keys).distinct().join(found, keys, "left").select(
-        *keys,
-        F.when(F.col("r").isNull() | F.isnan("r") | flat, F.lit(0.0)).otherwise(F.col("r")).alias("assortativity"),
+        *keys, F.when(varies, F.col("cov") / F.col("var")).otherwise(F.lit(0.0)).alias("assortativity")
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,52 +164,48 @@ def segment_boundaries(strips: DataFrame, seg: str = "seg") -> DataFrame:
     return px.where(other).select("image_id", "y", (F.col("x") - 1).alias("x"))
 
 
-def enforce_connectivity(strips: DataFrame, share: float = 0.5, max_rounds: int = 20) -> DataFrame:
+def enforce_connectivity(strips: DataFrame, share: float = 0.5) -> DataFrame:
     """``image_id, y, x0, x1, seg`` runs after small fragments joined a neighbour.
 
-    A fragment smaller than ``share`` of the mean segment goes to the touching piece it
-    shares the longest border with, large pieces first; rounds go on while a fragment
-    can still move. Pieces are then numbered from 0 by their first pixel.
+    Connected pieces smaller than ``share`` of the mean segment each join the neighbour
+    they share the longest border with. Joined pieces are added up and looked at again
+    until no small one is left; their number at least halves each round. A piece is named
+    by its first pixel.
     """
-    runs = cut(regions.value_runs(strips, "seg"))
-    links = regions.run_links(runs, reach=0, same="seg")
-    pieces = connected_components(runs.select("image_id", F.col("run").alias("node")), links)
+    pieces = cut(regions.value_runs(strips, "seg"))
+    links = regions.run_links(pieces, reach=0, same="seg")
+    found = connected_components(pieces.select("image_id", F.col("run").alias("node")), links)
     runs = cut(
-        runs.join(pieces.withColumnRenamed("node", "run").withColumnRenamed("component", "piece"), ["image_id", "run"])
-    )
-    touching = cut(regions.shared_borders(runs, "piece"))
-    size = runs.groupBy("image_id", "piece").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
-    wanted = runs.groupBy("image_id").agg(
-        (F.sum(F.col("x1") - F.col("x0") + 1) / F.countDistinct("seg") * share).alias("least")
+        pieces.join(found.select("image_id", F.col("node").alias("run"), F.col("component").alias("piece")), ["image_id", "run"])
     )
-    state = cut(
-        size.join(wanted, "image_id").select(
-            "image_id", "piece", F.col("piece").alias("owner"), (F.col("n") >= F.col("least")).alias("large")
-        )
-    )
-    for _ in range(max_rounds):
-        near = state.select("image_id", F.col("piece").alias("other"), F.col("owner").alias("to"), F.col("large").alias("ok"))
-        offers = (
-            touching.join(state.where("NOT large"), ["image_id", "piece"])
-            .join(near.where("ok"), ["image_id", "other"])
-            .groupBy("image_id", "piece", "to")
-            .agg(F.sum("border").alias("border"))
+    length = F.col("x1") - F.col("x0") + 1
+    least = runs.groupBy("image_id").agg((F.sum(length) / F.countDistinct("seg") * share).alias("least"))
+    size = cut(runs.groupBy("image_id", "piece").agg(F.sum(length).alias("n")).join(least, "image_id"))
+    borders = cut(regions.shared_borders(runs, "piece"))
+    owner = size.select("image_id", "piece", F.col("piece").alias("owner"))
+    while True:
+        choice = cut(
+            borders.join(size.where("n < least").select("image_id", "piece"), ["image_id", "piece"])
             .groupBy("image_id", "piece")
-            .agg(F.max(F.struct(F.col("border"), (-F.col("to")).alias("to"))).alias("best"))
+            .agg(F.max(F.struct("border", (-F.col("other")).alias("minus"))).alias("best"))
+            .select("image_id", F.col("piece").alias("src"), (-F.col("best.minus")).alias("dst"))
         )
-        if offers.isEmpty():
+        if choice.isEmpty():
             break
-        state = cut(
-            state.join(offers, ["image_id", "piece"], "left").select(
-                "image_id", "piece",
-                F.coalesce(-F.col("best.to"), F.col("owner")).alias("owner"),
-                (F.col("large") | F.col("best").isNotNull()).alias("large"),
-            )
+        merged = connected_components(size.select("image_id", F.col("piece").alias("node")), choice)
+        name = lambda old, new: merged.select("image_id", F.col("node").alias(old), F.col("component").alias(new))  # noqa: B023, E731
+        owner = cut(owner.withColumnRenamed("owner", "_o").join(name("_o", "owner"), ["image_id", "_o"]).drop("_o"))
+        size = cut(
+            size.join(name("piece", "_p"), ["image_id", "piece"])
+            .groupBy("image_id", F.col("_p").alias("piece"))
+            .agg(F.sum("n").alias("n"), F.first("least").alias("least"))
+        )
+        borders = cut(
+            borders.join(name("piece", "_p"), ["image_id", "piece"])
+            .join(name("other", "_q"), ["image_id", "other"])
+            .where("_p <> _q")
+            .groupBy("image_id", F.col("_p").alias("piece"), F.col("_q").alias("other"))
+            .agg(F.sum("border").alias("border"))
         )
-    owned = runs.drop("seg").join(state.select("image_id", "piece", "owner"), ["image_id", "piece"])
+    owned = runs.drop("seg").join(owner, ["image_id", "piece"])
     return owned.select("image_id", "y", "x0", "x1", F.col("owner").alias("seg"))
-
-
-def default_step(height: int, width: int, n_segments: int = 20) -> float:
-    """Side of the square a segment would fill."""
-    return math.sqrt(height * width / n_segments)

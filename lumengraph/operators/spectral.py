@@ -183,17 +183,22 @@ def band_peak(power: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 # --- extreme eigenvalues -------------------------------------------------------------------------
 
+EXHAUSTED = 1e-7
+
 _EXTREMES = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
 
 
 @F.pandas_udf(_EXTREMES)
-def _tridiagonal_extremes(alpha: pd.Series, beta: pd.Series) -> pd.DataFrame:
-    """Smallest and largest eigenvalue of the small matrices of the rounds."""
+def _tridiagonal_extremes(alpha: pd.Series, beta: pd.Series, nodes: pd.Series) -> pd.DataFrame:
+    """Smallest and largest eigenvalue of the small matrices of the rounds.
+
+    Rounds beyond the number of nodes less one, or after nothing was left, are noise.
+    """
     rows = []
-    for a, b in zip(alpha, beta):
+    for a, b, n in zip(alpha, beta, nodes):
         a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-        size = len(a)
-        stop = np.flatnonzero(b[: size - 1] < 1e-9)
+        size = max(1, min(len(a), int(n) - 1))
+        stop = np.flatnonzero(b[: size - 1] < EXHAUSTED)
         size = int(stop[0]) + 1 if len(stop) else size
         values = np.linalg.eigvalsh(np.diag(a[:size]) + np.diag(b[: size - 1], 1) + np.diag(b[: size - 1], -1))
         rows.append((float(values[0]), float(values[-1])))
@@ -228,7 +233,7 @@ def extreme_eigenvalues(
     def scaled(df: DataFrame) -> DataFrame:
         """``v`` to unit length; ``beta`` is the length it had, 0 once nothing is left."""
         norm = sums(df, n2=v * v).withColumn("norm", F.sqrt("n2")).drop("n2")
-        alive = F.col("norm") > 1e-9
+        alive = F.col("norm") > EXHAUSTED
         return df.join(norm, keys).select(
             *keys, "node", "z", "old",
             F.when(alive, v / F.col("norm")).otherwise(F.lit(0.0)).alias("v"),
@@ -255,9 +260,11 @@ def extreme_eigenvalues(
         found = part if found is None else found.unionByName(part)
         state = scaled(rest)
     rows = found.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("c"))
-    ends = rows.select(*keys, _tridiagonal_extremes("c.alpha", "c.beta").alias("e"))
+    ends = rows.join(total, keys).select(
+        *keys, "n", "total", _tridiagonal_extremes("c.alpha", "c.beta", "n").alias("e")
+    )
     parts = components.select(*keys, "component").distinct().groupBy(*keys).agg(F.count("*").alias("parts"))
-    return ends.join(parts, keys).join(total, keys).select(
+    return ends.join(parts, keys).select(
         *keys,
         F.when((F.col("n") > 1) & (F.col("total") > 0), F.col("e.high")).otherwise(F.lit(0.0)).alias("spectral_radius"),
         F.when((F.col("parts") == 1) & (F.col("n") > 1), F.greatest(F.col("e.low"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("spectral_gap"),
