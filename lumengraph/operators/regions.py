@@ -7,13 +7,16 @@ region's first pixel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.operators.graph import connected_components
 from lumengraph.session import cut
 
 _SPAN = 64
+_BLOCK = 64
 
 
 def value_runs(strips: DataFrame, column: str) -> DataFrame:
@@ -62,12 +65,74 @@ def _line_overlaps(runs: DataFrame, reach: int, keep: tuple[str, ...]) -> DataFr
     return met.where(F.col("_span") == first).drop("_span")
 
 
-def run_links(runs: DataFrame, reach: int, same: str | None = None) -> DataFrame:
-    """Touching runs as edges; ``reach`` 1 also links corners, ``same`` asks for equal values."""
-    met = _line_overlaps(runs, reach, (same,) if same else ())
-    if same:
-        met = met.where(F.col(f"up_{same}") == F.col(same))
-    return met.select("image_id", F.col("up_run").alias("src"), F.col("run").alias("dst"))
+def _link_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Smallest connected run, within one block of lines, for each run of the block."""
+    rows = rows.sort_values(["y", "x0"], ignore_index=True)
+    y, x0, x1 = (rows[c].to_numpy() for c in ("y", "x0", "x1"))
+    value, reach = rows["_value"].to_numpy(), rows["_reach"].to_numpy()
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    lines = np.flatnonzero(np.r_[True, y[1:] != y[:-1], True])
+    for top, low, end in zip(lines[:-2], lines[1:-1], lines[2:]):
+        if y[low] != y[top] + 1:
+            continue
+        i, j = top, low
+        while i < low and j < end:
+            if value[i] == value[j] and x0[j] <= x1[i] + reach[i] and x1[j] >= x0[i] - reach[i]:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+            # The run that ends first meets nothing further on; with equal ends both
+            # may still touch the other's successor by a corner.
+            if x1[i] < x1[j]:
+                i += 1
+            elif x1[j] < x1[i]:
+                j += 1
+            else:
+                if i + 1 < low and value[i + 1] == value[j] and x0[i + 1] <= x1[j] + reach[j]:
+                    p, q = find(i + 1), find(j)
+                    root[max(p, q)] = min(p, q)
+                if j + 1 < end and value[j + 1] == value[i] and x0[j + 1] <= x1[i] + reach[i]:
+                    p, q = find(i), find(j + 1)
+                    root[max(p, q)] = min(p, q)
+                i, j = i + 1, j + 1
+    run = rows["run"].to_numpy()
+    return rows[["image_id", "run"]].assign(local=[run[find(i)] for i in range(len(rows))])
+
+
+def connected_runs(runs: DataFrame, value: Column, reach: Column) -> DataFrame:
+    """``runs`` with ``piece``: the smallest run connected to each run.
+
+    Runs connect to runs of equal ``value`` in the next line; ``reach`` 1 also takes
+    corners. A block of lines is a bounded group and is labelled in one task; only the
+    labels that touch across block edges go through the distributed rounds.
+    """
+    id_type = runs.schema["image_id"].dataType.simpleString()
+    work = runs.withColumns({"_value": value, "_reach": reach, "_block": F.floor(F.col("y") / _BLOCK).cast("int")})
+    local = cut(
+        work.groupBy("image_id", "_block").applyInPandas(_link_in_block, f"image_id {id_type}, run bigint, local bigint")
+    )
+    labelled = work.join(local, ["image_id", "run"])
+    edge = labelled.where((F.col("y") % _BLOCK == 0) | ((F.col("y") + 1) % _BLOCK == 0))
+    met = _line_overlaps(edge, 1, ("_value", "_reach", "local", "_block"))
+    close = (F.col("x0") <= F.col("up_x1") + F.col("_reach")) & (F.col("x1") >= F.col("up_x0") - F.col("_reach"))
+    crossing = cut(
+        met.where((F.col("up__block") != F.col("_block")) & (F.col("up__value") == F.col("_value")) & close)
+        .select("image_id", F.col("up_local").alias("src"), F.col("local").alias("dst"))
+        .distinct()
+    )
+    out = runs.join(local, ["image_id", "run"])
+    if crossing.isEmpty():
+        return out.withColumnRenamed("local", "piece")
+    ends = crossing.select("image_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    merged = connected_components(ends, crossing)
+    merged = merged.select("image_id", F.col("node").alias("local"), F.col("component").alias("merged"))
+    return out.join(merged, ["image_id", "local"], "left").withColumn("piece", F.coalesce("merged", "local")).drop("local", "merged")
 
 
 def shared_borders(runs: DataFrame, label: str) -> DataFrame:
@@ -87,8 +152,7 @@ def shared_borders(runs: DataFrame, label: str) -> DataFrame:
 def label_regions(strips: DataFrame, mask: str = "dark") -> DataFrame:
     """Runs inside the mask with ``region``: 8-connected, named by its first pixel."""
     runs = cut(value_runs(strips, mask).where(F.col(mask)).drop(mask))
-    comps = connected_components(runs.select("image_id", F.col("run").alias("node")), run_links(runs, 1))
-    return runs.join(comps.select("image_id", F.col("node").alias("run"), F.col("component").alias("region")), ["image_id", "run"])
+    return connected_runs(runs, F.lit(1), F.lit(1)).withColumnRenamed("piece", "region")
 
 
 def filled_regions(strips: DataFrame, mask: str = "dark") -> DataFrame:
@@ -104,11 +168,8 @@ def filled_regions(strips: DataFrame, mask: str = "dark") -> DataFrame:
         .withColumnRenamed(mask, "inside")
         .join(strips.groupBy("image_id").agg(F.max("y").alias("last_y"), (F.max("width") - 1).alias("last_x")), "image_id")
     )
-    links = run_links(runs.where("inside"), 1).unionByName(run_links(runs.where("NOT inside"), 0))
-    comps = connected_components(runs.select("image_id", F.col("run").alias("node")), links)
-    runs = cut(
-        runs.join(comps.select("image_id", F.col("node").alias("run"), F.col("component").alias("piece")), ["image_id", "run"])
-    )
+    side = F.col("inside").cast("int")
+    runs = cut(connected_runs(runs, side, side))
     edge = (F.col("y") == 0) | (F.col("y") == F.col("last_y")) | (F.col("x0") == 0) | (F.col("x1") == F.col("last_x"))
     open_ = runs.groupBy("image_id", "piece").agg((F.max(edge) & ~F.max("inside")).alias("open"))
     first = runs.where("run = piece").select("image_id", "piece", "y", (F.col("x0") - 1).alias("x1"))

@@ -173,11 +173,7 @@ def enforce_connectivity(strips: DataFrame, share: float = 0.5) -> DataFrame:
     by its first pixel.
     """
     pieces = cut(regions.value_runs(strips, "seg"))
-    links = regions.run_links(pieces, reach=0, same="seg")
-    found = connected_components(pieces.select("image_id", F.col("run").alias("node")), links)
-    runs = cut(
-        pieces.join(found.select("image_id", F.col("node").alias("run"), F.col("component").alias("piece")), ["image_id", "run"])
-    )
+    runs = cut(regions.connected_runs(pieces, F.col("seg"), F.lit(0)))
     length = F.col("x1") - F.col("x0") + 1
     least = runs.groupBy("image_id").agg((F.sum(length) / F.countDistinct("seg") * share).alias("least"))
     size = cut(runs.groupBy("image_id", "piece").agg(F.sum(length).alias("n")).join(least, "image_id"))

@@ -587,7 +587,7 @@ def edge_ratios(strips: DataFrame, column: str = "gray", mask: str | None = None
     size = strips.groupBy("image_id").agg(F.sum(inside).alias("size"))
     cells = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"class_{t}").alias("class")) for t in EDGE_THRESHOLDS])
     graded = cut(edge_candidates(strips, column, mask).select(*raster.KEYS, F.inline(cells)))
-    graded = graded.withColumn("image_id", F.struct("image_id", "t")).drop("t")
+    graded = graded.withColumn("image_id", F.concat_ws("#", F.col("image_id").cast("string"), "t")).drop("t")
     marked = graded.withColumn("edge", F.transform("class", lambda c: c > 0))
     runs = label_regions(marked.drop("class"), "edge")
     held = runs.join(graded.select("image_id", "y", "class"), ["image_id", "y"]).select(
@@ -597,10 +597,12 @@ def edge_ratios(strips: DataFrame, column: str = "gray", mask: str | None = None
     edges = held.groupBy("image_id", "region").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(
         F.col("top") == STRONG
     )
-    found = edges.groupBy(F.col("image_id.image_id").alias("image_id")).agg(
-        *[F.sum(F.when(F.col("image_id.t") == t, F.col("n")).otherwise(0)).alias(f"n_{t}") for t in EDGE_THRESHOLDS]
+    of, t = F.regexp_extract("image_id", "^(.*)#", 1), F.regexp_extract("image_id", "#([0-9]+)$", 1).cast("int")
+    found = edges.groupBy(of.alias("_of")).agg(
+        *[F.sum(F.when(t == v, F.col("n")).otherwise(0)).alias(f"n_{v}") for v in EDGE_THRESHOLDS]
     )
-    return size.join(found, "image_id", "left").select(
+    size = size.withColumn("_of", F.col("image_id").cast("string"))
+    return size.join(found, "_of", "left").select(
         "image_id",
         *[(F.coalesce(f"n_{t}", F.lit(0)) / F.col("size")).alias(f"canny_edge_ratio_t{t}") for t in EDGE_THRESHOLDS],
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and go on from there.
+    """Write ``df`` to the shared folder once and go on from the written table.
 
-    Used between the rounds of an iterative operator, so that neither the plan
-    nor the recomputation after a lost executor grows with the round number.
+    Used between the rounds of an iterative operator and where a result is read several
+    times, so that neither the plan nor the recomputation after a lost executor grows
+    with what came before. A written table also tells the planner its true size, so
+    small sides are broadcast and large ones are not.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/lumengraph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
