@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -257,7 +258,7 @@ def _rbf_gamma(scaled: DataFrame, setting: str | float) -> float:
 def _fit_margin(rows: DataFrame, c: float, n: int) -> LinearSVCModel:
     svc = LinearSVC(
         featuresCol="_x", labelCol="label", weightCol="weight", predictionCol="_y", rawPredictionCol="_raw",
-        regParam=1.0 / (c * n), maxIter=100, standardization=False,
+        regParam=1.0 / (c * n), maxIter=50, tol=1e-4, standardization=False,
     )
     return svc.fit(rows)
 
@@ -291,15 +292,19 @@ def train(df: DataFrame, id_col: str, params: Params | None = None, scaler: Scal
         x = fourier_features(x, gamma, params.fourier_size, params.seed)
     rows = cut(stratified_folds(scaled.withColumn("_x", array_to_vector(x)).drop("features"), id_col, 3))
     n = rows.count()
+    folds = range(rows.agg(F.max("fold")).first()[0] + 1)
+    # The fold models and the final one do not depend on each other; their jobs share the cluster.
+    parts = [rows.where(F.col("fold") != f) for f in folds] + [rows]
+    with ThreadPool(len(parts)) as pool:
+        models = pool.map(lambda part: _fit_margin(part, params.c, n), parts)
     margins = None
-    for f in range(rows.agg(F.max("fold")).first()[0] + 1):
-        part = _fit_margin(rows.where(F.col("fold") != f), params.c, n)
-        held = part.transform(rows.where(F.col("fold") == f)).select("label", "weight", vector_to_array("_raw")[1].alias("margin"))
+    for f in folds:
+        held = models[f].transform(rows.where(F.col("fold") == f)).select("label", "weight", vector_to_array("_raw")[1].alias("margin"))
         margins = held if margins is None else margins.unionByName(held)
     calibration = LogisticRegression(featuresCol="m", labelCol="label", weightCol="weight").fit(
         cut(margins.select("label", "weight", array_to_vector(F.array("margin")).alias("m")))
     )
-    return Classifier(params, scaler, _fit_margin(rows, params.c, n), calibration, gamma)
+    return Classifier(params, scaler, models[-1], calibration, gamma)
 
 
 def cross_validate(

@@ -49,7 +49,7 @@ def test_metrics_by_fold(spark, rng):
     assert one["auc"] is None and one["recall"] == 1 and one["specificity"] == 0
 
 
-def rings(spark, rng, n=400):
+def rings(spark, rng, n=300):
     """Two classes no plane can part."""
     radius = np.where(rng.integers(0, 2, n) == 1, 1.0, 2.5)
     angle = rng.uniform(0, 2 * np.pi, n)
@@ -60,7 +60,7 @@ def rings(spark, rng, n=400):
     return spark.createDataFrame(rows, "id int, features array<double>, label double")
 
 
-@pytest.mark.parametrize("params", [learn.Params("svm", fourier_size=128), learn.Params("rf", trees=10)])
+@pytest.mark.parametrize("params", [learn.Params("svm", fourier_size=64), learn.Params("rf", trees=10)])
 def test_models_learn_and_survive_storage(spark, rng, tmp_path, params):
     df = rings(spark, rng)
     model = learn.train(df, "id", params)
