@@ -29,7 +29,7 @@ def paint(runs, shape_, value):
 
 
 def test_label_regions_on_noise(spark, rng):
-    mask = rng.random((40, 150)) < 0.45  # wider than one span
+    mask = rng.random((140, 150)) < 0.45  # wider than one span, higher than two blocks
     got = paint(regions.label_regions(plane(spark, mask, "dark", "boolean")), mask.shape, "region")
     assert np.array_equal(got, flood(mask, True))
 
