@@ -29,15 +29,22 @@ def _lab_curve(t: Column) -> Column:
     return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116.0)
 
 
-def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Lab from sRGB channels in [0, 1]."""
-    lr, lg, lb = linear_light(r), linear_light(g), linear_light(b)
-    fx, fy, fz = (
+def lab_curves(lr: Column, lg: Column, lb: Column) -> tuple[Column, Column, Column]:
+    """The three response curves Lab is made of, from linear light."""
+    return tuple(
         _lab_curve((lr * m[0] + lg * m[1] + lb * m[2]) / white) for m, white in zip(RGB_TO_XYZ, D65_WHITE)
     )
+
+
+def lab_from_curves(fx: Column, fy: Column, fz: Column) -> tuple[Column, Column, Column]:
     return fy * 116.0 - 16.0, (fx - fy) * 500.0, (fy - fz) * 200.0
 
 
+def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Lab from sRGB channels in [0, 1]."""
+    return lab_from_curves(*lab_curves(linear_light(r), linear_light(g), linear_light(b)))
+
+
 def normalize_lab(lab: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
     l, a, b = lab
     return l / 100.0, (a + 128.0) / 255.0, (b + 128.0) / 255.0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumengraph.functions import colour
 from lumengraph.operators import regions
 from lumengraph.operators.graph import connected_components
-from lumengraph.operators.raster import KEYS, convolve_separable, gaussian_weights, map_strips, with_neighbours
+from lumengraph.operators.raster import KEYS, convolve_separable, gaussian_weights, with_neighbours
 from lumengraph.session import cut
 
 LAB = ("l", "a", "b")
@@ -25,12 +25,17 @@ def lab_strips(strips: DataFrame, color_input: str = "rgb") -> DataFrame:
     if color_input not in ("rgb", "unit"):
         raise ValueError(f"unknown colour input {color_input!r}")
     names = ("r", "g", "b")
-    part = lambda i: lambda r, g, b: colour.rgb_to_lab(r / scale, g / scale, b / scale)[i]
-    work = strips
-    for i, n in enumerate(LAB):
-        work = map_strips(work, f"_{n}", part(i), names)
     keep = [c for c in strips.columns if c not in (*KEYS, *names, *LAB)]
-    return work.select(*KEYS, *keep, *[F.col(f"_{n}").alias(n) for n in LAB])
+    # Three passes over a line: array expressions do not share work, and in one pass each
+    # channel would take its powers and roots anew for every curve that needs them.
+    pack = lambda values, fields: F.struct(*[v.alias(f) for v, f in zip(values, fields)])
+    light = F.transform(
+        F.arrays_zip(*names), lambda s: pack([colour.linear_light(s[n] / scale) for n in names], names)
+    )
+    curves = F.transform(light, lambda s: pack(colour.lab_curves(s["r"], s["g"], s["b"]), ("x", "y", "z")))
+    lab = F.transform(curves, lambda s: pack(colour.lab_from_curves(s["x"], s["y"], s["z"]), LAB))
+    work = strips.select(*KEYS, *keep, lab.alias("_lab"))
+    return work.select(*KEYS, *keep, *[F.col(f"_lab.{n}").alias(n) for n in LAB])
 
 
 def _grid(height: Column, width: Column, n_segments: int) -> tuple[Column, Column]:
