@@ -242,8 +242,10 @@ def extreme_eigenvalues(
 
     flat = start.join(sums(start, along=v * z), keys).withColumn("v", v - F.col("along") * z)
     state = cut(scaled(flat.withColumn("old", F.lit(0.0))).withColumn("beta", F.lit(0.0)))
+    # Rounds beyond the largest graph's nodes less one add nothing.
+    largest = total.agg(F.max("n")).first()[0] or 0
     found = None
-    for step in range(rounds):
+    for step in range(max(1, min(rounds, largest - 1))):
         product = multiply(lap, state.select(*keys, "node", "v"), ["v"], keys).withColumnRenamed("v", "w")
         met = cut(state.join(product, [*keys, "node"]))
         rest = cut(
