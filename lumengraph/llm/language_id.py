@@ -37,7 +37,7 @@ CODES = SYMBOLS**3
 #: Texts of a slice hold about as many characters, or are one text.
 SLICE_CHARS = 1 << 20
 #: The pipeline rejects texts whose best cosine is below; unrelated text is near 0.
-LEAST_COSINE = 0.1
+LEAST_COSINE = 0.05
 
 _tables: list[np.ndarray] = []
 
