@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm import exact_dedup, language_id, mixing, packing, topk, toxicity
+from lumengraph.llm import exact_dedup, language_id, mixing, packing, ppm, topk, toxicity
 from lumengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
-for _query in (op1_toxicity, op2_best_fit_packing, op5_exact_dedup, op6_source_mixing, op8_language_id, op9_exact_topk):
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
+for _query in (op1_toxicity, op2_best_fit_packing, op5_exact_dedup, op6_source_mixing, op8_language_id, op9_exact_topk, op10_lm_scoring):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op5_exact_dedup"] = r"""
