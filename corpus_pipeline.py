@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumengraph.llm import exact_dedup, language_id, mixing, packing, queries
+from lumengraph.llm import exact_dedup, jaccard_join, language_id, mixing, packing, queries
 from lumengraph.llm.common import table
 from lumengraph.session import cut
 
@@ -19,6 +19,11 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group joined by a similarity of 0.8 or more stays."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One epoch at the target weights."""
     return mixing.mix_documents(docs)
@@ -32,6 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", dedup_exact),
+    ("ngram_jaccard_join", dedup_near),
     ("source_mixing", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm import exact_dedup, language_id, mixing, packing, ppm, topk, toxicity
+from lumengraph.llm import exact_dedup, jaccard_join, language_id, mixing, packing, ppm, substring_dedup, suffix_dedup, topk, toxicity
 from lumengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -50,7 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
-for _query in (op1_toxicity, op2_best_fit_packing, op5_exact_dedup, op6_source_mixing, op8_language_id, op9_exact_topk, op10_lm_scoring):
+for _query in (op1_toxicity, op2_best_fit_packing, op3_substring_dedup, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op7_ngram_jaccard, op8_language_id, op9_exact_topk, op10_lm_scoring):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op5_exact_dedup"] = r"""
