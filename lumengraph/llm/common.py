@@ -13,8 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts. Spark's default of 10,000 rows may be gigabytes.
+BATCH_ROWS, _BATCH, _DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep batches of texts small for the session, unless it has a size of its own."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text``; null texts are empty, other columns cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

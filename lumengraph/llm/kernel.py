@@ -20,7 +20,7 @@ SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _POSITION_BITS = np.uint64(30)
 _POSITION = np.uint64((1 << 30) - 1)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengraph.llm.common import fold
+from lumengraph.llm.common import fold, small_batches
 from lumengraph.llm.kernel import mix, seeded
 
 UNKNOWN = "und"

@@ -34,7 +34,7 @@ SHARD = 1000
 #: Bits of the filter of rows: 8 MB.
 FILTER_BITS = 1 << 26
 #: Symbols that a task tells apart at a time, about.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Stands for a null id inside a run.
 NO_ID = -(1 << 63)
 
@@ -73,29 +73,33 @@ def _picks(rows: DataFrame, words: bool, window: int, gram: int) -> DataFrame:
     return rows.select("did", "key", "text").mapInArrow(find, "gram long, span long, did long, key long, low int, size int")
 
 
-def _possible(rows: DataFrame, wanted: DataFrame) -> Column:
-    """A test of (did, key): false only for rows that are not among ``wanted``."""
-    place = F.pmod(F.xxhash64("did", "key"), F.lit(FILTER_BITS))
+def _place() -> Column:
+    return F.pmod(F.xxhash64("did", "key"), F.lit(FILTER_BITS)).cast("int")
 
+
+def _filter(wanted: DataFrame) -> Callable[[pa.Array | pd.Series], np.ndarray]:
+    """A test of `_place`: false only for rows that are not among ``wanted``."""
     # the used bytes of a field of FILTER_BITS bits, however many rows there are
-    used = wanted.select(place.cast("int").alias("place")).selectExpr("place div 8 AS byte", "shiftleft(1, place % 8) AS bit")
+    used = wanted.select(_place().alias("place")).selectExpr("place div 8 AS byte", "shiftleft(1, place % 8) AS bit")
     found = used.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
     field = np.zeros(FILTER_BITS >> 3, np.uint8)
     field[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast(field)
+    shared = wanted.sparkSession.sparkContext.broadcast(field)
+    return lambda place: (shared.value[(at := place.to_numpy()) >> 3] >> (at & 7) & 1).astype(bool)
+
 
+def _maybe(test: Callable[[pa.Array | pd.Series], np.ndarray]) -> Column:
     @F.pandas_udf("boolean")
-    def test(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+    def maybe(place: pd.Series) -> pd.Series:
+        return pd.Series(test(place))
 
-    return test(place)
+    return maybe(_place())
 
 
 def _stretches(rows: DataFrame, kinds: DataFrame, words: bool, window: int) -> DataFrame:
     """``kinds`` (gram, did, key, low, size, alone) with the symbols of each span."""
     lists = cut(kinds.groupBy("did", "key").agg(F.collect_list(F.struct("low", "size", "gram", "alone")).alias("spans")))
-    near = rows.where(_possible(rows, lists)).select("did", "key", "text").dropDuplicates(["did", "key"])
+    near = rows.where(_maybe(_filter(lists))).select("did", "key", "text").dropDuplicates(["did", "key"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,20 +193,27 @@ def remove_repeats(docs: DataFrame, words: bool, window: int, gram: int, resolve
     """doc_id and what ``report`` says of each row."""
     rows = _keyed(docs)
     runs = cut(repeated_runs(rows, words, window, gram, resolve))
-    flagged = rows.withColumn("near", _possible(rows, runs))
+    test = _filter(runs)
     names = [part.split()[0] for part in schema.split(", ")]
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(doc_id: pa.Array, text: pa.Array, own: list[list[dict] | None]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for first, end, data, bounds in slices(text):
+            _, edges, found = _symbols(data, bounds, words)
+            out += report(data, bounds, _covered(own[first:end], edges, window), edges, found)
+        columns = [pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string() if n.endswith("256") else pa.int64()) for n in names]
+        return pa.RecordBatch.from_arrays([doc_id, *columns], ["doc_id", *names])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("runs").to_pylist()
-            out: list[tuple] = []
-            for first, end, data, bounds in slices(batch.column("text")):
-                _, edges, found = _symbols(data, bounds, words)
-                out += report(data, bounds, _covered(own[first:end], edges, window), edges, found)
-            columns = [pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string() if n.endswith("256") else pa.int64()) for n in names]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
-
-    none = F.lit(None).cast("array<struct<low:int,size:int>>").alias("runs")
-    alone = flagged.where("not near").select("doc_id", "text", none)
-    near = flagged.where("near").join(runs, ["did", "key"], "left").select("doc_id", "text", "runs")
-    return alone.mapInArrow(tell, f"doc_id long, {schema}").unionByName(near.mapInArrow(tell, f"doc_id long, {schema}"))
+            alone = pa.array(~test(batch.column("place")))
+            doc_id, text = (batch.column(c).filter(alone) for c in ("doc_id", "text"))
+            yield tell(doc_id, text, [None] * len(text))
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield tell(batch.column("doc_id"), batch.column("text"), batch.column("runs").to_pylist())
+
+    alone = rows.select("doc_id", "text", _place().alias("place")).mapInArrow(whole, f"doc_id long, {schema}")
+    near = rows.where(_maybe(test)).join(runs, ["did", "key"], "left").select("doc_id", "text", "runs")
+    return alone.unionByName(near.mapInArrow(partly, f"doc_id long, {schema}"))
