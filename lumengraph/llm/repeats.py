@@ -164,7 +164,9 @@ def repeated_runs(rows: DataFrame, words: bool, window: int, gram: int, resolve:
     """did, key, runs: for each row with repeated windows the (low, size) runs of their starts."""
     picks = _picks(rows, words, window, gram)
     grams = picks.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("n > 1")
-    again = cut(picks.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "gram"))
+    # written first: a join right behind the sum could not split a gram with a large share of all picks
+    grams = cut(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")))
+    again = cut(picks.join(grams, "gram"))
     whole = again.where("not mixed").select("did", "key", "low", "size")
     mixed = again.where("mixed")
     kinds = cut(mixed.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "key", "low", "size")).alias("one")))
