@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels with short cuts."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,19 +11,24 @@ from lumengraph.session import cut
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of every node of ``edges`` (a, b).
 
-    Each round every node takes the least label among its neighbours' and then its label's
-    own label, until none changes; labels only fall, and long chains halve each round.
+    Each round points every node at its least neighbour's least neighbour, if lower than
+    itself, and goes on with the edges between the nodes pointed at. The edges shrink by at
+    least half the nodes in each round; at the end the rounds' pointers are put together from
+    the last to the first.
     """
-    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        # a root that falls takes along all that point to it
-        fallen = met.where("old = node").select(F.col("node").alias("label"), F.col("label").alias("root"))
-        found = met.join(jump, "label", "left").join(fallen, "label", "left")
-        found = cut(found.select("node", "old", F.least("label", F.coalesce("further", "label"), F.coalesce("root", "label")).alias("label")))
-        if not found.where("label <> old").limit(1).count():
-            return found.select("node", "label")
-        labels = found.select("node", "label")
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds: list[DataFrame] = []
+    while not rounds or left.limit(1).count():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
+        step = cut(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")))
+        further = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        step = cut(step.join(further, "label").select("node", F.col("to").alias("label")))
+        rounds.append(step)
+        ends = [step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to")) for c in ("a", "b")]
+        moved = left.join(ends[0], "a").join(ends[1], "b").where("a_to <> b_to")
+        left = cut(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("node").alias("label"), F.col("label").alias("final"))
+        found = cut(rounds.pop().join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label")))
+    return found
