@@ -44,8 +44,10 @@ WORDS = 5
 PERCENT = 80
 #: The longest list whose pairs are listed; shingles put last in the order, at most (8 MB).
 SHORT, LAST = 16, 1 << 20
-#: Sets of a block of the search.
-BLOCK = 1000
+#: Long lists are counted over so many prefixes' lengths, as prefixes reach further without them.
+AHEAD = 2
+#: Sets of a block of the search, and their shingles, on average at most.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
 #: Bits of the filter that says which sets' shingles are fetched: 8 MB.
 FILTER_BITS = 1 << 26
 
@@ -84,12 +86,13 @@ def _can_link(a: bytes, b: bytes, total: int) -> bool:
     return 100 * (total - differ) >= PERCENT * (total + differ)
 
 
-def _prefix(shingles: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _prefix(shingles: np.ndarray, last: np.ndarray, times: int = 1) -> np.ndarray:
+    """The shingles of a prefix, or ``times`` as many."""
     n = len(shingles)
     if len(last) and n:
         late = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
         shingles = np.concatenate([shingles[~late], shingles[late]])
-    return shingles[: n - -(-PERCENT * n // 100) + 1] if n else shingles
+    return shingles[: times * (n - -(-PERCENT * n // 100) + 1)] if n else shingles
 
 
 def document_sets(rows: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def _prefixes(rows: DataFrame, last: np.ndarray, with_node: bool) -> DataFrame:
                 if node is None or node in seen:  # the same set once for a batch
                     continue
                 seen.add(node)
-                tokens.append(_prefix(shingles, shared.value))
+                tokens.append(_prefix(shingles, shared.value, 1 if with_node else AHEAD))
                 nodes.append(node)
                 sizes.append(len(shingles))
             token = pa.array(np.concatenate(tokens).view(np.int64))
@@ -323,7 +326,8 @@ def set_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     near = cut(_passing(ties.where("not long").select("a", "b"), nodes).unionByName(ties.where("long").select("a", "b")))
     groups = components(near).select("node", F.col("label").alias("grp"))
     sets = cut(groups.join(_fetch(rows, groups), "node").select("node", "grp", "shingles"))
-    sizes = sets.groupBy("grp").agg((1 + F.floor((F.count(F.lit(1)) - 1) / BLOCK)).cast("int").alias("parts"))
+    parts = F.greatest(F.floor((F.count(F.lit(1)) - 1) / BLOCK), F.floor(F.sum(F.length("shingles")) / (8 * BLOCK_SHINGLES)))
+    sizes = sets.groupBy("grp").agg((1 + parts).cast("int").alias("parts"))
     dealt = sets.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = cut(dealt)
     # each block by itself
