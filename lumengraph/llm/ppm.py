@@ -36,8 +36,8 @@ from lumengraph.session import cut
 
 ORDER = 7
 GAP, END = 0x20, 0x0A
-#: Words sent to all tasks, at most: 24 bytes each.
-FREQUENT = 1 << 20
+#: Words sent to all tasks, at most: 25 bytes each.
+FREQUENT = 1 << 19
 #: Words of a block, about; and distinct words a task keeps before it hands them on.
 BLOCK_WORDS, HELD = 150_000, 400_000
 #: Leaves that a task works on at a time.
@@ -260,14 +260,15 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     base = F.log10((F.col("n") + 0.5) / F.lit(below))
     words = words.select("hash", "n", "total", base.alias("base"), "cost")
     least = _frequent(words)
-    top = words.where(F.col("total") >= least).select("hash", "n", "base", "cost").toPandas().sort_values("hash")
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("hash", "n", "base", "cost")))
+    top = words.where(F.col("total") >= least).select("hash", (F.col("n") > 0).alias("known"), "base", "cost").toArrow()
+    order = np.argsort(top.column("hash").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("hash", "known", "base", "cost")))
+    del top, order
     end = end_hash()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with the sums over its frequent words, and one for each other distinct word."""
-        hashes, n, base_, cost = shared.value
-        known = n > 0
+        hashes, known, base_, cost = shared.value
         for batch in batches:
             ids, out = batch.column("doc_id"), batch.column("held_out")
             for first, last, data, bounds in slices(batch.column("text")):
