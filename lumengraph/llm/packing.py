@@ -34,8 +34,8 @@ BUCKET_ROWS = 20_000
 _PART = re.compile(r"[^\x20\x09-\x0D]+")
 #: What the tokenizer never joins in lower-case ASCII text without apostrophes and special tokens.
 _ASCII_PART = re.compile(r"[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
-#: Distinct parts whose ids a Python worker remembers; about 100 MB.
-_REMEMBERED = 500_000
+#: Distinct parts whose ids a Python worker remembers, about 200 MB; parts encoded in one call.
+_REMEMBERED, _TOGETHER = 1_000_000, 2000
 
 
 class _Ids(dict):
@@ -48,16 +48,24 @@ class _Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[part] = ids
+        self[part] = ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts that are one token word each, many in a call."""
+        for at in range(0, len(parts), _TOGETHER):
+            some = parts[at : at + _TOGETHER]
+            found = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            raw, edges = np.array(found.ids, "<u4").tobytes(), np.searchsorted(found.word_ids, np.arange(len(some) + 1))
+            self.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
-    def of(self, text: str) -> bytes:
-        plain = text.isascii() and "'" not in text and "<|" not in text
-        return b"".join(map(self.__getitem__, _ASCII_PART.findall(text.lower()) if plain else _PART.findall(text)))
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self) > _REMEMBERED:
+            self.clear()
+        plain = [t.isascii() and "'" not in t and "<|" not in t for t in texts]
+        parts = [_ASCII_PART.findall(t.lower()) if p else _PART.findall(t) for t, p in zip(texts, plain, strict=True)]
+        self.learn(list({part for own, p in zip(parts, plain, strict=True) if p for part in own if part not in self}))
+        return [b"".join(map(self.__getitem__, own)) for own in parts]
 
 
 _known: dict[str, _Ids] = {}
@@ -78,8 +86,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, clos
         step = 4 * capacity
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = ids.of(text.as_py()) + end
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), ids.of(batch.column("text").to_pylist()), strict=True):
+                raw += end
                 for number, at in enumerate(range(0, len(raw), step)):
                     piece = raw[at : at + step]
                     rows.append((doc, number, at // 4, len(piece) // 4, zlib.crc32(piece)))
