@@ -111,7 +111,8 @@ def leaf_plan(rows: DataFrame, weights: Mapping[str, Mapping[str, float]], share
     sums = sums.withColumn("upto", F.sum("n").over(running))
     # whole buckets fit up to the first whose end is past the rest
     ends = sums.where("upto > rest").groupBy(*LEVELS).agg(F.min("bucket").alias("edge"), F.min_by(F.col("rest") - F.col("upto") + F.col("n"), "bucket").alias("there"))
-    return leaves.join(ends, list(LEVELS), "left")
+    # a row for each leaf, written so that joins see its size: a small one is broadcast
+    return cut(leaves.join(ends, list(LEVELS), "left"))
 
 
 def select_rows(keyed: DataFrame, n_tokens: Column, seed: int) -> DataFrame:
