@@ -264,7 +264,8 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     order = np.argsort(top.column("hash").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("hash", "known", "base", "cost")))
     del top, order
-    end = end_hash()
+    close = words.where(F.col("hash") == end_hash()).first()  # none without texts
+    ending = [float(x) for x in (close["n"] > 0, close["base"], close["cost"])] if close else [0.0] * 3
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with the sums over its frequent words, and one for each other distinct word."""
@@ -280,7 +281,7 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
                 at = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
                 hit = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
                 sums = [np.bincount(row[hit], x[at[hit]].astype(np.float64), last - first) for x in (known, base_, cost)]
-                sums = [s + x[e] for s, x in zip(sums, (known, base_, cost), strict=True) if (e := np.searchsorted(hashes, end)) < len(hashes)] or sums
+                sums = [s + x for s, x in zip(sums, ending, strict=True)]
                 rest = np.unique(np.stack([row[~hit], own[~hit]], axis=1), axis=0, return_counts=True) if not hit.all() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
                 text = byte_sums(data).of(bounds[:-1], bounds[1:]).view(np.int64)
                 which = np.concatenate([np.arange(last - first), rest[0][:, 0]]) + first
