@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,18 @@ def region_graph(
 def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The 55 graph features as ``image_id, name, value``."""
     ids = ["image_id"]
-    inverse = measures.shortest_paths(nodes, measures.costs(edges, "inverse"))
-    hops = measures.shortest_paths(nodes, measures.costs(edges, "hops"))
-    lengths = measures.shortest_paths(nodes, measures.costs(edges, "weight"))
-    components = cut(graph.connected_components(nodes, edges))
-    clustering = cut(measures.clustering_weighted(nodes, edges))
+    nodes, edges = cut(nodes), cut(edges)  # every measure below reads them
+    # The loops do not depend on each other; their many small jobs share the cluster.
+    with ThreadPool(6) as pool:
+        waiting = [pool.apply_async(measures.shortest_paths, (nodes, measures.costs(edges, kind))) for kind in ("inverse", "hops", "weight")]
+        waiting.append(pool.apply_async(lambda: cut(graph.connected_components(nodes, edges))))
+        waiting.append(pool.apply_async(lambda: cut(measures.clustering_weighted(nodes, edges))))
+        waiting.append(pool.apply_async(lambda: cut(measures.betweenness(nodes, edges))))
+        inverse, hops, lengths, components, clustering, between = [w.get() for w in waiting]
     per_node = {
         "clustering": clustering,
         "strength": measures.node_strength(nodes, edges),
-        "betweenness": measures.betweenness(nodes, edges),
+        "betweenness": between,
         "closeness": measures.closeness(nodes, inverse),
     }
     values = None
@@ -67,17 +72,19 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     lap = cut(spectral.normalized_laplacian(nodes, edges))
     power = cut(spectral.band_power(spectral.chebyshev_moments(lap, nodes)))
-    wide = [
-        measures.structure_measures(nodes, edges),
-        measures.local_efficiency(nodes, edges),
-        measures.char_path_length(nodes, lengths, components),
-        measures.global_efficiency(nodes, hops),
-        spectral.extreme_eigenvalues(nodes, edges, components),
-        spectral.energies(lap),
-        spectral.mean_power(power, nodes),
-        spectral.band_entropy(power),
-        spectral.band_peak(power),
+    parts = [
+        lambda: measures.structure_measures(nodes, edges),
+        lambda: measures.local_efficiency(nodes, edges),
+        lambda: measures.char_path_length(nodes, lengths, components),
+        lambda: measures.global_efficiency(nodes, hops),
+        lambda: spectral.extreme_eigenvalues(nodes, edges, components),
+        lambda: spectral.energies(lap),
+        lambda: spectral.mean_power(power, nodes),
+        lambda: spectral.band_entropy(power),
+        lambda: spectral.band_peak(power),
     ]
+    with ThreadPool(len(parts)) as pool:
+        wide = pool.map(lambda part: cut(part()), parts)
     for table in wide:
         filled = measures.with_defaults(table, {**measures.GRAPH_DEFAULTS, **spectral.SPECTRAL_DEFAULTS})
         long = long.unionByName(assemble.long_from_wide(filled))

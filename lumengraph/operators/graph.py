@@ -140,7 +140,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("image_id",), max_rounds: int = 60
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("image_id",)
 ) -> DataFrame:
     """``keys, node, component``: the smallest node of each component.
 
@@ -152,7 +152,7 @@ def connected_components(
     arcs = edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v"))
     arcs = cut(arcs.unionByName(arcs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     state = cut(nodes.select(*keys, "node", F.col("node").alias("parent")))
-    for _ in range(max_rounds):
+    while True:
         up = state.select(*keys, F.col("node").alias("parent"), F.col("parent").alias("grand"))
         known = state.join(up, [*keys, "parent"])
         offers = arcs.join(
@@ -175,8 +175,6 @@ def connected_components(
         state = new.select(*keys, "node", "parent")
         if not changed:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return state.withColumnRenamed("parent", "component")
 
 

@@ -38,6 +38,13 @@ SEED = 42
 # --- samples ----------------------------------------------------------------------------------
 
 
+def id_number(df: DataFrame, id_col: str) -> Column:
+    """A whole number for each id: the id itself, or 32 bits of a text id's MD5."""
+    if isinstance(df.schema[id_col].dataType, T.StringType):
+        return F.conv(F.substring(F.md5(id_col), 1, 8), 16, 10).cast("bigint")
+    return F.col(id_col)
+
+
 def shuffle_key(number: Column, seed: int = SEED) -> Column:
     """A fixed pseudo-random order of whole numbers (multiplicative hashing)."""
     return F.pmod(F.pmod(number.cast("bigint"), F.lit(1 << 31)) * 2654435761 + seed * 40503, F.lit(1 << 32))
@@ -47,9 +54,9 @@ def split_dataset(df: DataFrame, id_col: str, test_share: float = 0.2, seed: int
     """Add ``part``: the first max(1, floor(n (1 - share))) rows in shuffled order train."""
     n = df.count()
     if n < 2:
-        raise ValueError("Need at least 2 samples to split the dataset")
+        raise ValueError("a split takes two rows or more")
     train = max(1, int(n * (1 - test_share)))
-    ranked = with_rank(df.withColumn("_order", shuffle_key(F.col(id_col), seed)), [], "_order", id_col, "_rank")
+    ranked = with_rank(df.withColumn("_order", shuffle_key(id_number(df, id_col), seed)), [], "_order", id_col, "_rank")
     part = F.when(F.col("_rank") <= train, F.lit("train")).otherwise(F.lit("test"))
     return ranked.withColumn("part", part).drop("_order", "_rank")
 
@@ -63,9 +70,10 @@ def fold_count(df: DataFrame, k: int, label: str = "label") -> int:
 def stratified_folds(
     df: DataFrame, id_col: str, k: int = 5, shuffle: bool = True, seed: int = SEED, label: str = "label"
 ) -> DataFrame:
-    """Add ``fold`` 0 .. k-1, each class dealt out in turn."""
+    """Add ``fold`` 0 .. k-1, each class dealt out in turn; unshuffled text ids go by their hash."""
     k = fold_count(df, k, label)
-    order = shuffle_key(F.col(id_col), seed) if shuffle else F.col(id_col).cast("bigint")
+    number = id_number(df, id_col)
+    order = shuffle_key(number, seed) if shuffle else number.cast("bigint")
     ranked = with_rank(df.withColumn("_order", order), [label], "_order", id_col, "_rank")
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_order", "_rank")
 
@@ -223,10 +231,12 @@ class Classifier:
     model: RandomForestClassificationModel | LinearSVCModel
     calibration: LogisticRegressionModel | None = None
     gamma: float = 0.0
+    #: Names of the features in use and their places in the array; none: all.
     selected: list[str] = field(default_factory=list)
+    places: list[int] = field(default_factory=list)
 
     def _inputs(self, df: DataFrame) -> DataFrame:
-        scaled = self.scaler.transform(df)
+        scaled = self.scaler.transform(chosen_features(df, self.places))
         x = F.col("features")
         if self.params.kind == "svm" and self.params.kernel == "rbf":
             x = fourier_features(x, self.gamma, self.params.fourier_size, self.params.seed)
@@ -263,16 +273,31 @@ def _fit_margin(rows: DataFrame, c: float, n: int) -> LinearSVCModel:
     return svc.fit(rows)
 
 
-def train(df: DataFrame, id_col: str, params: Params | None = None, scaler: Scaler | None = None) -> Classifier:
-    """Fit scaler and model with balanced class weights.
+def chosen_features(df: DataFrame, places: Sequence[int]) -> DataFrame:
+    """``features`` cut down to some places of the array; all if none are given."""
+    return df.withColumn("features", F.array(*[F.col("features")[p] for p in places])) if places else df
+
+
+def train(
+    df: DataFrame, id_col: str, params: Params | None = None, scaler: Scaler | None = None,
+    names: Sequence[str] = (), selected: Sequence[str] = (),
+) -> Classifier:
+    """Fit scaler and model with balanced class weights, on the ``selected`` of the ``names`` of the features.
+
+    Prediction takes the same features out of the whole array by itself.
 
     The support vector machine works on random Fourier features; its margins become
     probabilities by a logistic curve fitted to margins of rows left out of training.
     """
     params = params or Params()
     if params.kind not in ("svm", "rf"):
-        raise ValueError(f"Unsupported classifier type: {params.kind}")
+        raise ValueError(f"no classifier is called {params.kind!r}")
     require_both_classes(df)
+    places = [list(names).index(n) for n in selected]
+    if places:
+        model = train(chosen_features(df, places), id_col, params, scaler)
+        model.selected, model.places = list(selected), places
+        return model
     scaler = scaler or Scaler.fit(df)
     scaled = scaler.transform(df.select(id_col, "features", "label")).join(class_weights(df), "label")
     if params.kind == "rf":
@@ -393,12 +418,13 @@ def save_model(model: Classifier, path: str, spark: SparkSession) -> dict[str, s
         "place int, mean double, spread double",
     )
     scaler.coalesce(1).write.mode("overwrite").parquet(paths["scaler"])
-    meta = json.dumps({"params": vars(model.params), "gamma": model.gamma})
+    # What the description does not name is not read, so a folder left by another model does no harm.
+    meta = json.dumps({"params": vars(model.params), "gamma": model.gamma, "selected": bool(model.selected), "calibrated": model.calibration is not None})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     if not model.selected:
         del paths["feature_selector"]
         return paths
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(model.selected)], "place int, name string")
+    names = spark.createDataFrame(list(zip(range(len(model.selected)), model.selected, model.places)), "nth int, name string, place int")
     names.coalesce(1).write.mode("overwrite").parquet(paths["feature_selector"])
     return paths
 
@@ -411,7 +437,10 @@ def load_model(path: str, spark: SparkSession) -> Classifier:
         raise ValueError("Invalid model format")
     rows = spark.read.parquet(f"{path}/scaler").orderBy("place").collect()
     scaler = Scaler([r["mean"] for r in rows], [r["spread"] for r in rows])
+    picked = spark.read.parquet(f"{path}/feature_selector").orderBy("nth").collect() if meta.get("selected") else []
+    chosen = {"selected": [r["name"] for r in picked], "places": [r["place"] for r in picked]}
     if params.kind == "rf":
-        return Classifier(params, scaler, RandomForestClassificationModel.load(f"{path}/classifier"))
+        return Classifier(params, scaler, RandomForestClassificationModel.load(f"{path}/classifier"), **chosen)
     model = LinearSVCModel.load(f"{path}/classifier")
-    return Classifier(params, scaler, model, LogisticRegressionModel.load(f"{path}/calibration"), meta["gamma"])
+    calibration = LogisticRegressionModel.load(f"{path}/calibration") if meta.get("calibrated", True) else None
+    return Classifier(params, scaler, model, calibration, meta["gamma"], **chosen)

@@ -101,7 +101,7 @@ def costs(edges: DataFrame, kind: str) -> DataFrame:
 
 
 def shortest_paths(
-    nodes: DataFrame, arcs: DataFrame, keys: Sequence[str] = KEYS, max_rounds: int = 10_000
+    nodes: DataFrame, arcs: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Distances ``keys, s, t, d`` of all reachable pairs, the node itself included.
 
@@ -116,7 +116,7 @@ def shortest_paths(
             *keys, F.col("node").alias("s"), F.col("node").alias("t"), F.lit(0.0).alias("d"), F.lit(True).alias("new")
         )
     )
-    for _ in range(max_rounds):
+    while True:
         step = known.where("new").join(arcs, [*keys, "t"]).select(
             *keys, "s", F.col("next").alias("t"), (F.col("d") + F.col("cost")).alias("d"), F.lit(None).cast("double").alias("old")
         )
@@ -129,11 +129,10 @@ def shortest_paths(
         known = cut(merged.select(*keys, "s", "t", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("new")))
         if known.where("new").isEmpty():
             return known.drop("new")
-    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
 def betweenness(
-    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, kind: str = "inverse", max_rounds: int = 10_000
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, kind: str = "inverse"
 ) -> DataFrame:
     """Share of shortest paths through each node, scaled by (n-1)(n-2).
 
@@ -154,15 +153,13 @@ def betweenness(
     )
     wave = cut(nodes.select(*keys, F.col("node").alias("s"), F.col("node").alias("u"), F.lit(1.0).alias("c")))
     total = wave
-    for _ in range(max_rounds):
+    while True:
         wave = cut(
             wave.join(dag, [*keys, "s", "u"]).groupBy(*keys, "s", F.col("v").alias("u")).agg(F.sum("c").alias("c"))
         )
         if wave.isEmpty():
             break
         total = total.unionByName(wave)
-    else:
-        raise RuntimeError("path counts did not settle")
     paths = cut(total.groupBy(*keys, "s", "u").agg(F.sum("c").alias("c")))
     back = paths.select(*keys, "s", F.col("u").alias("v"), (F.lit(1.0) / F.col("c")).alias("g"))
     gained = None

@@ -206,15 +206,15 @@ def _tridiagonal_extremes(alpha: pd.Series, beta: pd.Series, nodes: pd.Series) -
 
 
 def extreme_eigenvalues(
-    nodes: DataFrame, edges: DataFrame, components: DataFrame, rounds: int = 20, keys: Sequence[str] = KEYS
+    nodes: DataFrame, edges: DataFrame, components: DataFrame, rounds: int | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """``spectral_radius`` and ``spectral_gap`` of each graph by Lanczos rounds.
 
     The known null vector (square roots of the strengths) is taken out of the start
     vector and of every product, so the smallest value found is the gap of a connected
     graph; a graph of several components has gap 0. Each round is one product and two
-    sums per graph. With as many rounds as nodes less one the values are exact; with
-    fewer the ends of the spectrum come first. Only the rounds' coefficients, two numbers
+    sums per graph. There are as many rounds as the largest graph's nodes less one, and the
+    values are exact; with fewer ``rounds`` the ends of the spectrum come first. Only the rounds' coefficients, two numbers
     each, meet in one row per graph.
     """
     keys = list(keys)
@@ -245,7 +245,7 @@ def extreme_eigenvalues(
     # Rounds beyond the largest graph's nodes less one add nothing.
     largest = total.agg(F.max("n")).first()[0] or 0
     found = None
-    for step in range(max(1, min(rounds, largest - 1))):
+    for step in range(max(1, largest - 1 if rounds is None else min(rounds, largest - 1))):
         product = multiply(lap, state.select(*keys, "node", "v"), ["v"], keys).withColumnRenamed("v", "w")
         met = cut(state.join(product, [*keys, "node"]))
         rest = cut(

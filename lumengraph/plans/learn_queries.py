@@ -26,6 +26,35 @@ def split_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.split_dataset(tables.scored_labels(spark, sf_dir).select("doc_id"), "doc_id")
 
 
+_TEXT_ORDER = "((CAST(('0x' || substr(md5('D' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2147483648) * 2654435761 + 42 * 40503) % 4294967296"
+
+
+@query(
+    "J1_split_text_ids",
+    sql.with_(
+        sql.SCORED,
+        body=f"""SELECT 'D' || CAST(doc_id AS VARCHAR) AS id, CASE WHEN row_number() OVER (ORDER BY {_TEXT_ORDER}, 'D' || CAST(doc_id AS VARCHAR)) <= (SELECT greatest(1, CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT)) FROM scored)
+  THEN 'train' ELSE 'test' END AS part FROM scored""",
+    ),
+)
+def split_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split over ids that are texts, as those of picture files are."""
+    named = tables.scored_labels(spark, sf_dir).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"))
+    return learn.split_dataset(named, "id")
+
+
+@query(
+    "J9_folds_text_ids",
+    sql.with_(
+        sql.SCORED,
+        body=f"""SELECT 'D' || CAST(doc_id AS VARCHAR) AS id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {_TEXT_ORDER}, 'D' || CAST(doc_id AS VARCHAR)) - 1) % 5 AS INT) AS fold FROM scored""",
+    ),
+)
+def folds_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = tables.scored_labels(spark, sf_dir).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), "label")
+    return learn.stratified_folds(named, "id")
+
+
 @query(
     "J2_standard_scale",
     sql.with_(

@@ -94,7 +94,7 @@ def split_readable(images: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def require_nonempty(images: DataFrame) -> None:
     if images.isEmpty():
-        raise ValueError("No valid images found in either directory")
+        raise ValueError("neither class has a readable picture")
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:

@@ -31,9 +31,12 @@ def read_feature_matrix(spark: SparkSession, path: str, size: int, fmt: str = "c
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None only if there is nothing there."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -133,3 +133,25 @@ def test_history_limit_and_ingest(spark):
     assert [r["stored"] for r in good.collect()] == ["20240506_070809_a.png"]
     assert {r["image_id"]: r["reason"] for r in bad.collect()} == {2: "Could not read image", 3: "bad"}
     assert counts.first().asDict() == {"saved": 3, "accepted": 1, "rejected": 2}
+
+
+def test_text_ids_and_selected_features(spark, rng, tmp_path):
+    """Ids as picture files have; the model takes its features out of the whole array, also when read back."""
+    rows = []
+    for i in range(60):
+        y = i % 2
+        rows.append((f"file:/{'ab'[y]}/{i}.png", [float(rng.normal()), 3.0 * y + float(rng.normal()) * 0.3, float(rng.normal()), 2.0 * y], float(y)))
+    df = spark.createDataFrame(rows, "image_id string, features array<double>, label double")
+    parts = learn.split_dataset(df, "image_id")
+    assert parts.where("part = 'train'").count() == 48
+    assert sorted(r["n"] for r in learn.stratified_folds(df, "image_id").groupBy("fold").count().withColumnRenamed("count", "n").collect()) == [12] * 5
+    for params in (learn.Params(kind="svm"), learn.Params(kind="rf", trees=10)):
+        model = learn.train(df, "image_id", params, names=["p", "q", "r", "s"], selected=["q", "s"])
+        learn.save_model(model, f"{tmp_path}/model", spark)
+        again = learn.load_model(f"{tmp_path}/model", spark)
+        assert again.selected == ["q", "s"] and again.places == [1, 3] and len(again.scaler.means) == 2
+        for m in (model, again):
+            assert m.predict(df).where("prediction <> label").count() == 0
+    # a model of all features over the folder of one of two reads nothing stale
+    learn.save_model(learn.train(df, "image_id", learn.Params(kind="rf", trees=10)), f"{tmp_path}/model", spark)
+    assert learn.load_model(f"{tmp_path}/model", spark).places == []
