@@ -9,6 +9,11 @@ then leaves out the bytes of the longer one (exclusion), down to all bytes being
 likely. A shorter context counts a byte once for each longer context that has it (update
 exclusion). Counts come from all training texts.
 
+Above the bytes, texts may also be read in phrases: runs of words that start where a word's
+hash is divisible by ``phrase`` (about that many words long), so that equal passages fall
+into equal phrases. A phrase of the training texts is predicted as a whole, by its count; any
+other costs one escape, by method D as well, and is spelt by its words.
+
 Steps: distinct words with counts; their byte contexts, the leaves of the context trie,
 summed over all words; leaves dealt out by the last two bytes of their context, so that one
 task has all longer contexts of a leaf (contexts of one and no byte are two small tables);
@@ -31,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.llm.common import fold, texts
-from lumengraph.llm.kernel import LOWER, Words, byte_sums, slices
+from lumengraph.llm.kernel import LOWER, Sums, Words, byte_sums, mix, slices
 from lumengraph.session import cut
 
 ORDER = 7
 GAP, END = 0x20, 0x0A
 #: Words sent to all tasks, at most: 25 bytes each.
 FREQUENT = 1 << 19
+#: Words of a phrase, on average.
+PHRASE = 32
 #: Words of a block, about; and distinct words a task keeps before it hands them on.
 BLOCK_WORDS, HELD = 150_000, 400_000
 #: Leaves that a task works on at a time.
@@ -248,8 +255,41 @@ def _frequent(words: DataFrame) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold ``held`` is held out."""
+#: Columns of the parts of a text's score: a row for each text with the sums over its frequent
+#: words, one for each distinct other word, and one for each phrase with its other words.
+_PARTS = pa.schema(
+    {
+        "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.int64(), "rows": pa.int64(), "n_tokens": pa.int64(), "known": pa.float64(), "base": pa.float64(),
+        "cost": pa.float64(), "hash": pa.int64(), "times": pa.int64(), "phrase": pa.int64(), "rare": pa.list_(pa.int64()),
+    }
+)
+_PARTS_SQL = "doc_id long, held_out boolean, text long, rows long, n_tokens long, known double, base double, cost double, hash long, times long, phrase long, rare array<long>"
+
+
+def _part(batch: pa.RecordBatch, row: np.ndarray, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Rows of `_PARTS` for some rows of ``batch``; columns not given are null."""
+    made = {"doc_id": batch.column("doc_id").take(pa.array(row)), "held_out": batch.column("held_out").take(pa.array(row)), **columns}
+    return pa.RecordBatch.from_arrays([pa.array(made[f.name]) if isinstance(made.get(f.name), np.ndarray) else made.get(f.name, pa.nulls(len(row), f.type)) for f in _PARTS], schema=_PARTS)
+
+
+def phrase_costs(phrases: DataFrame) -> DataFrame:
+    """doc_id, held_out, text, cost, rare: phrases of training texts by their count; of others, the words still to be added."""
+    counts = cut(phrases.groupBy("phrase").agg(F.count_if(~F.col("held_out")).alias("n")))
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
+    if not size["n"]:
+        return phrases.select("doc_id", "held_out", "text", "cost", "rare")
+    escape = float(np.log10(0.5 * size["kinds"] / size["n"]))
+    known = F.log10((F.col("n") - 0.5) / F.lit(float(size["n"])))
+    return phrases.join(counts, "phrase").select(
+        "doc_id", "held_out", "text", F.when(F.col("n") > 0, known).otherwise(F.col("cost") + F.lit(escape)).alias("cost"), F.when(F.col("n") == 0, F.col("rare")).alias("rare")
+    )
+
+
+def score_documents(docs: DataFrame, held: int = 1, phrase: int = 0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold ``held`` is held out.
+
+    ``phrase`` is the mean length of phrases in words; 0 for none.
+    """
     rows = texts(docs).withColumn("held_out", fold() == held)
     found = word_counts(rows.select("text", (~F.col("held_out")).alias("training")))
     ends = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.count(F.lit(1)).alias("total")).where("total > 0")
@@ -268,48 +308,50 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     ending = [float(x) for x in (close["n"] > 0, close["base"], close["cost"])] if close else [0.0] * 3
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with the sums over its frequent words, and one for each other distinct word."""
         hashes, known, base_, cost = shared.value
         for batch in batches:
-            ids, out = batch.column("doc_id"), batch.column("held_out")
             for first, last, data, bounds in slices(batch.column("text")):
                 data = LOWER[data]
                 words_ = Words(data, bounds)
-                size_ = np.diff(words_.first)
-                row = np.repeat(np.arange(last - first), size_)
-                own = words_.hashes(data).view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
-                hit = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
-                sums = [np.bincount(row[hit], x[at[hit]].astype(np.float64), last - first) for x in (known, base_, cost)]
-                sums = [s + x for s, x in zip(sums, ending, strict=True)]
-                rest = np.unique(np.stack([row[~hit], own[~hit]], axis=1), axis=0, return_counts=True) if not hit.all() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+                rows_, size_ = last - first, np.diff(words_.first)
+                row = np.repeat(np.arange(rows_), size_)
+                own = words_.hashes(data)
                 text = byte_sums(data).of(bounds[:-1], bounds[1:]).view(np.int64)
-                which = np.concatenate([np.arange(last - first), rest[0][:, 0]]) + first
-                none = len(rest[1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(which)),
-                        out.take(pa.array(which)),
-                        pa.array(text[which - first]),
-                        pa.array(np.concatenate([np.ones(last - first, np.int64), np.zeros(none, np.int64)])),
-                        pa.array(np.concatenate([size_ + 1, np.zeros(none, np.int64)])),
-                        *(pa.array(np.concatenate([s, np.zeros(none)])) for s in sums),
-                        pa.array([None] * (last - first) + rest[0][:, 1].tolist(), pa.int64()),
-                        pa.array(np.concatenate([np.zeros(last - first, np.int64), rest[1]])),
-                    ],
-                    ["doc_id", "held_out", "text", "rows", "n_tokens", "known", "base", "cost", "hash", "times"],
-                )
-
-    kinds = "doc_id long, held_out boolean, text long, rows long, n_tokens long, known double, base double, cost double, hash long, times long"
-    parts = cut(rows.mapInArrow(add, kinds))
-    rare = parts.where("hash IS NOT NULL").select("doc_id", "held_out", "text", "hash", "times")
+                at = np.minimum(np.searchsorted(hashes, own.view(np.int64)), max(len(hashes) - 1, 0))
+                hit = hashes[at] == own.view(np.int64) if len(hashes) else np.zeros(len(own), bool)
+                each = [np.where(hit, x[at], 0.0) if len(hashes) else np.zeros(len(own)) for x in (known, base_, cost)]
+                sums = [np.bincount(row, e, rows_) + x for e, x in zip(each, ending, strict=True)]
+                if phrase:
+                    sums[2] = np.full(rows_, ending[2])
+                yield _part(batch, np.arange(first, last), text=text, rows=np.ones(rows_, np.int64), n_tokens=size_ + 1, known=sums[0], base=sums[1], cost=sums[2])
+                rare = own[~hit].view(np.int64)
+                kinds, times = np.unique(np.stack([row[~hit], rare], axis=1), axis=0, return_counts=True)
+                yield _part(batch, kinds[:, 0] + first, text=text[kinds[:, 0]], hash=kinds[:, 1].copy(), times=times)
+                if phrase and len(own):
+                    new = mix(own) % np.uint64(phrase) == 0
+                    new[words_.first[:-1][size_ > 0]] = True
+                    start = np.flatnonzero(new)
+                    end = np.append(start[1:], len(own))
+                    before = np.concatenate([[0], np.cumsum(~hit)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(before[start], before[-1]).astype(np.int32)), pa.array(rare))
+                    hashed = Sums(own).of(start, end).view(np.int64)
+                    yield _part(batch, row[start] + first, text=text[row[start]], cost=np.add.reduceat(each[2], start), phrase=hashed, rare=lists)
+
+    parts = cut(rows.mapInArrow(add, _PARTS_SQL))
+    zero = F.lit(0).cast("long")
+    whole = parts.where("rows = 1").select("doc_id", "held_out", "text", "rows", "n_tokens", "known", "base", "cost")
+    rare = parts.where("hash IS NOT NULL").select("doc_id", "held_out", "text", "hash", "times", (zero if phrase else F.col("times")).alias("spelt"))
+    if phrase:
+        phrases = cut(phrase_costs(parts.where("phrase IS NOT NULL").select("doc_id", "held_out", "text", "cost", "phrase", "rare")))
+        nil = F.lit(0.0)
+        whole = whole.unionByName(phrases.select("doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost"))
+        rare = rare.unionByName(phrases.select("doc_id", "held_out", "text", F.explode("rare").alias("hash"), zero.alias("times"), F.lit(1).cast("long").alias("spelt")))
     rare = rare.join(words.where(F.col("total") < least).select("hash", "n", "base", "cost"), "hash")
     rare = rare.select(
-        "doc_id", "held_out", "text", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"),
-        F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("double").alias("known"), (F.col("base") * F.col("times")).alias("base"), (F.col("cost") * F.col("times")).alias("cost"),
+        "doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("double").alias("known"),
+        (F.col("base") * F.col("times")).alias("base"), (F.col("cost") * F.col("spelt")).alias("cost"),
     )
-    both = parts.where("hash IS NULL").drop("hash", "times").unionByName(rare)
-    sums = both.groupBy("doc_id", "held_out", "text").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
+    sums = whole.unionByName(rare).groupBy("doc_id", "held_out", "text").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
     each = lambda c: F.col(c) / F.col("rows")  # noqa: E731  rows that repeat id and text were added up
     return sums.select(
         "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), F.round(each("known")).cast("long").alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"),

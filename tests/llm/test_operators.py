@@ -342,3 +342,39 @@ def test_ppm(docs, none, rows, monkeypatch):
         for r in short:
             assert got[r[0]].score == pytest.approx(sum(cost[w] for w in tokens(r)))
     assert ppm.score_documents(none).count() == 0
+
+
+def test_phrases(spark, rng):
+    """A text without known phrases pays one escape for each; a copy is predicted by its phrases' counts."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[j] for j in rng.integers(0, 400, 100)) for _ in range(30)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    held, kept = ([i for i in range(30) if (fold(i) == 1) == h] for h in (True, False))
+    texts[held[0]] = texts[kept[0]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def phrases(text: str) -> list[int]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        own = ppm.Words(data, np.array([0, len(data)])).hashes(data)
+        start = np.flatnonzero(np.append(True, ppm.mix(own)[1:] % np.uint64(8) == 0))
+        return ppm.Sums(own).of(start, np.append(start[1:], len(own))).tolist()
+
+    plain, read = ({g.doc_id: g for g in ppm.score_documents(frame, phrase=p).collect()} for p in (0, 8))
+    count = Counter(p for i in kept for p in phrases(texts[i]))
+    total = sum(count.values())
+    close = plain_end(frame)
+    for i in range(30):
+        assert (read[i].base_score, read[i].n_known) == (pytest.approx(plain[i].base_score), plain[i].n_known)
+        known = [p for p in phrases(texts[i]) if count[p]]
+        if len(known) == len(phrases(texts[i])):
+            assert read[i].score == pytest.approx(sum(math.log10((count[p] - 0.5) / total) for p in known) + close)
+        elif not known:
+            assert read[i].score == pytest.approx(plain[i].score + len(phrases(texts[i])) * math.log10(0.5 * len(count) / total))
+    assert read[held[0]].score > plain[held[0]].score + 100
+
+
+def plain_end(frame) -> float:
+    """The cost of an end of text alone: an empty text's score, with the same training texts."""
+    blank = max(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    more = frame.unionByName(frame.sparkSession.createDataFrame([(blank, "")], "doc_id long, text string"))
+    return next(g.score for g in ppm.score_documents(more).collect() if g.doc_id == blank)
