@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,7 +199,7 @@ def leaf_code_lengths(leaves: DataFrame) -> DataFrame:
     none = one.shorter(0)
     shared = leaves.sparkSession.sparkContext.broadcast((one, none))
 
-    def cost(held: list[pd.DataFrame]) -> pa.RecordBatch:
+    def cost(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         leaf, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(code_lengths(leaf.view(np.uint64), n, shared.value))], ["leaf", "cost"])
 
