@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,10 @@ CAPACITY = 2048
 #: Rows of one length that share a rank bucket, on average.
 BUCKET_ROWS = 20_000
 
-_PART = re.compile(r"[^\x20\x09-\x0D]+")
+#: A word of Latin letters that a gap or one of six marks follows, such marks before a gap, or all up to the
+#: next gap. The tokenizer parts letters from marks, and none of those marks is in a special token.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x20\x09-\x0D.,;:!?]|\Z)|[.,;:!?]+(?=[\x20\x09-\x0D]|\Z)|[^\x20\x09-\x0D]+")
 #: What the tokenizer never joins in lower-case ASCII text without apostrophes and special tokens.
 _ASCII_PART = re.compile(r"[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 #: Distinct parts whose ids a Python worker remembers; about 100 MB.
@@ -39,22 +43,29 @@ _REMEMBERED = 500_000
 
 
 class _Ids(dict):
-    """The ids of a part of a text between white space, as little-endian 32-bit bytes."""
+    """The ids of a part of a text, as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if part.isascii() and part.isalpha():  # one word, and its bytes are its letters
+            numbers = [token.id for token in self.model.tokenize(part.lower())]
+        elif _WORD.fullmatch(part):  # one word, already composed
+            numbers = [token.id for token in self.model.tokenize(self.bytes.pre_tokenize_str(part.lower())[0][0])]
+        else:
+            numbers = self.tokenizer.encode(part, add_special_tokens=False).ids
+        ids = struct.pack(f"<{len(numbers)}I", *numbers)
         if len(self) >= _REMEMBERED:
             self.clear()
         self[part] = ids
         return ids
 
-
     def of(self, text: str) -> bytes:
         plain = text.isascii() and "'" not in text and "<|" not in text
         return b"".join(map(self.__getitem__, _ASCII_PART.findall(text.lower()) if plain else _PART.findall(text)))
@@ -66,8 +77,9 @@ _known: dict[str, _Ids] = {}
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every text.
 
-    The tokenizer must lower case, drop white space and never join what white space parts,
-    so a text's ids are those of its parts one after the other.
+    The tokenizer must lower case, drop white space, never join what white space parts, nor
+    letters with marks, and take the bytes of a word of Latin letters to its model, so a
+    text's ids are those of its parts one after the other.
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
