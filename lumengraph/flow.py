@@ -33,7 +33,8 @@ def region_graph(
     normalize_positions: bool = False, connect: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(nodes, edges, segmented strips)`` of preprocessed pictures (channels in [0, 1])."""
-    segs = cut(segment.superpixels(strips, n_segments, compactness, color_input="unit"))
+    raw = cut(segment.superpixels(strips, n_segments, compactness, color_input="unit"))
+    segs = cut(segment.connected_superpixels(raw))
     nodes = cut(segment.segment_features(segs))
     placed = nodes
     if normalize_positions:

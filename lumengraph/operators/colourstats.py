@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import colour
 from lumengraph.operators.raster import pixels
+from lumengraph.session import cut
 
 CHANNEL = ("image_id", "space", "channel")
 
@@ -75,7 +76,10 @@ def channel_statistics(strips: DataFrame, mask: str | None = None, bins: int = 2
     The entropy follows the bin densities, not probabilities; a constant channel has
     skewness, kurtosis and entropy 0.
     """
-    cells = channel_bins(channel_values(colour_census(strips, mask)), bins)
+    return statistics_of(channel_bins(channel_values(colour_census(strips, mask)), bins), bins)
+
+
+def statistics_of(cells: DataFrame, bins: int) -> DataFrame:
     density = F.col("n") / (F.col("size") * ((F.col("max") - F.col("min")) / bins))
     varies = F.col("max") > F.col("min")
     cells = cells.withColumn("part", F.when(varies, -density * F.log2(density)).otherwise(F.lit(0.0)))
@@ -112,7 +116,10 @@ def colour_variance(statistics: DataFrame) -> DataFrame:
 
 def channel_histogram(strips: DataFrame, mask: str | None = None, bins: int = 8) -> DataFrame:
     """Bin densities of each channel, zero for empty bins and constant channels."""
-    cells = channel_bins(channel_values(colour_census(strips, mask)), bins)
+    return histogram_of(channel_bins(channel_values(colour_census(strips, mask)), bins), bins)
+
+
+def histogram_of(cells: DataFrame, bins: int) -> DataFrame:
     width = (F.col("max") - F.col("min")) / bins
     density = F.when(F.col("max") > F.col("min"), F.col("n") / (F.col("size") * width)).otherwise(F.lit(0.0))
     filled = cells.groupBy(*CHANNEL).agg(
@@ -130,7 +137,9 @@ def colour_features(strips: DataFrame, mask: str | None = None) -> DataFrame:
     One census and one set of 256 bins serve both the statistics and the 8-bin
     histogram: a coarse bin is 32 fine ones.
     """
-    stats = channel_statistics(strips, mask)
+    fine, coarse = 256, 8
+    cells = cut(channel_bins(channel_values(cut(colour_census(strips, mask))), fine))
+    stats = statistics_of(cells, fine)
     prefix = F.concat_ws("_", "space", F.col("channel").cast("string"))
     names = ("mean", "std", "min", "max", "skewness", "kurtosis", "entropy")
     pairs = [F.struct(F.concat_ws("_", prefix, F.lit(n)).alias("name"), F.col(n).alias("value")) for n in names]
@@ -138,7 +147,10 @@ def colour_features(strips: DataFrame, mask: str | None = None) -> DataFrame:
     variance = colour_variance(stats).select(
         "image_id", F.concat_ws("_", "space", F.lit("color_variance")).alias("name"), F.col("color_variance").alias("value")
     )
-    hist = channel_histogram(strips, mask).select(
+    whole = [F.first(c).alias(c) for c in ("size", "min", "max")]
+    bin_ = F.floor(F.col("bin") / (fine // coarse)).cast("int").alias("bin")
+    wide = cells.groupBy(*CHANNEL, bin_).agg(F.sum("n").alias("n"), *whole)
+    hist = histogram_of(wide, coarse).select(
         "image_id",
         F.concat_ws("_", prefix, F.lit("hist"), F.col("bin").cast("string")).alias("name"),
         F.col("density").alias("value"),

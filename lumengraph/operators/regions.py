@@ -195,3 +195,11 @@ def filled_regions(strips: DataFrame, mask: str = "dark") -> DataFrame:
 
 def region_areas(runs: DataFrame) -> DataFrame:
     return runs.groupBy("image_id", "region").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+
+
+def paint_runs(strips: DataFrame, runs: DataFrame, column: str) -> DataFrame:
+    """``strips`` with ``column`` filled from ``runs`` that cover every line; a line is one array already."""
+    stretch = lambda r: F.array_repeat(r["v"], (r["x1"] - r["x0"] + 1).cast("int"))
+    runs = runs.select("image_id", "y", F.struct("x0", "x1", F.col(column).alias("v")).alias("r"))
+    lines = runs.groupBy("image_id", "y").agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), stretch)).alias(column))
+    return strips.drop(column).join(lines, ["image_id", "y"])

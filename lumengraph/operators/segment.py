@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengraph.functions import colour
@@ -210,3 +210,16 @@ def enforce_connectivity(strips: DataFrame, share: float = 0.5) -> DataFrame:
         )
     owned = runs.drop("seg").join(owner, ["image_id", "piece"])
     return owned.select("image_id", "y", "x0", "x1", F.col("owner").alias("seg"))
+
+
+def connected_superpixels(strips: DataFrame, share: float = 0.5) -> DataFrame:
+    """``strips`` with ``seg`` made connected, numbered from 0 in the order of first pixels.
+
+    The numbering's window sees the segments of one picture, each of which holds at least
+    ``share`` of a mean segment, not its pixels.
+    """
+    runs = cut(enforce_connectivity(strips, share))
+    order = Window.partitionBy("image_id").orderBy("seg")
+    names = runs.select("image_id", "seg").distinct().withColumn("number", F.row_number().over(order) - 1)
+    numbered = runs.join(names, ["image_id", "seg"]).drop("seg").withColumnRenamed("number", "seg")
+    return regions.paint_runs(strips, numbered, "seg")

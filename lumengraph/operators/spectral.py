@@ -6,6 +6,7 @@ signal is a join on j and a sum per i; no graph is ever gathered.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -185,37 +186,42 @@ def band_peak(power: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 EXHAUSTED = 1e-7
 
-_EXTREMES = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+_EXTREMES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("low", "high", "residual")])
 
 
 @F.pandas_udf(_EXTREMES)
-def _tridiagonal_extremes(alpha: pd.Series, beta: pd.Series, nodes: pd.Series) -> pd.DataFrame:
+def _tridiagonal_extremes(alpha: pd.Series, beta: pd.Series) -> pd.DataFrame:
     """Smallest and largest eigenvalue of the small matrices of the rounds.
 
-    Rounds beyond the number of nodes less one, or after nothing was left, are noise.
+    An eigenvalue of the graph is within ``residual`` of each: the length of what the last
+    round left, times the last component of the small eigenvector. Rounds after nothing was
+    left are noise.
     """
     rows = []
-    for a, b, n in zip(alpha, beta, nodes):
+    for a, b in zip(alpha, beta):
         a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-        size = max(1, min(len(a), int(n) - 1))
-        stop = np.flatnonzero(b[: size - 1] < EXHAUSTED)
-        size = int(stop[0]) + 1 if len(stop) else size
-        values = np.linalg.eigvalsh(np.diag(a[:size]) + np.diag(b[: size - 1], 1) + np.diag(b[: size - 1], -1))
-        rows.append((float(values[0]), float(values[-1])))
-    return pd.DataFrame(rows, columns=["low", "high"])
+        stop = np.flatnonzero(b < EXHAUSTED)
+        size = int(stop[0]) + 1 if len(stop) else len(a)
+        values, vectors = np.linalg.eigh(np.diag(a[:size]) + np.diag(b[: size - 1], 1) + np.diag(b[: size - 1], -1))
+        rows.append((float(values[0]), float(values[-1]), float(b[size - 1] * np.abs(vectors[-1, [0, -1]]).max())))
+    return pd.DataFrame(rows, columns=["low", "high", "residual"])
+
+
+#: Rounds between two looks at the residuals.
+LOOK = 8
 
 
 def extreme_eigenvalues(
     nodes: DataFrame, edges: DataFrame, components: DataFrame, rounds: int | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """``spectral_radius`` and ``spectral_gap`` of each graph by Lanczos rounds.
+    """``spectral_radius``, ``spectral_gap`` and ``residual`` of each graph by Lanczos rounds.
 
     The known null vector (square roots of the strengths) is taken out of the start
     vector and of every product, so the smallest value found is the gap of a connected
     graph; a graph of several components has gap 0. Each round is one product and two
-    sums per graph. There are as many rounds as the largest graph's nodes less one, and the
-    values are exact; with fewer ``rounds`` the ends of the spectrum come first. Only the rounds' coefficients, two numbers
-    each, meet in one row per graph.
+    sums per graph. Rounds go on until the ``residual`` of every graph, a bound on the error
+    of both values, is at most ``EXHAUSTED``, unless a number of ``rounds`` is asked for.
+    Only the rounds' coefficients, two numbers each, meet in one row per graph.
     """
     keys = list(keys)
     lap = cut(normalized_laplacian(nodes, edges, keys))
@@ -242,34 +248,38 @@ def extreme_eigenvalues(
 
     flat = start.join(sums(start, along=v * z), keys).withColumn("v", v - F.col("along") * z)
     state = cut(scaled(flat.withColumn("old", F.lit(0.0))).withColumn("beta", F.lit(0.0)))
-    # Rounds beyond the largest graph's nodes less one add nothing.
-    largest = total.agg(F.max("n")).first()[0] or 0
-    found = None
-    for step in range(max(1, largest - 1 if rounds is None else min(rounds, largest - 1))):
+    left = lambda new, now, old: new - F.col("alpha") * now - F.col("beta") * old
+    step = 0
+    found: list[DataFrame] = []
+    while True:
         product = multiply(lap, state.select(*keys, "node", "v"), ["v"], keys).withColumnRenamed("v", "w")
         met = cut(state.join(product, [*keys, "node"]))
         rest = cut(
-            met.join(sums(met, alpha=v * w, along=w * z), keys).select(
+            met.join(sums(met, alpha=v * w, wz=w * z, vz=v * z, oz=F.col("old") * z), keys).select(
                 *keys, "node", "z", v.alias("old"), "alpha",
-                (w - F.col("alpha") * v - F.col("beta") * F.col("old") - F.col("along") * z).alias("v"),
+                (left(w, v, F.col("old")) - left(F.col("wz"), F.col("vz"), F.col("oz")) * z).alias("v"),
             )
         )
-        part = rest.groupBy(*keys).agg(
-            F.struct(
-                F.lit(step).alias("step"), F.max("alpha").alias("alpha"), F.sqrt(F.sum(v * v)).alias("beta")
-            ).alias("c")
+        found.append(
+            rest.groupBy(*keys).agg(
+                F.struct(F.lit(step).alias("step"), F.max("alpha").alias("alpha"), F.sqrt(F.sum(v * v)).alias("beta")).alias("c")
+            )
         )
-        found = part if found is None else found.unionByName(part)
         state = scaled(rest)
-    rows = found.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("c"))
-    ends = rows.join(total, keys).select(
-        *keys, "n", "total", _tridiagonal_extremes("c.alpha", "c.beta", "n").alias("e")
-    )
+        step += 1
+        if step % LOOK == 0 or step == rounds:
+            found = [cut(functools.reduce(DataFrame.unionByName, found))]
+            rows = found[0].groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("c"))
+            ends = cut(rows.select(*keys, _tridiagonal_extremes("c.alpha", "c.beta").alias("e")))
+            if step == rounds or ends.where(F.col("e.residual") > EXHAUSTED).isEmpty():
+                break
+    ends = ends.join(total, keys)
     parts = components.select(*keys, "component").distinct().groupBy(*keys).agg(F.count("*").alias("parts"))
     return ends.join(parts, keys).select(
         *keys,
         F.when((F.col("n") > 1) & (F.col("total") > 0), F.col("e.high")).otherwise(F.lit(0.0)).alias("spectral_radius"),
         F.when((F.col("parts") == 1) & (F.col("n") > 1), F.greatest(F.col("e.low"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("spectral_gap"),
+        F.col("e.residual").alias("residual"),
     )
 
 

@@ -133,7 +133,7 @@ def validate_images(shapes: DataFrame, strips: DataFrame) -> DataFrame:
     to the costly region step.
     """
     shapes = cut(shapes)
-    sound = strips.join(shapes.where("problem IS NULL").select("image_id"), "image_id", "left_semi")
+    sound = cut(strips.join(shapes.where("problem IS NULL").select("image_id"), "image_id", "left_semi"))
     skin = cut(skin_fraction(sound))
     skinny = skin.where(F.col("skin_percent") >= MIN_SKIN_PERCENT).select("image_id")
     rest = cut(sound.join(skinny, "image_id", "left_semi"))

@@ -165,7 +165,7 @@ VERDICT_PARTS = (sql.DISCS, _SKIN, _BLUR, _OTSU, _DARK, _RUNS, _FILLED, _VARIATI
               body="SELECT image_id, reason = 'Valid skin lesion image' AS is_valid, reason FROM verdict"),
 )
 def validate_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strips = tables.discs(spark, sf_dir)
+    strips = cut(tables.discs(spark, sf_dir))
     return validate.validate_images(validate.strips_shape(strips), strips)
 
 
@@ -226,6 +226,30 @@ def enforce_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.enforce_connectivity(strips)
 
 
+@query(
+    "D2_connected_superpixels",
+    sql.with_(
+        sql.RASTER,
+        body="""SELECT image_id, count(*) AS pixels, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS split_segments, CAST(0 AS BIGINT) AS small_segments
+  FROM pix GROUP BY image_id""",
+    ),
+)
+def connected_superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold after merging: every pixel has a number below the count of segments, each
+    segment is one piece, and none is smaller than half the mean of the segments before."""
+    raw = cut(segment.superpixels(tables.raster(spark, sf_dir)))
+    runs = cut(regions.value_runs(segment.connected_superpixels(raw), "seg"))
+    pieces = regions.connected_runs(runs, F.col("seg"), F.lit(0))
+    size = pieces.groupBy("image_id", "seg").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), F.countDistinct("piece").alias("pieces"))
+    least = raw.select("image_id", F.explode("seg").alias("seg")).groupBy("image_id").agg((F.count("seg") / F.countDistinct("seg") / 2).alias("least"))
+    return size.join(least, "image_id").groupBy("image_id").agg(
+        F.sum("n").alias("pixels"),
+        (F.max("seg") + 1 - F.count("seg")).cast("bigint").alias("gaps"),
+        F.count_if(F.col("pieces") > 1).alias("split_segments"),
+        F.count_if(F.col("n") < F.col("least")).alias("small_segments"),
+    )
+
+
 _CELLS = f"""lab AS (SELECT image_id, seg, y, x, {_LAB[0]} AS l, {_LAB[1]} AS a, {_LAB[2]} AS b FROM pix)"""
 
 

@@ -159,7 +159,7 @@ def require_both_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def ingest_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strips = tables.discs(spark, sf_dir)
+    strips = cut(tables.discs(spark, sf_dir))
     verdict = validate.validate_images(validate.strips_shape(strips), strips)
     uploads = strips.select("image_id").distinct().select(
         "image_id",
