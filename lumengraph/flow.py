@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from lumengraph.functions import colour
 from lumengraph.operators import (
     assemble, colourstats, graph, learn, measures, raster, results, segment, shape, spectral, texture, validate,
 )
-from lumengraph.session import cut
+from lumengraph.session import at_once, cut
 
 SIDE = 750
 
@@ -50,12 +48,13 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = ["image_id"]
     nodes, edges = cut(nodes), cut(edges)  # every measure below reads them
     # The loops do not depend on each other; their many small jobs share the cluster.
-    with ThreadPool(6) as pool:
-        waiting = [pool.apply_async(measures.shortest_paths, (nodes, measures.costs(edges, kind))) for kind in ("inverse", "hops", "weight")]
-        waiting.append(pool.apply_async(lambda: cut(graph.connected_components(nodes, edges))))
-        waiting.append(pool.apply_async(lambda: cut(measures.clustering_weighted(nodes, edges))))
-        waiting.append(pool.apply_async(lambda: cut(measures.betweenness(nodes, edges))))
-        inverse, hops, lengths, components, clustering, between = [w.get() for w in waiting]
+    costs = {kind: measures.costs(edges, kind) for kind in ("inverse", "hops", "weight")}
+    inverse, hops, lengths, components, clustering, between = at_once([
+        *[lambda kind=kind: measures.shortest_paths(nodes, costs[kind]) for kind in costs],
+        lambda: cut(graph.connected_components(nodes, edges)),
+        lambda: cut(measures.clustering_weighted(nodes, edges)),
+        lambda: cut(measures.betweenness(nodes, edges)),
+    ])
     per_node = {
         "clustering": clustering,
         "strength": measures.node_strength(nodes, edges),
@@ -84,8 +83,7 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lambda: spectral.band_entropy(power),
         lambda: spectral.band_peak(power),
     ]
-    with ThreadPool(len(parts)) as pool:
-        wide = pool.map(lambda part: cut(part()), parts)
+    wide = at_once([lambda part=part: cut(part()) for part in parts])
     for table in wide:
         filled = measures.with_defaults(table, {**measures.GRAPH_DEFAULTS, **spectral.SPECTRAL_DEFAULTS})
         long = long.unionByName(assemble.long_from_wide(filled))

@@ -69,10 +69,20 @@ def running_totals(
     return out.drop(*parts, *[f"{p}_before" for p in parts])
 
 
+def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_bucket``: equal shares of the rows in the order of ``keys`` and ``order``.
+
+    Unlike ``with_buckets`` it splits rows of one value by what follows in ``order``, so one
+    hot value or key fills many buckets. There are as many as shuffle partitions, less what
+    adaptive execution merges; the result is written, as another run might sample other bounds.
+    """
+    return cut(df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn(BUCKET, F.spark_partition_id()))
+
+
 def with_rank(df: DataFrame, keys: Sequence[str], order: str, tie: str, name: str = "rank") -> DataFrame:
     """1-based rank by (``order``, ``tie``) inside each group; exact."""
     ranked = running_totals(
-        with_buckets(df, keys, order), keys, [F.col(order), F.col(tie)], {name: F.lit(1).cast("bigint")}
+        with_ranges(df, keys, [order, tie]), keys, [F.col(order), F.col(tie)], {name: F.lit(1).cast("bigint")}
     )
     return ranked.drop(BUCKET)
 

@@ -45,6 +45,32 @@ def _bins(n: int) -> str:
   FROM vals v JOIN mom m USING (image_id, space, channel) GROUP BY ALL)"""
 
 
+def _colour_sql() -> str:
+    """All colour features of the vector rasters by name."""
+    name = "space || '_' || channel || '_"
+    fine, coarse = (_bins(n).replace("cells AS", f"cells{n} AS") for n in (256, 8))
+    moments = {
+        "mean": "mean", "std": "std", "min": "lo", "max": "hi",
+        "skewness": "CASE WHEN hi > lo THEN c3 / pow(std, 3) ELSE 0 END", "kurtosis": "CASE WHEN hi > lo THEN c4 / pow(std, 4) ELSE 0 END",
+    }
+    parts = [f"SELECT image_id, {name}{n}' AS name, {sql.r(e)} AS value FROM dev" for n, e in moments.items()]
+    part = "n / (size * ((hi - lo) / 256))"
+    parts += [
+        f"SELECT image_id, {name}entropy', {sql.r(f'sum(CASE WHEN hi > lo THEN -({part}) * log2({part}) ELSE 0.0 END)')} FROM cells256 GROUP BY image_id, space, channel",
+        f"SELECT image_id, space || '_color_variance', {sql.r('sum(std * std)')} FROM dev GROUP BY image_id, space",
+        f"""SELECT m.image_id, m.space || '_' || m.channel || '_hist_' || t.i, {sql.r('coalesce(CASE WHEN c.hi > c.lo THEN c.n / (c.size * ((c.hi - c.lo) / 8)) END, 0.0)')}
+  FROM mom m CROSS JOIN range(0, 8) AS t(i)
+  LEFT JOIN cells8 c ON c.image_id = m.image_id AND c.space = m.space AND c.channel = m.channel AND c.bin = t.i""",
+    ]
+    values = _VALUES.replace(sql.DISCS, sql.RASTER).replace(" WHERE mask", "")
+    return sql.with_(values, fine, coarse, body="\nUNION ALL ".join(parts))
+
+
+@query("colour_features", _colour_sql())
+def colour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(colourstats.colour_features(tables.raster(spark, sf_dir)))
+
+
 def _discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.discs(spark, sf_dir)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengraph import flow
-from lumengraph.operators import assemble, colourstats, learn, raster, regions, results, shape, validate
+from lumengraph.operators import assemble, learn, raster, regions, results, shape, validate
 from lumengraph.plans import sqlkit as sql
 from lumengraph.plans import tables
 from lumengraph.plans.feature_queries import _POINTS
@@ -320,11 +320,6 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.select("image_id", F.size("features").alias("size"), total.alias("total"))
 
 
-@query("colour_features")
-def colour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(colourstats.colour_features(tables.raster(spark, sf_dir)))
-
-
 # --- streaming ---------------------------------------------------------------------------------
 
 

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +50,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Tables written by ``cut`` since the innermost ``scratch`` began.
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
+Result = TypeVar("Result")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``cut`` writes inside the block when it ends.
+
+    Results that are still wanted must be collected or written elsewhere by then.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def at_once(calls: Sequence[Callable[[], Result]], threads: int | None = None) -> list[Result]:
+    """The results of calls that start Spark jobs of their own, run side by side in this ``scratch``."""
+    owned = [(copy_context(), call) for call in calls]
+    with ThreadPool(threads or len(owned)) as pool:
+        return pool.map(lambda own: own[0].run(own[1]), owned, chunksize=1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written table.
 
@@ -55,5 +88,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumengraph/{uuid.uuid4().hex}"
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

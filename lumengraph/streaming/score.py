@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumengraph.session import cut
+from lumengraph.session import cut, scratch
 from lumengraph.sources.images import IMAGE_SCHEMA, split_readable, with_id
 from lumengraph.sources.tables import append_unique
 
@@ -31,18 +31,19 @@ def write_batch(batch: DataFrame, scorer: Scorer, results: str, quarantine: str)
     """Score one batch; valid images go to ``results``, all others to ``quarantine``.
 
     The key is the file, and keys already stored are left out, so a batch that runs
-    again after a failure adds nothing twice.
+    again after a failure adds nothing twice. Tables written on the way go with the batch.
     """
-    readable, broken = split_readable(batch)
-    scored = cut(scorer(readable))
-    now = F.current_timestamp()
-    key = F.sha2(F.col("image_id"), 256).alias("analysis_id")
-    name = F.element_at(F.split("image_id", "/"), -1).alias("filename")
-    good = scored.where("is_valid").select(key, name, now.alias("timestamp"), "probability", F.col("image_id").alias("original_image_path"))
-    bad = scored.where("NOT is_valid").select(key, name, now.alias("timestamp"), F.col("validation").alias("reason"))
-    lost = broken.select(key, name, now.alias("timestamp"), F.lit("Could not read image").alias("reason"))
-    append_unique(good, results, "analysis_id")
-    append_unique(bad.unionByName(lost), quarantine, "analysis_id")
+    with scratch(batch.sparkSession):
+        readable, broken = split_readable(batch)
+        scored = cut(scorer(readable))
+        now = F.current_timestamp()
+        key = F.sha2(F.col("image_id"), 256).alias("analysis_id")
+        name = F.element_at(F.split("image_id", "/"), -1).alias("filename")
+        good = scored.where("is_valid").select(key, name, now.alias("timestamp"), "probability", F.col("image_id").alias("original_image_path"))
+        bad = scored.where("NOT is_valid").select(key, name, now.alias("timestamp"), F.col("validation").alias("reason"))
+        lost = broken.select(key, name, now.alias("timestamp"), F.lit("Could not read image").alias("reason"))
+        append_unique(good, results, "analysis_id")
+        append_unique(bad.unionByName(lost), quarantine, "analysis_id")
 
 
 def score_stream(

@@ -92,6 +92,11 @@ def test_enforced_segments_are_connected_and_large(spark, rng):
         assert len(np.unique(pieces[pieces >= 0])) == 1
         sizes.append((out == s).sum())
     assert min(sizes) >= 2500 / 9 * 0.5
+    # As strips: the same parts, numbered without gaps by their first pixels.
+    label = collect_plane(segment.connected_superpixels(segs), "seg")
+    assert label.shape == (50, 50)
+    _, number = np.unique(out, return_inverse=True)
+    assert (label == number.reshape(50, 50)).all()
 
 
 def test_rectangle_shape(spark):
