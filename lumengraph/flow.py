@@ -77,7 +77,7 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lambda: measures.local_efficiency(nodes, edges),
         lambda: measures.char_path_length(nodes, lengths, components),
         lambda: measures.global_efficiency(nodes, hops),
-        lambda: spectral.extreme_eigenvalues(nodes, edges, components),
+        lambda: spectral.extreme_eigenvalues(nodes, edges, components).drop("residual"),
         lambda: spectral.energies(lap),
         lambda: spectral.mean_power(power, nodes),
         lambda: spectral.band_entropy(power),
