@@ -378,3 +378,14 @@ def plain_end(frame) -> float:
     blank = max(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1)
     more = frame.unionByName(frame.sparkSession.createDataFrame([(blank, "")], "doc_id long, text string"))
     return next(g.score for g in ppm.score_documents(more).collect() if g.doc_id == blank)
+
+
+def test_ids_of_parts_are_those_of_the_text():
+    """Words that skip the tokenizer's own splitting get its ids, whatever stands around them."""
+    import random
+
+    ids, dice = packing._Ids(queries.tokenizer_path()), random.Random(3)
+    signs = [*"abzAZ019 .,;:!?'<>|#\t\n\x0b\x00\x1c\x85éÉÿÀ×÷İŉǰßΣςσ́̇\xa0　漢字йЙ😀½²ªº\xad", "<|endoftext|>", "<|startoftext|>", "'s", "'ll"]
+    for _ in range(5000):
+        text = "".join(dice.choice(signs) for _ in range(dice.randint(1, 14)))
+        assert ids.of(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
