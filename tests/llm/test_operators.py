@@ -344,6 +344,17 @@ def test_ppm(docs, none, rows, monkeypatch):
     assert ppm.score_documents(none).count() == 0
 
 
+def test_registered_scoring_reads_training_rows(spark, rng, tmp_path):
+    """A training text of noise costs more than a clean one of as many words."""
+    line = "the cat sat on the mat and then the dog ran to the old house by the sea".split()
+    texts = [" ".join(rng.permutation(line * 6)) for _ in range(60)]
+    noise, clean = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    texts[noise] = " ".join("".join(rng.choice(list("qxzjkvw"), 3)) for _ in range(6 * len(line)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {g.doc_id: g for g in queries.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[noise].n_tokens == got[clean].n_tokens and got[noise].score < got[clean].score - 100
+
+
 def test_phrases(spark, rng):
     """A text without known phrases pays one escape for each; a copy is predicted by its phrases' counts."""
     words = [f"w{i}" for i in range(400)]
