@@ -14,6 +14,13 @@ hash is divisible by ``phrase`` (about that many words long), so that equal pass
 into equal phrases. A phrase of the training texts is predicted as a whole, by its count; any
 other costs one escape, by method D as well, and is spelt by its words.
 
+Bytes may also be predicted from the running text (``running``): the seven bytes of context
+then reach over gaps, back to the gap before the text, and a text is scored by the training
+texts outside its own fold (rows with a null id are a fold here), as seven running bytes are
+often the text's own and would tell it what follows. The base score has no such rule. Tasks sum the leaves of some
+`UNIT_BYTES` of texts of one fold before they hand them on, sorted and packed; costs come back for each
+distinct leaf of such a unit, as 32-bit floats in the same order, and meet its texts again.
+
 Steps: distinct words with counts; their byte contexts, the leaves of the context trie,
 summed over all words; leaves dealt out by the last two bytes of their context, so that one
 task has all longer contexts of a leaf (contexts of one and no byte are two small tables);
@@ -48,6 +55,10 @@ PHRASE = 32
 BLOCK_WORDS, HELD = 150_000, 400_000
 #: Leaves that a task works on at a time.
 CHUNK = 400_000
+#: Bytes of the texts whose leaves are summed together, about; and of all texts for each part of the contexts.
+UNIT_BYTES, PART_BYTES = 8 << 20, 2 << 20
+#: Folds of `fold`, which also has -1.
+FOLDS = 5
 
 #: The word that stands for the end of a text; no word has the byte.
 END_WORD = bytes([END])
@@ -130,15 +141,25 @@ class _Counts:
 
     def __init__(self, context: np.ndarray, byte: np.ndarray, n: np.ndarray):
         seen = n > 0
-        pairs, place = np.unique(context[seen] << np.uint64(8) | byte[seen], return_inverse=True)
-        self.pairs, self.n = pairs, np.bincount(place, n[seen], len(pairs))
-        self.contexts, place = np.unique(pairs >> np.uint64(8), return_inverse=True)
-        self.total = np.bincount(place, self.n, len(self.contexts))
+        pairs, n = context[seen] << np.uint64(8) | byte[seen], n[seen]
+        if not (pairs[1:] > pairs[:-1]).all():
+            pairs, place = np.unique(pairs, return_inverse=True)
+            n = np.bincount(place, n, len(pairs))
+        self._sum(pairs, n)
+
+    def _sum(self, pairs: np.ndarray, n: np.ndarray) -> None:
+        self.pairs, self.n, context = pairs, n, pairs >> np.uint64(8)
+        new = np.append(True, context[1:] != context[:-1])[: len(pairs)]
+        place = np.cumsum(new) - 1
+        self.contexts = context[new]
+        self.total = np.bincount(place, n, len(self.contexts))
         self.kinds = np.bincount(place, minlength=len(self.contexts)).astype(np.float64)
 
     def shorter(self, order: int) -> _Counts:
         """The counts one order lower: a byte counts once for each of the contexts here that has it."""
-        return _Counts((self.pairs >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1), self.pairs & np.uint64(255), np.ones(len(self.pairs)))
+        out = object.__new__(_Counts)
+        out._sum(*np.unique(self.pairs & np.uint64((1 << 8 * (order + 1)) - 1), return_counts=True))
+        return out
 
     def of(self, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
         return _look(self.pairs, self.n, context << np.uint64(8) | byte)
@@ -154,21 +175,21 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0.0)
 
 
-def code_lengths(leaf: np.ndarray, n: np.ndarray, shorter: tuple[_Counts, _Counts]) -> np.ndarray:
-    """log10 of the probability of each leaf's byte in its context.
+def code_lengths(leaf: np.ndarray, n: np.ndarray, shorter: tuple[_Counts, _Counts], asked: np.ndarray | None = None) -> np.ndarray:
+    """log10 of the probability of each leaf's byte in its context; 0 for leaves not ``asked`` for.
 
     All leaves whose contexts share their last two bytes must be given together; ``shorter``
     has the counts of order 1 and 0 over all leaves.
     """
     byte, history = leaf & np.uint64(255), leaf >> np.uint64(8)
-    out, open_ = np.zeros(len(leaf)), np.ones(len(leaf), bool)
+    out, rest = np.zeros(len(leaf)), np.arange(len(leaf)) if asked is None else np.flatnonzero(asked)  # rest: leaves that no longer context had
     above: _Counts | None = None
     for order in range(ORDER, -1, -1):
-        context = history & np.uint64((1 << 8 * order) - 1)
+        context = history[rest] & np.uint64((1 << 8 * order) - 1)
         if order < 2:
             counts = shorter[1 - order]
         elif above is None:
-            counts = _Counts(context, byte, n)
+            counts = _Counts(history, byte, n)
         else:
             counts = above.shorter(order)
         total, kinds = counts.sums(context)
@@ -176,28 +197,26 @@ def code_lengths(leaf: np.ndarray, n: np.ndarray, shorter: tuple[_Counts, _Count
             longer = above.pairs >> np.uint64(8)
             again = counts.of(longer & np.uint64((1 << 8 * order) - 1), above.pairs & np.uint64(255))
             left_out = np.bincount(np.searchsorted(above.contexts, longer), again, len(above.contexts))
-            wanted = history & np.uint64((1 << 8 * (order + 1)) - 1)
+            wanted = history[rest] & np.uint64((1 << 8 * (order + 1)) - 1)
             total = total - _look(above.contexts, left_out, wanted)
             kinds = kinds - _look(above.contexts, above.kinds, wanted)
-        own = counts.of(context, byte)
-        live = open_ & (kinds > 0)
-        hit, miss = live & (own > 0), live & (own == 0)
-        out[hit] += np.log10((own[hit] - 0.5) / total[hit])
-        out[miss] += np.log10(0.5 * kinds[miss] / total[miss])
-        open_ &= ~hit
+        own = counts.of(context, byte[rest])
+        hit, miss = (kinds > 0) & (own > 0), (kinds > 0) & (own == 0)
+        out[rest[hit]] += np.log10((own[hit] - 0.5) / total[hit])
+        out[rest[miss]] += np.log10(0.5 * kinds[miss] / total[miss])
+        rest = rest[~hit]
+        if not len(rest):
+            return out
         above = counts
-    alike = np.maximum(256.0 - shorter[1].kinds.sum(), 1.0)
-    return out - np.where(open_, np.log10(alike), 0.0)
+    out[rest] -= np.log10(np.maximum(256.0 - shorter[1].kinds.sum(), 1.0))
+    return out
 
 
 def leaf_code_lengths(leaves: DataFrame) -> DataFrame:
     """leaf, cost of the written table ``leaves`` (leaf, n)."""
     two = leaves.where("n > 0").select(F.expr("leaf & 16777215").alias("two")).distinct()
     short = two.groupBy(F.expr("two & 65535").alias("pair")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 2**16 rows
-    pair, n = short["pair"].to_numpy().astype(np.uint64), short["n"].to_numpy()
-    one = _Counts(pair >> np.uint64(8), pair & np.uint64(255), n)
-    none = one.shorter(0)
-    shared = leaves.sparkSession.sparkContext.broadcast((one, none))
+    shared = leaves.sparkSession.sparkContext.broadcast(_shorter(short["pair"].to_numpy(), short["n"].to_numpy()))
 
     def cost(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         leaf, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
@@ -242,6 +261,189 @@ def score_words(counts: DataFrame) -> DataFrame:
     return words.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(add, "hash long, n long, total long, cost double")
 
 
+def running_leaves(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf of every byte of every text's running words and end, number of leaves of each text) of a lower-cased slice."""
+    words = Words(data, bounds)
+    rows = len(bounds) - 1
+    # each text is a pad up to the gap before it, its words with their closing gaps, and the end
+    edge = np.stack([words.first[:-1], words.first[1:]], axis=1).ravel()
+    size = np.insert(words.end - words.start + 1, edge, np.tile([ORDER, 1], rows))
+    source = np.insert(words.start, edge, 0)
+    last = np.insert(np.full(len(words.start), GAP, np.uint8), edge, np.tile(np.array([GAP, END], np.uint8), rows))
+    stop = np.cumsum(size)
+    at = np.arange(stop[-1] if rows else 0) + np.repeat(source - (stop - size), size)
+    line = np.append(data, np.uint8(0))[np.minimum(at, len(data))]
+    line[stop - 1] = last
+    opening = edge[::2] + 2 * np.arange(rows)
+    pad = ((stop - size)[opening][:, None] + np.arange(ORDER)).ravel()
+    line[pad.reshape(-1, ORDER)[:, :-1].ravel()] = 0
+    leaf = line.astype(np.uint64)
+    for shift in (1, 2, 4):  # of 1, 2 and 4 bytes: eight together
+        leaf[shift:] |= leaf[:-shift] << np.uint64(8 * shift)
+    inside = np.ones(len(line), bool)
+    inside[pad] = False
+    return leaf[inside], np.diff(np.append((stop - size)[opening], len(line))) - ORDER
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The values byte by byte, the first bytes of all, then the second; sorted ones shrink well."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(packed, size * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, size).T).view(kind).ravel()
+
+
+def _dealt(kinds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the sorted leaves by part, bounds of the parts in it); a part has all leaves of the last two bytes of a context."""
+    part = (mix(kinds >> np.uint64(8) & np.uint64(65535)) % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+
+
+#: Columns of a unit: a row for each text, and rows of its leaves and counts for each part; part -1 has the
+#: leaves of one byte after two of the training texts.
+_UNIT_SQL = "unit long, fold int, doc_id long, held_out boolean, text long, body binary, part int, size int, leaf binary, n binary"
+_UNIT = pa.schema(
+    {
+        "unit": pa.int64(), "fold": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.int64(), "body": pa.binary(), "part": pa.int32(), "size": pa.int32(),
+        "leaf": pa.binary(), "n": pa.binary(),
+    }
+)
+
+
+def _kinds(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct leaves of ``held``, sorted, and their counts; the list is emptied."""
+    leaf = np.concatenate(held or [np.zeros(0, np.uint64)])
+    held.clear()
+    leaf.sort()
+    first = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])[: len(leaf)])
+    return leaf[first], np.diff(np.append(first, len(leaf)))
+
+
+def _unit_rows(unit: int, fold: int, rows: int, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
+    columns |= {"unit": np.full(rows, unit), "fold": np.full(rows, fold)}
+    made = [columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in _UNIT]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, _UNIT, strict=True)], schema=_UNIT)
+
+
+def _units(rows: DataFrame, parts: int) -> DataFrame:
+    """`_UNIT` of the texts (doc_id, held_out, fold, text)."""
+
+    def summed(unit: int, fold: int, training: bool, held: list[np.ndarray]) -> pa.RecordBatch:
+        kinds, n = _kinds(held)
+        n = n.astype(np.uint32) if training else np.zeros(len(kinds), np.uint32)
+        two = np.unique(kinds & np.uint64(0xFFFFFF)) if training else kinds[:0]
+        order, bounds = _dealt(kinds, parts)
+        kinds, n = kinds[order], n[order]
+        own = np.flatnonzero(np.diff(bounds))
+        pieces = [slice(bounds[p], bounds[p + 1]) for p in own]
+        return _unit_rows(
+            unit, fold, len(own) + 1, part=np.append(own, -1), size=np.append(np.diff(bounds)[own], len(two)),
+            leaf=[*(_packed(kinds[p]) for p in pieces), _packed(two)], n=[*(_packed(n[p]) for p in pieces), None],
+        )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        next_ = TaskContext.get().partitionId() << 32
+        units: dict[int, tuple[int, bool, list[np.ndarray]]] = {}  # of each fold: unit, whether it trains, leaves
+        for whole in batches:
+            folds = whole.column("fold").to_numpy()
+            for f in np.unique(folds).tolist():
+                batch = whole.take(pa.array(np.flatnonzero(folds == f)))
+                doc, out = batch.column("doc_id"), batch.column("held_out")
+                for first, end, data, bounds in slices(batch.column("text")):
+                    if f not in units:
+                        units[f], next_ = (next_, not out[0].as_py(), []), next_ + 1
+                    unit, training, held = units[f]
+                    data = LOWER[data]
+                    held.append(running_leaves(data, bounds)[0])
+                    body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+                    text = byte_sums(data).of(bounds[:-1], bounds[1:]).view(np.int64)
+                    yield _unit_rows(unit, f, end - first, doc_id=doc.slice(first, end - first), held_out=out.slice(first, end - first), text=text, body=body.cast(pa.binary()))
+                    if sum(map(len, held)) >= UNIT_BYTES:
+                        yield summed(unit, f, training, held)
+                        del units[f]
+        for f, (unit, training, held) in units.items():
+            yield summed(unit, f, training, held)
+
+    return rows.select("doc_id", "held_out", "fold", "text").mapInArrow(gather, _UNIT_SQL)
+
+
+def _shorter(pair: np.ndarray, n: np.ndarray) -> tuple[_Counts, _Counts]:
+    """Counts of order 1 and 0 from the number of contexts of two bytes for each pair of last byte and next."""
+    pair = pair.astype(np.uint64)
+    one = _Counts(pair >> np.uint64(8), pair & np.uint64(255), n)
+    return one, one.shorter(0)
+
+
+def running_costs(rows: DataFrame) -> DataFrame:
+    """doc_id, held_out, text, cost of each text (doc_id, held_out, fold, text), whose bytes are predicted from the running text."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = int(min(1 + size // PART_BYTES, 1 << 16))
+    units = cut(_units(rows, parts))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, n, f in zip(*(batch.column(c).to_pylist() for c in ("leaf", "size", "fold")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(packed, n, np.uint64).view(np.int64)), pa.array(np.full(n, 1 << (f + 1)))], ["two", "folds"])
+
+    two = units.where("part = -1 AND size > 0").select("leaf", "size", "fold").mapInArrow(opened, "two long, folds long")
+    two = two.groupBy("two").agg(F.bit_or("folds").alias("folds"))
+    outside = [F.count_if(F.col("folds").bitwiseAND(F.lit(~(1 << (f + 1)))) != 0).alias(str(f)) for f in range(-1, FOLDS)]
+    short = two.groupBy(F.expr("two & 65535").alias("pair")).agg(*outside).toPandas()  # at most 2**16 rows
+    shared = rows.sparkSession.sparkContext.broadcast({f: _shorter(short["pair"].to_numpy(), short[str(f)].to_numpy()) for f in range(-1, FOLDS)})
+
+    def cost(chunks: pa.Table) -> pa.Table:
+        sizes, folds = chunks.column("size").to_pylist(), chunks.column("fold").to_pylist()
+        leaves, n = (
+            [_unpacked(x, s, kind) for x, s in zip(chunks.column(c).to_pylist(), sizes, strict=True)] for c, kind in (("leaf", np.uint64), ("n", np.uint32))
+        )
+        kinds = np.unique(np.concatenate(leaves))
+        places = [np.searchsorted(kinds, x).astype(np.int32) for x in leaves]  # each sorted
+        del leaves
+        total = np.zeros(len(kinds), np.int64)
+        for place, x in zip(places, n, strict=True):
+            total[place] += x
+        packed: list[bytes] = [b""] * len(sizes)
+        for f in set(folds):
+            own = [i for i, g in enumerate(folds) if g == f]
+            outside, asked = total.copy(), np.zeros(len(kinds), bool)
+            for i in own:
+                outside[places[i]] -= n[i]
+                asked[places[i]] = True
+            use = asked | (outside > 0)
+            each = np.zeros(len(kinds), np.float32)
+            each[use] = code_lengths(kinds[use], outside[use], shared.value[f], asked[use])
+            for i in own:
+                packed[i] = _packed(each[places[i]])
+        return pa.table([chunks.column("unit"), chunks.column("part"), chunks.column("size"), pa.array(packed, pa.binary())], ["unit", "part", "size", "cost"])
+
+    chunks = units.where("part >= 0").select("unit", "fold", "part", "size", "leaf", "n")
+    costs = chunks.groupBy("part").applyInArrow(cost, "unit long, part int, size int, cost binary")
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(first, end, *running_leaves(data, bounds)) for first, end, data, bounds in slices(left.column("body"))]
+        kinds = _kinds([leaf for _, _, leaf, _ in found])[0]
+        order, bounds = _dealt(kinds, parts)
+        dealt, each = np.empty(len(kinds)), np.empty(len(kinds))
+        for p, n, packed in zip(*(right.column(c).to_pylist() for c in ("part", "size", "cost")), strict=True):
+            dealt[bounds[p] : bounds[p + 1]] = _unpacked(packed, n, np.float32)
+        each[order] = dealt
+        sums = np.zeros(left.num_rows)
+        for first, end, leaf, sizes in found:
+            by = np.argsort(leaf)  # sorted leaves are found faster
+            cost = np.empty(len(leaf))
+            cost[by] = each[np.searchsorted(kinds, leaf[by])]
+            sums[first:end] = np.add.reduceat(cost, np.cumsum(sizes) - sizes)
+        return left.select(["doc_id", "held_out", "text"]).append_column("cost", pa.array(sums))
+
+    bodies = units.where("body IS NOT NULL").select("unit", "doc_id", "held_out", "text", "body")
+    return bodies.groupBy("unit").cogroup(costs.groupBy("unit")).applyInArrow(add, "doc_id long, held_out boolean, text long, cost double")
+
+
 def _frequent(words: DataFrame) -> int:
     """The least total count at which no more than `FREQUENT` words remain."""
     steps = words.groupBy("total").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("total").desc())
@@ -284,16 +486,20 @@ def phrase_costs(phrases: DataFrame) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame, held: int = 1, phrase: int = 0) -> DataFrame:
+def score_documents(docs: DataFrame, held: int = 1, phrase: int = 0, running: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold ``held`` is held out.
 
-    ``phrase`` is the mean length of phrases in words; 0 for none.
+    ``phrase`` is the mean length of phrases in words; 0 for none. With ``running``, bytes are
+    predicted from the running text by the training texts of other folds, and there are no phrases.
     """
+    if phrase and running:
+        raise ValueError("phrases are spelt by their words alone")
     rows = texts(docs).withColumn("held_out", fold() == held)
     found = word_counts(rows.select("text", (~F.col("held_out")).alias("training")))
     ends = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.count(F.lit(1)).alias("total")).where("total > 0")
     ends = ends.select(F.lit(END_WORD).alias("word"), F.lit(end_hash()).alias("hash"), "n", "total")
-    words = cut(score_words(cut(found.unionByName(ends))))
+    counts = found.unionByName(ends)
+    words = cut(counts.drop("word").withColumn("cost", F.lit(0.0)) if running else score_words(cut(counts)))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     below = float(size["n"] + 0.5 * (size["v"] + 1))
     base = F.log10((F.col("n") + 0.5) / F.lit(below))
@@ -345,6 +551,9 @@ def score_documents(docs: DataFrame, held: int = 1, phrase: int = 0) -> DataFram
         nil = F.lit(0.0)
         whole = whole.unionByName(phrases.select("doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost"))
         rare = rare.unionByName(phrases.select("doc_id", "held_out", "text", F.explode("rare").alias("hash"), zero.alias("times"), F.lit(1).cast("long").alias("spelt")))
+    if running:  # the words above cost nothing
+        spelt, nil = running_costs(rows.withColumn("fold", fold())), F.lit(0.0)
+        whole = whole.unionByName(spelt.select("doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost"))
     rare = rare.join(words.where(F.col("total") < least).select("hash", "n", "base", "cost"), "hash")
     rare = rare.select(
         "doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("double").alias("known"),

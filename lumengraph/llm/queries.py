@@ -59,7 +59,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_documents(table(spark, sf_dir, "documents"))
+    return ppm.score_documents(table(spark, sf_dir, "documents"), running=True)
 
 
 for _query in (op1_toxicity, op2_best_fit_packing, op3_substring_dedup, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op7_ngram_jaccard, op8_language_id, op9_exact_topk, op10_lm_scoring):

@@ -344,6 +344,42 @@ def test_ppm(docs, none, rows, monkeypatch):
     assert ppm.score_documents(none).count() == 0
 
 
+def running_steps(text: str | None) -> list[tuple[bytes, int]]:
+    line = b"\0" * (ppm.ORDER - 1) + b" " + b"".join(w + b" " for w in WORD.findall(raw(text).translate(LOW))) + b"\n"
+    return [(line[i : i + ppm.ORDER], line[i + ppm.ORDER]) for i in range(len(line) - ppm.ORDER)]
+
+
+def test_running_text(docs, none, rows, monkeypatch):
+    fold = lambda r: -1 if r[0] is None else zlib.crc32(str(r[0]).encode()) % 5
+    outside = {f: Counter(s for r in rows if fold(r) not in (1, f) for s in running_steps(r[1])) for f in range(-1, 5)}
+    short = [r for r in rows if len(raw(r[1])) < 60]
+    plain = {g.doc_id: g for g in ppm.score_documents(docs).collect()}
+    for unit, part in ((ppm.UNIT_BYTES, ppm.PART_BYTES), (500, 2000)):
+        monkeypatch.setattr(ppm, "UNIT_BYTES", unit)
+        monkeypatch.setattr(ppm, "PART_BYTES", part)
+        found = ppm.score_documents(docs, running=True).collect()
+        assert len(found) == len(rows)
+        got = {g.doc_id: g for g in found}
+        for i, g in got.items():
+            assert (g.n_tokens, g.n_known, g.train_tokens) == (plain[i].n_tokens, plain[i].n_known, plain[i].train_tokens)
+            assert g.base_score == pytest.approx(plain[i].base_score)
+        for r in short:
+            assert got[r[0]].score == pytest.approx(sum(spelt(outside[fold(r)], *s) for s in running_steps(r[1])), rel=1e-5)
+    assert ppm.score_documents(none, running=True).count() == 0
+
+
+def test_registered_scoring_sees_word_order(spark, rng, tmp_path):
+    """A shuffled training text costs more than a running one."""
+    line = "the cat sat on the mat and then the dog ran to the old house by the sea".split()
+    texts = [" ".join(line * 6) for _ in range(60)]
+    shuffled, clean = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    texts[shuffled] = " ".join(rng.permutation(line * 6))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {g.doc_id: g for g in queries.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[shuffled].base_score == pytest.approx(got[clean].base_score)
+    assert got[shuffled].score < got[clean].score - 20
+
+
 def test_registered_scoring_reads_training_rows(spark, rng, tmp_path):
     """A training text of noise costs more than a clean one of as many words."""
     line = "the cat sat on the mat and then the dog ran to the old house by the sea".split()
