@@ -158,40 +158,41 @@ def train_svm_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J5_train_random_forest")
 def train_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return _predicted(learn.train(rows, "vec_id", learn.Params("rf", trees=50)), rows)
+    return _predicted(learn.train(rows, "vec_id", learn.Params("rf")), rows)
 
 
 @query("J8_grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small grid; the full ones are the defaults of the function."""
-    grid = {"trees": [5, 10], "max_depth": [5], "min_leaf": [1]}
-    return rounded(learn.grid_search(_rows(spark, sf_dir), "vec_id", "rf", grid, 2)[0])
+    """The full grids of both kinds."""
+    rows = _rows(spark, sf_dir)
+    forest, svm = (learn.grid_search(rows, "vec_id", kind)[0].withColumn("kind", F.lit(kind)) for kind in ("rf", "svm"))
+    return rounded(forest.unionByName(svm))
 
 
 @query("J10_cross_validate")
 def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(learn.cross_validate(_rows(spark, sf_dir), "vec_id", learn.Params("rf", trees=10), 3))
+    return rounded(learn.cross_validate(_rows(spark, sf_dir), "vec_id", learn.Params("rf")))
 
 
 @query("J11_predict")
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the training part, applied to the test part."""
     rows = cut(learn.split_dataset(tables.vector_features(spark, sf_dir), "vec_id"))
-    model = learn.train(rows.where("part = 'train'").drop("part"), "vec_id", learn.Params("rf", trees=20))
+    model = learn.train(rows.where("part = 'train'").drop("part"), "vec_id", learn.Params("rf"))
     return _predicted(model, rows.where("part = 'test'"))
 
 
 @query("J13_feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = learn.train(_rows(spark, sf_dir), "vec_id", learn.Params("rf", trees=20))
+    model = learn.train(_rows(spark, sf_dir), "vec_id", learn.Params("rf"))
     return rounded(learn.feature_importance(model, [f"f{i}" for i in range(64)], spark))
 
 
 @query("K11_evaluate")
 def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    model = learn.train(rows, "vec_id", learn.Params("rf", trees=10))
-    folds, whole = learn.evaluate_model(model, rows, "vec_id", 2)
+    model = learn.train(rows, "vec_id", learn.Params("rf"))
+    folds, whole = learn.evaluate_model(model, rows, "vec_id")
     both = folds.withColumn("fold", F.col("fold").cast("string")).unionByName(whole.withColumn("fold", F.lit("all")))
     return rounded(both)
 
@@ -200,7 +201,7 @@ def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of a model read back from storage."""
     rows = _rows(spark, sf_dir)
-    model = learn.train(rows, "vec_id", learn.Params("rf", trees=10))
+    model = learn.train(rows, "vec_id", learn.Params("rf"))
     path = f"{shared_dir(spark)}/lumengraph_model_{spark.sparkContext.applicationId}"
     learn.save_model(model, path, spark)
     return _predicted(learn.load_model(path, spark), rows)

@@ -155,3 +155,43 @@ def test_text_ids_and_selected_features(spark, rng, tmp_path):
     # a model of all features over the folder of one of two reads nothing stale
     learn.save_model(learn.train(df, "image_id", learn.Params(kind="rf", trees=10)), f"{tmp_path}/model", spark)
     assert learn.load_model(f"{tmp_path}/model", spark).places == []
+
+
+class _Stop(Exception):
+    pass
+
+
+def test_registered_learn_queries_run_the_defaults(spark, monkeypatch):
+    from lumengraph.plans import learn_queries as q
+
+    rows = spark.createDataFrame([(i, [float(i)], float(i % 2)) for i in range(20)], "vec_id long, features array<double>, label double")
+    called: list[tuple] = []
+
+    def stop(*args, **named):
+        called.append((*args[2:], *named.items()))
+        raise _Stop
+
+    def reached(name, run):
+        called.clear()
+        with monkeypatch.context() as patch:
+            patch.setattr(q.tables, "vector_features", lambda *_: rows)
+            patch.setattr(learn, name, stop)
+            with pytest.raises(_Stop):
+                run(spark, "")
+        return called[0]
+
+    for run in (q.train_random_forest, q.predict, q.feature_importance, q.evaluate_model, q.save_load_model):
+        assert reached("train", run) == (learn.Params("rf"),)
+    assert reached("cross_validate", q.cross_validate) == (learn.Params("rf"),)
+    with monkeypatch.context() as patch:
+        patch.setattr(learn, "train", lambda *_: None)
+        assert reached("evaluate_model", q.evaluate_model) == ("vec_id",)
+
+    tried: list[tuple] = []
+    metrics = spark.createDataFrame([(0.5, 0.5, 0.5, 0.5)], "accuracy double, precision double, recall double, f1_score double")
+    monkeypatch.setattr(q.tables, "vector_features", lambda *_: rows)
+    monkeypatch.setattr(learn, "cross_validate", lambda df, id_col, params, k: tried.append((params.kind, k)) or metrics)
+    monkeypatch.setattr(learn, "train", lambda *_: None)
+    found = q.grid_search(spark, "").collect()
+    assert tried == [("rf", 5)] * 27 + [("svm", 5)] * len(learn._settings(learn.SVM_GRID))
+    assert len(found) == len(tried) and {r.kind for r in found} == {"rf", "svm"}
