@@ -7,18 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm import exact_dedup, jaccard_join, language_id, mixing, packing, ppm, substring_dedup, suffix_dedup, topk, toxicity
+from lumengraph.llm import (
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    mixing,
+    packing,
+    periodic_runs,
+    ppm,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    topk,
+    toxicity,
+)
 from lumengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_path() -> str:
-    """The vocabulary that packing counts with."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary; by default the one that packing counts with."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +76,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"), running=True)
 
 
-for _query in (op1_toxicity, op2_best_fit_packing, op3_substring_dedup, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op7_ngram_jaccard, op8_language_id, op9_exact_topk, op10_lm_scoring):
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+for _query in (
+    op1_toxicity, op2_best_fit_packing, op3_substring_dedup, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op7_ngram_jaccard,
+    op8_language_id, op9_exact_topk, op10_lm_scoring, op11_spelling_variants, op12_token_counts, op13_periodic_runs,
+):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op5_exact_dedup"] = r"""
