@@ -8,29 +8,23 @@ fitted model is; the rows themselves stay distributed.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    LinearSVC,
-    LinearSVCModel,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumengraph.functions.ordered import with_rank
-from lumengraph.operators import evaluate
-from lumengraph.session import cut
+from lumengraph.operators import evaluate, forest, margins, neighbours
+from lumengraph.session import at_once, cut
 
 SEED = 42
 
@@ -91,7 +85,7 @@ def training_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 def require_both_classes(df: DataFrame, label: str = "label") -> None:
     if training_distribution(df, label).count() < 2:
-        raise ValueError("Need examples from both classes for training")
+        raise ValueError("both classes must occur in the rows to train on")
 
 
 # --- features ----------------------------------------------------------------------------------
@@ -123,7 +117,7 @@ def f_scores(long: DataFrame, name: str = "name", value: str = "value", label: s
     return sums.select(name, F.when(F.col("within") > 0, f).alias("f"))
 
 
-def mutual_information(
+def binned_information(
     long: DataFrame, id_col: str, bins: int = 10, name: str = "name", value: str = "value", label: str = "label"
 ) -> DataFrame:
     """``name, mi`` (nats) between the class and the feature in equally filled bins.
@@ -152,10 +146,12 @@ def select_k_best(scores: DataFrame, score: str, k: int = 100, name: str = "name
 
 
 def select_features(long: DataFrame, id_col: str, method: str = "mutual_info", k: int = 100) -> DataFrame:
-    """Names of the best features; an unknown method falls back to mutual information."""
+    """Names of the best features; an unknown method falls back to mutual information by neighbours."""
     if method == "f_classif":
         return select_k_best(f_scores(long), "f", k)
-    return select_k_best(mutual_information(long, id_col), "mi", k)
+    if method == "binned":
+        return select_k_best(binned_information(long, id_col), "mi", k)
+    return select_k_best(neighbours.mutual_information(long, id_col), "mi", k)
 
 
 def nan_to_zero(features: str = "features") -> Column:
@@ -207,49 +203,105 @@ def fourier_features(features: Column, gamma: float, size: int, seed: int = SEED
     return cosines(features)
 
 
+def count_sketches(values: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """The spectra of count sketches of rows: each feature is added to one of ``size`` places with a sign of its own."""
+    place, sign = rng.integers(0, size, values.shape[1]), rng.choice([-1.0, 1.0], values.shape[1])
+    added = np.zeros((values.shape[1], size))
+    added[np.arange(values.shape[1]), place] = sign
+    return np.fft.rfft(values @ added, axis=1)
+
+
+def tensor_sketch(features: Column, gamma: float, degree: int, size: int, seed: int = SEED) -> Column:
+    """Features whose inner products approach (gamma <x, y>) ** degree (Pham and Pagh 2013).
+
+    The product of the spectra of independent count sketches is the spectrum of a count sketch
+    of the tensor power, which is never formed. The error of an inner product has a standard
+    deviation of at most sqrt(3 ** degree / size) gamma ** degree |x| ** degree |y| ** degree.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sketched(column: pd.Series) -> pd.Series:
+        rows = np.vstack(column.to_numpy()) * np.sqrt(gamma)
+        rng = np.random.default_rng(seed)
+        spectrum = count_sketches(rows, size, rng)
+        for _ in range(degree - 1):
+            spectrum = spectrum * count_sketches(rows, size, rng)
+        return pd.Series(list(np.fft.irfft(spectrum, size, axis=1)))
+
+    return sketched(features)
+
+
 @dataclass
 class Params:
-    """Training parameters; the defaults are those of the original classifiers."""
+    """Training parameters; the defaults are those of the original classifiers.
+
+    A ``max_depth`` of 0 is no limit. ``converged`` of the fitted model says whether the margins
+    met ``tolerance`` within ``max_iter`` rounds.
+    """
 
     kind: str = "svm"
     c: float = 10.0
     gamma: str | float = "scale"
     kernel: str = "rbf"
+    degree: int = 3
     fourier_size: int = 512
+    sketch_size: int = 1024
+    max_iter: int = 500
+    tolerance: float = 1e-2
     trees: int = 200
-    max_depth: int = 30
+    max_depth: int = 0
+    min_split: int = 2
     min_leaf: int = 1
     seed: int = SEED
 
 
+@dataclass
+class Forest:
+    """The nodes of a fitted forest, the edges of its bins, its class weights and how it is read."""
+
+    nodes: DataFrame
+    edges: list[np.ndarray]
+    plan: forest.Plan
+    reading: forest.Reading
+
+    def probability(self, df: DataFrame) -> DataFrame:
+        """``df`` and ``probability`` of class 1, from its column ``features``."""
+        keep = df.columns
+        few = self.nodes.count() <= forest.MOST_BROADCAST
+        if few:
+            rows = df.select(F.struct(*keep).alias("row"), "features", F.lit(-1).alias("fold"))
+            binned = forest.to_bins(rows, self.edges, ["row", "fold"])
+            scored = forest.score(binned, ["row"], self.nodes, [self.plan], [self.reading], len(self.edges))
+            return scored.select("row.*", F.col("scores")[0].alias("probability"))
+        # too many nodes to send to the rows: rows are numbered, scored where the nodes are, and met again
+        numbered = cut(df.withColumn("_nth", F.monotonically_increasing_id()))
+        binned = cut(forest.to_bins(numbered.withColumn("fold", F.lit(-1)), self.edges, ["_nth", "fold"]))
+        scored = forest.score(binned, ["_nth"], self.nodes, [self.plan], [self.reading], len(self.edges))
+        return numbered.join(scored.select("_nth", F.col("scores")[0].alias("probability")), "_nth").select(*keep, "probability")
+
+
 @dataclass
 class Classifier:
     """A fitted scaler and model; ``predict`` adds ``prediction`` and ``probability``."""
 
     params: Params
     scaler: Scaler
-    model: RandomForestClassificationModel | LinearSVCModel
+    model: Forest | margins.Plane
     calibration: LogisticRegressionModel | None = None
     gamma: float = 0.0
+    converged: bool = True
     #: Names of the features in use and their places in the array; none: all.
     selected: list[str] = field(default_factory=list)
     places: list[int] = field(default_factory=list)
 
-    def _inputs(self, df: DataFrame) -> DataFrame:
-        scaled = self.scaler.transform(chosen_features(df, self.places))
-        x = F.col("features")
-        if self.params.kind == "svm" and self.params.kernel == "rbf":
-            x = fourier_features(x, self.gamma, self.params.fourier_size, self.params.seed)
-        return scaled.withColumn("_x", array_to_vector(x))
-
     def predict(self, df: DataFrame) -> DataFrame:
         keep = df.columns
-        out = self.model.transform(self._inputs(df))
+        scaled = self.scaler.transform(chosen_features(df, self.places))
         if self.params.kind == "rf":
-            p = vector_to_array("_p")[1]
-            return out.select(*keep, F.col("_y").cast("int").alias("prediction"), p.alias("probability"))
-        margin = vector_to_array("_raw")[1]
-        out = out.select(*keep, F.col("_y").cast("int").alias("prediction"), margin.alias("margin"))
+            out = self.model.probability(scaled)
+            return out.select(*keep, (F.col("probability") > 0.5).cast("int").alias("prediction"), "probability")
+        out = scaled.withColumn("margin", self.model.margin(kernel_features(self.params, self.gamma)))
+        out = out.select(*keep, (F.col("margin") > 0).cast("int").alias("prediction"), "margin")
         slope, offset = float(self.calibration.coefficients[0]), float(self.calibration.intercept)
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("margin") * slope + offset)))
         return out.withColumn("probability", p)
@@ -265,12 +317,39 @@ def _rbf_gamma(scaled: DataFrame, setting: str | float) -> float:
     return 1.0 / (d * spread) if spread > 0 else 1.0
 
 
-def _fit_margin(rows: DataFrame, c: float, n: int) -> LinearSVCModel:
-    svc = LinearSVC(
-        featuresCol="_x", labelCol="label", weightCol="weight", predictionCol="_y", rawPredictionCol="_raw",
-        regParam=1.0 / (c * n), maxIter=50, tol=1e-4, standardization=False,
-    )
-    return svc.fit(rows)
+KERNELS = ("rbf", "linear", "poly")
+
+
+def kernel_features(params: Params, gamma: float, features: str = "features") -> Column:
+    """The features in which a plane stands for the kernel."""
+    if params.kernel == "rbf":
+        return fourier_features(F.col(features), gamma, params.fourier_size, params.seed)
+    if params.kernel == "poly":
+        return tensor_sketch(F.col(features), gamma, params.degree, params.sketch_size, params.seed)
+    return F.col(features)
+
+
+def kernel_width(params: Params, width: int) -> int:
+    return {"rbf": params.fourier_size, "poly": params.sketch_size, "linear": width}[params.kernel]
+
+
+def _weights(df: DataFrame) -> tuple[float, float]:
+    """The balanced weights of class 0 and 1."""
+    found = {int(r["label"]): r["weight"] for r in class_weights(df).collect()}
+    return found[0], found[1]
+
+
+def _for_forest(df: DataFrame, id_col: str, fold: Column, edges: list[np.ndarray]) -> DataFrame:
+    """The rows a forest is grown from, written; an id is known by its hash."""
+    rows = df.select(F.xxhash64(id_col).alias("key"), fold.cast("int").alias("fold"), F.col("label").cast("int").alias("label"), "features")
+    return cut(forest.to_bins(rows, edges, ["key", "fold", "label"]).select("key", "fold", "label", "bins"))
+
+
+def _grow(scaled: DataFrame, id_col: str, params: Params) -> Forest:
+    edges = forest.bin_edges(scaled)
+    plan = forest.Plan(-1, params.min_leaf, _weights(scaled))
+    nodes = forest.grow(_for_forest(scaled, id_col, F.lit(-1), edges), [plan], params.trees, len(edges), params.seed)
+    return Forest(nodes, edges, plan, forest.Reading(params.trees, params.max_depth, params.min_split))
 
 
 def chosen_features(df: DataFrame, places: Sequence[int]) -> DataFrame:
@@ -299,37 +378,57 @@ def train(
         model.selected, model.places = list(selected), places
         return model
     scaler = scaler or Scaler.fit(df)
-    scaled = scaler.transform(df.select(id_col, "features", "label")).join(class_weights(df), "label")
+    scaled = cut(scaler.transform(df.select(id_col, "features", "label")).join(class_weights(df), "label"))
     if params.kind == "rf":
-        forest = RandomForestClassifier(
-            featuresCol="_x", labelCol="label", weightCol="weight", predictionCol="_y", probabilityCol="_p",
-            rawPredictionCol="_raw", numTrees=params.trees, maxDepth=min(params.max_depth, 30),
-            minInstancesPerNode=params.min_leaf, featureSubsetStrategy="sqrt", seed=params.seed,
-        )
-        rows = cut(scaled.withColumn("_x", array_to_vector("features")))
-        return Classifier(params, scaler, forest.fit(rows))
-    if params.kernel not in ("rbf", "linear"):
+        return Classifier(params, scaler, _grow(scaled, id_col, params))
+    if params.kernel not in KERNELS:
         raise ValueError(f"Unsupported kernel: {params.kernel}")
-    scaled = cut(scaled)
-    gamma = _rbf_gamma(scaled, params.gamma) if params.kernel == "rbf" else 0.0
-    x = F.col("features")
-    if params.kernel == "rbf":
-        x = fourier_features(x, gamma, params.fourier_size, params.seed)
-    rows = cut(stratified_folds(scaled.withColumn("_x", array_to_vector(x)).drop("features"), id_col, 3))
-    n = rows.count()
-    folds = range(rows.agg(F.max("fold")).first()[0] + 1)
-    # The fold models and the final one do not depend on each other; their jobs share the cluster.
-    parts = [rows.where(F.col("fold") != f) for f in folds] + [rows]
-    with ThreadPool(len(parts)) as pool:
-        models = pool.map(lambda part: _fit_margin(part, params.c, n), parts)
-    margins = None
-    for f in folds:
-        held = models[f].transform(rows.where(F.col("fold") == f)).select("label", "weight", vector_to_array("_raw")[1].alias("margin"))
-        margins = held if margins is None else margins.unionByName(held)
+    gamma = 0.0 if params.kernel == "linear" else _rbf_gamma(scaled, params.gamma)
+    rows = stratified_folds(scaled, id_col, 3).withColumn("label", F.col("label").cast("int"))
+    rows = cut(rows.select("fold", "label", "weight", margins.as_bytes(kernel_features(params, gamma)).alias("x")))
+    n, n_folds = rows.agg(F.count("*"), F.max("fold") + 1).first()
+    held = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    weights = _weights(scaled)
+    width = {"x": kernel_width(params, len(scaler.means))}
+    # the planes that calibration needs and the final one are fitted in the same passes
+    tasks = [margins.Task("x", f, params.c, weights, n - (held[f] if f >= 0 else 0)) for f in (*range(n_folds), -1)]
+    *parts, whole = margins.fit(rows, width, tasks, params.max_iter, params.tolerance)
+    planes = np.stack([p.values for p in parts], axis=1)
+
+    @F.pandas_udf("double")
+    def left_out(x: pd.Series, fold: pd.Series) -> pd.Series:
+        """The margin by the plane that did not see the row."""
+        values = np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1)
+        return pd.Series((values * planes[:-1, fold].T).sum(axis=1) + planes[-1, fold])
+
+    margin = cut(rows.select("label", "weight", left_out("x", "fold").alias("margin")))
     calibration = LogisticRegression(featuresCol="m", labelCol="label", weightCol="weight").fit(
-        cut(margins.select("label", "weight", array_to_vector(F.array("margin")).alias("m")))
+        margin.select("label", "weight", array_to_vector(F.array("margin")).alias("m"))
     )
-    return Classifier(params, scaler, models[-1], calibration, gamma)
+    return Classifier(params, scaler, whole, calibration, gamma, whole.converged)
+
+
+def _folded(df: DataFrame, id_col: str, k: int, shuffle: bool) -> tuple[DataFrame, int]:
+    folded = cut(stratified_folds(df.select(id_col, "features", "label"), id_col, k, shuffle))
+    return folded, folded.agg(F.max("fold")).first()[0] + 1
+
+
+def _forest_scores(folded: DataFrame, id_col: str, k: int, least: Sequence[int], readings: Sequence[forest.Reading], seed: int) -> DataFrame:
+    """``fold, label, min_leaf, scores``: every row under each reading of the forests that left its fold out.
+
+    All folds and least sizes of a leaf are grown together. Scaling would not change a tree.
+    """
+    folded = cut(folded.withColumn("features", nan_to_zero()))
+    edges = forest.bin_edges(folded)
+    weights = {f: _weights(folded.where(F.col("fold") != f)) for f in range(k)}
+    plans = [forest.Plan(f, m, weights[f]) for m in least for f in range(k)]
+    rows = _for_forest(folded, id_col, F.col("fold"), edges)
+    nodes = forest.grow(rows, plans, max(r.trees for r in readings), len(edges), seed)
+    # "key" is for rows that travel to their nodes; ids that repeat would be one row there
+    rows = cut(rows.withColumn("nth", F.monotonically_increasing_id()))
+    scored = forest.score(rows, ["nth", "fold", "label"], nodes, plans, readings, len(edges))
+    of = F.array(*[F.lit(p.min_leaf) for p in plans])
+    return scored.select("fold", "label", of[F.col("forest")].alias("min_leaf"), "scores")
 
 
 def cross_validate(
@@ -337,14 +436,22 @@ def cross_validate(
 ) -> DataFrame:
     """All metrics per fold. ``leaky`` fits the scaler on all rows before folding."""
     params = params or Params()
-    folded = cut(stratified_folds(df.select(id_col, "features", "label"), id_col, k, shuffle))
+    folded, n_folds = _folded(df, id_col, k, shuffle)
+    if params.kind == "rf":
+        reading = forest.Reading(params.trees, params.max_depth, params.min_split)
+        found = _forest_scores(folded, id_col, n_folds, [params.min_leaf], [reading], params.seed)
+        score = F.col("scores")[0]
+        return evaluate.all_metrics(found.select("fold", "label", score.alias("score"), (score > 0.5).cast("int").alias("prediction")), ["fold"])
     scaler = Scaler.fit(folded) if leaky else None
-    scored = None
-    for f in range(folded.agg(F.max("fold")).first()[0] + 1):
+
+    def one(f: int) -> DataFrame:
         model = train(folded.where(F.col("fold") != f).drop("fold"), id_col, params, scaler)
         part = model.predict(folded.where(F.col("fold") == f))
-        part = part.select("fold", F.col("label").cast("int").alias("label"), F.col("probability").alias("score"), "prediction")
-        scored = part if scored is None else scored.unionByName(part)
+        return part.select("fold", F.col("label").cast("int").alias("label"), F.col("probability").alias("score"), "prediction")
+
+    scored, *others = at_once([lambda f=f: one(f) for f in range(n_folds)])
+    for part in others:
+        scored = scored.unionByName(part)
     return evaluate.all_metrics(scored, ["fold"])
 
 
@@ -355,49 +462,116 @@ def evaluate_model(model: Classifier, df: DataFrame, id_col: str, k: int = 5) ->
     return folds, evaluate.all_metrics(scored.withColumn("label", F.col("label").cast("int")))
 
 
-# Searched settings. The forest library has no minimum split size.
-SVM_GRID = {"c": [0.1, 1.0, 10.0, 100.0], "gamma": ["scale", "auto", 0.01, 0.1], "kernel": ["rbf", "linear"]}
-FOREST_GRID = {"trees": [100, 200, 300], "max_depth": [30, 10, 20], "min_leaf": [1, 2, 4]}
-
-
-def _settings(grid: dict[str, Iterable]) -> list[dict]:
-    out: list[dict] = [{}]
-    for name, values in grid.items():
-        out = [{**s, name: v} for s in out for v in values]
-    # The linear kernel has no width to search.
-    seen, unique = set(), []
-    for s in out:
-        if s.get("kernel") == "linear":
-            s = {k: v for k, v in s.items() if k != "gamma"}
-        key = json.dumps(s, sort_keys=True)
-        if key not in seen:
-            seen.add(key)
-            unique.append(s)
-    return unique
+# Searched settings; a depth of 0 is none.
+SVM_GRID = {"c": [0.1, 1.0, 10.0, 100.0], "gamma": ["scale", "auto", 0.01, 0.1], "kernel": ["rbf", "linear", "poly"]}
+FOREST_GRID = {"trees": [100, 200, 300], "max_depth": [0, 10, 20, 30], "min_split": [2, 5, 10], "min_leaf": [1, 2, 4]}
+_TRIED = "setting string, accuracy double, precision double, recall double, f1_score double"
+_COUNTS = ("tn", "fp", "fn", "tp")
+
+
+def _settings(grid: dict[str, Sequence]) -> list[dict]:
+    """All settings; the linear kernel has no width to search."""
+    out: list[dict] = []
+    for values in product(*grid.values()):
+        setting = dict(zip(grid, values, strict=True))
+        if setting.get("kernel") == "linear":
+            setting.pop("gamma", None)
+        if setting not in out:
+            out.append(setting)
+    return out
+
+
+def _search_forests(folded: DataFrame, id_col: str, k: int, settings: list[dict]) -> list[tuple[str, int, tuple]]:
+    """(setting, fold, counts). Only the least size of a leaf asks for trees of its own."""
+    full = [Params(kind="rf", **s) for s in settings]
+    reading = [forest.Reading(p.trees, p.max_depth, p.min_split) for p in full]
+    readings, least = list(dict.fromkeys(reading)), sorted({p.min_leaf for p in full})
+    found = _forest_scores(folded, id_col, k, least, readings, SEED)
+    long = found.select("fold", "min_leaf", "label", F.posexplode("scores").alias("nth", "score"))
+    hit = (F.col("score") > 0.5).cast("int")
+    counts = [F.count_if((F.col("label") == y) & (hit == p)).alias(c) for c, (y, p) in zip(_COUNTS, ((0, 0), (0, 1), (1, 0), (1, 1)), strict=True)]
+    # a row for each setting and fold
+    by = {(r["min_leaf"], r["nth"], r["fold"]): tuple(r[c] for c in _COUNTS) for r in long.groupBy("min_leaf", "nth", "fold").agg(*counts).collect()}
+    return [
+        (json.dumps(s, sort_keys=True), f, by[p.min_leaf, readings.index(r), f])
+        for s, p, r in zip(settings, full, reading, strict=True) for f in range(k)
+    ]
+
+
+def _search_margins(folded: DataFrame, id_col: str, k: int, settings: list[dict]) -> list[tuple[str, int, tuple]]:
+    """(setting, fold, counts). A fold is scaled once and mapped once for each kernel and width; all planes step together."""
+    of = [Params(kind="svm", **s) for s in settings]
+    maps = list(dict.fromkeys((p.kernel, p.gamma if p.kernel != "linear" else 0.0) for p in of))
+    by_map = [next(p for p in of if p.kernel == kernel and (kernel == "linear" or p.gamma == gamma)) for kernel, gamma in maps]
+
+    def mapped(f: int) -> tuple[DataFrame, int, tuple[float, float], int]:
+        others = folded.where(F.col("fold") != f)
+        scaler = Scaler.fit(others)
+        rows = cut(scaler.transform(folded).select("fold", F.col("label").cast("int").alias("label"), "features"))
+        seen = rows.where(F.col("fold") != f)
+        spread = {g: _rbf_gamma(seen, g) for g in {p.gamma for p in by_map}}
+        x = [margins.as_bytes(kernel_features(p, spread[p.gamma])).alias(f"x{f}_{i}") for i, p in enumerate(by_map)]
+        return cut(rows.select("fold", "label", *x)), seen.count(), _weights(others), len(scaler.means)
+
+    def one(f: int) -> list[tuple[str, int, tuple]]:
+        rows, n, weights, width = mapped(f)
+        widths = {f"x{f}_{i}": kernel_width(p, width) for i, p in enumerate(by_map)}
+        own = [f"x{f}_{maps.index((p.kernel, p.gamma if p.kernel != 'linear' else 0.0))}" for p in of]
+        tasks = [margins.Task(x, f, p.c, weights, n) for x, p in zip(own, of, strict=True)]
+        planes = margins.fit(rows, widths, tasks, of[0].max_iter, of[0].tolerance)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                label = batch.column("label").to_numpy()
+                values = {x: np.frombuffer(b"".join(batch.column(x).to_pylist()), np.float64).reshape(len(label), -1) for x in widths}
+                hits = [values[x] @ p.values[:-1] + p.values[-1] > 0 for x, p in zip(own, planes, strict=True)]
+                counts = np.array([np.bincount(2 * label + hit, minlength=4) for hit in hits])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), *map(pa.array, counts.T)], ["nth", *_COUNTS])
+
+        counted = rows.where(F.col("fold") == f).mapInArrow(count, "nth long, tn long, fp long, fn long, tp long")
+        got = {r["nth"]: tuple(r[c] for c in _COUNTS) for r in counted.groupBy("nth").agg(*[F.sum(c).alias(c) for c in _COUNTS]).collect()}
+        return [(json.dumps(s, sort_keys=True), f, got[i]) for i, s in enumerate(settings)]
+
+    return [row for rows in at_once([lambda f=f: one(f) for f in range(k)]) for row in rows]
+
+
+def _rates(counts: tuple) -> tuple[float, float, float, float]:
+    """accuracy, precision, recall and F1 from tn, fp, fn, tp; 0 where there is nothing to divide by."""
+    tn, fp, fn, tp = counts
+    return (tn + tp) / max(1, sum(counts)), tp / max(1, tp + fp), tp / max(1, tp + fn), 2 * tp / max(1, 2 * tp + fp + fn)
 
 
 def grid_search(
     df: DataFrame, id_col: str, kind: str = "svm", grid: dict[str, Sequence] | None = None, k: int = 5
 ) -> tuple[DataFrame, Classifier]:
-    """``(settings with mean F1, best first; classifier refitted with the best)``."""
-    grid = grid or (SVM_GRID if kind == "svm" else FOREST_GRID)
-    df = cut(df.select(id_col, "features", "label"))
-    tried = []
-    for setting in _settings(grid):
-        folds = cross_validate(df, id_col, Params(kind=kind, **setting), k)
-        row = folds.agg(*[F.avg(m).alias(m) for m in ("accuracy", "precision", "recall", "f1_score")]).first()
-        tried.append((json.dumps(setting, sort_keys=True), *[float(v) for v in row]))
+    """``(settings with mean accuracy, precision, recall and F1 of the folds, best first; classifier refitted with the best)``.
+
+    Rows are put into folds once; what settings have in common is done once.
+    """
+    if kind not in ("svm", "rf"):
+        raise ValueError(f"no classifier is called {kind!r}")
+    settings = _settings(grid or (SVM_GRID if kind == "svm" else FOREST_GRID))
+    df = df.select(id_col, "features", "label")
+    require_both_classes(df)
+    folded, n_folds = _folded(df, id_col, k, shuffle=False)
+    search = _search_margins if kind == "svm" else _search_forests
+    by_setting: dict[str, list[tuple]] = {}
+    for setting, _, counts in search(folded, id_col, n_folds, settings):
+        by_setting.setdefault(setting, []).append(_rates(counts))
+    tried = [(setting, *[float(v) for v in np.mean(rates, axis=0)]) for setting, rates in by_setting.items()]
     tried.sort(key=lambda t: (-t[4], t[0]))
-    table = df.sparkSession.createDataFrame(tried, "setting string, accuracy double, precision double, recall double, f1_score double")
-    return table, train(df, id_col, Params(kind=kind, **json.loads(tried[0][0])))
+    table = df.sparkSession.createDataFrame(tried, _TRIED)
+    return table, train(folded.drop("fold"), id_col, Params(kind=kind, **json.loads(tried[0][0])))
 
 
 def feature_importance(model: Classifier, names: Sequence[str], spark: SparkSession) -> DataFrame:
     """``name, importance`` in falling order: forest importances or absolute coefficients."""
     if model.params.kind == "rf":
-        values = model.model.featureImportances.toArray()
+        found = forest.importances(model.model.nodes, model.model.plan, model.params.trees).collect()
+        values = np.zeros(len(model.model.edges))
+        values[[r["place"] for r in found]] = [r["importance"] for r in found]
     elif model.params.kernel == "linear":
-        values = np.abs(model.model.coefficients.toArray())
+        values = np.abs(model.model.values[:-1])
     else:
         raise ValueError("a kernel model has no importance per feature")
     rows = sorted(((n, float(v)) for n, v in zip(names, values, strict=True)), key=lambda t: (-t[1], t[0]))
@@ -410,7 +584,12 @@ def feature_importance(model: Classifier, names: Sequence[str], spark: SparkSess
 def save_model(model: Classifier, path: str, spark: SparkSession) -> dict[str, str]:
     """Write model, scaler and, if any, the selected names as three parts under ``path``."""
     paths = {"model": f"{path}/classifier", "scaler": f"{path}/scaler", "feature_selector": f"{path}/feature_selector"}
-    model.model.write().overwrite().save(paths["model"])
+    grown = model.params.kind == "rf"
+    if grown:
+        model.model.nodes.write.mode("overwrite").parquet(paths["model"])
+    else:
+        plane = list(enumerate(model.model.values.tolist()))
+        spark.createDataFrame(plane, "place int, value double").coalesce(1).write.mode("overwrite").parquet(paths["model"])
     if model.calibration is not None:
         model.calibration.write().overwrite().save(f"{path}/calibration")
     scaler = spark.createDataFrame(
@@ -419,7 +598,10 @@ def save_model(model: Classifier, path: str, spark: SparkSession) -> dict[str, s
     )
     scaler.coalesce(1).write.mode("overwrite").parquet(paths["scaler"])
     # What the description does not name is not read, so a folder left by another model does no harm.
-    meta = json.dumps({"params": vars(model.params), "gamma": model.gamma, "selected": bool(model.selected), "calibrated": model.calibration is not None})
+    meta = {"params": vars(model.params), "gamma": model.gamma, "selected": bool(model.selected), "calibrated": model.calibration is not None, "converged": model.converged}
+    if grown:
+        meta |= {"edges": [e.tolist() for e in model.model.edges], "weights": list(model.model.plan.weights)}
+    meta = json.dumps(meta)
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     if not model.selected:
         del paths["feature_selector"]
@@ -434,13 +616,17 @@ def load_model(path: str, spark: SparkSession) -> Classifier:
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
     params = Params(**meta["params"])
     if params.kind not in ("svm", "rf"):
-        raise ValueError("Invalid model format")
+        raise ValueError(f"no classifier is called {params.kind!r}")
     rows = spark.read.parquet(f"{path}/scaler").orderBy("place").collect()
     scaler = Scaler([r["mean"] for r in rows], [r["spread"] for r in rows])
     picked = spark.read.parquet(f"{path}/feature_selector").orderBy("nth").collect() if meta.get("selected") else []
     chosen = {"selected": [r["name"] for r in picked], "places": [r["place"] for r in picked]}
     if params.kind == "rf":
-        return Classifier(params, scaler, RandomForestClassificationModel.load(f"{path}/classifier"), **chosen)
-    model = LinearSVCModel.load(f"{path}/classifier")
+        plan = forest.Plan(-1, params.min_leaf, tuple(meta["weights"]))
+        reading = forest.Reading(params.trees, params.max_depth, params.min_split)
+        nodes = spark.read.schema(forest.NODES).parquet(f"{path}/classifier")
+        return Classifier(params, scaler, Forest(nodes, [np.array(e, np.float64) for e in meta["edges"]], plan, reading), **chosen)
+    values = spark.read.parquet(f"{path}/classifier").orderBy("place").collect()
+    model = margins.Plane(np.array([r["value"] for r in values]), meta["converged"])
     calibration = LogisticRegressionModel.load(f"{path}/calibration") if meta.get("calibrated", True) else None
-    return Classifier(params, scaler, model, calibration, meta["gamma"], **chosen)
+    return Classifier(params, scaler, model, calibration, meta["gamma"], meta["converged"], **chosen)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.operators import learn
+from lumengraph.operators import learn, neighbours
 from lumengraph.plans import sqlkit as sql
 from lumengraph.plans import tables
 from lumengraph.plans.registry import query, rounded
@@ -105,8 +105,30 @@ def select_k_best_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learn.select_features(tables.long_features(spark, sf_dir), "vec_id", "f_classif", 20))
 
 
+_MI = f"""size AS (SELECT name, label, count(*)::DOUBLE AS c FROM feat GROUP BY ALL),
+inn AS MATERIALIZED (SELECT f.*, s.c FROM feat f JOIN size s ON f.name = s.name AND f.label = s.label WHERE s.c > 1),
+gap AS (SELECT a.name, a.vec_id, any_value(a.value) AS value, list_sort(list(abs(b.value - a.value)))[CAST(least(3, any_value(a.c) - 1) AS INT)] AS r
+  FROM inn a JOIN inn b ON a.name = b.name AND a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.name, a.vec_id),
+near AS (SELECT a.name, a.vec_id, count(*)::DOUBLE AS m
+  FROM gap a JOIN inn b ON a.name = b.name AND (abs(b.value - a.value) < a.r OR b.value = a.value) GROUP BY a.name, a.vec_id),
+cls AS (SELECT name, sum(c) AS n, sum(c * ({neighbours.digamma_sql('least(3.0, c - 1)')} - {neighbours.digamma_sql('c')})) AS t FROM size WHERE c > 1 GROUP BY name),
+mi AS (SELECT c.name, greatest(0.0, {neighbours.digamma_sql('any_value(c.n)')} + (any_value(c.t) - sum({neighbours.digamma_sql('m')})) / any_value(c.n)) AS mi
+  FROM cls c JOIN near x ON x.name = c.name GROUP BY c.name)"""
+
+
+@query("J7_mutual_information", sql.with_(sql.FEATURES, _MI, body=f"SELECT name, {sql.r('mi')} AS mi FROM mi"))
+def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the class and each feature, by nearest neighbours."""
+    return rounded(neighbours.mutual_information(tables.long_features(spark, sf_dir), "vec_id"))
+
+
+@query("J7_select_k_best_mi", sql.with_(sql.FEATURES, _MI, body=f"SELECT name, {sql.r('mi')} AS mi FROM mi ORDER BY mi.mi DESC, name LIMIT 20"))
+def select_k_best_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(learn.select_features(tables.long_features(spark, sf_dir), "vec_id", "mutual_info", 20))
+
+
 @query(
-    "J7_select_k_best_mi",
+    "J7_binned_mi",
     sql.with_(
         sql.FEATURES,
         """rk AS (SELECT name, label, (row_number() OVER (PARTITION BY name ORDER BY value, vec_id) - 1) * 10 // count(*) OVER (PARTITION BY name) AS bin,
@@ -117,8 +139,8 @@ def select_k_best_f(spark: SparkSession, sf_dir: str) -> DataFrame:
         body=f"SELECT name, {sql.r('mi')} AS mi FROM mi ORDER BY mi.mi DESC, name LIMIT 20",
     ),
 )
-def select_k_best_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(learn.select_features(tables.long_features(spark, sf_dir), "vec_id", "mutual_info", 20))
+def binned_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(learn.select_features(tables.long_features(spark, sf_dir), "vec_id", "binned", 20))
 
 
 @query(
@@ -205,3 +227,71 @@ def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lumengraph_model_{spark.sparkContext.applicationId}"
     learn.save_model(model, path, spark)
     return _predicted(learn.load_model(path, spark), rows)
+
+
+# --- what must hold of the models, whatever they learned -----------------------------------------
+
+
+_FOLDS = sql.with_(
+    sql.FEATURES,
+    "r AS (SELECT DISTINCT vec_id, label FROM feat)",
+    "f AS (SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY {order}) - 1) % least(5, (SELECT min(n) FROM (SELECT count(*) AS n FROM r GROUP BY label))) AS fold FROM r)",
+    body="SELECT CAST(fold AS INT) AS fold, count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives FROM f GROUP BY fold",
+)
+
+
+@query("J10_fold_sizes", _FOLDS.format(order="vec_id"))
+def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is scored once, in its own fold."""
+    folds = learn.cross_validate(_rows(spark, sf_dir), "vec_id", learn.Params("rf"))
+    return folds.select("fold", (F.col("tn") + F.col("fp")).cast("bigint").alias("negatives"), (F.col("fn") + F.col("tp")).cast("bigint").alias("positives"))
+
+
+@query(
+    "J11_predicted_rows",
+    sql.with_(
+        sql.FEATURES,
+        "r AS (SELECT DISTINCT vec_id, label FROM feat)",
+        body=f"""SELECT vec_id, label, true AS probable FROM r QUALIFY row_number() OVER (ORDER BY {_ORDER.replace('doc_id', 'vec_id')}, vec_id)
+  > (SELECT greatest(1, CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT)) FROM r)""",
+    ),
+)
+def predicted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions are for the test part, and agree with their probabilities."""
+    p = F.col("probability")
+    agrees = p.between(0, 1) & (F.col("prediction") == (p > 0.5).cast("int"))
+    return predict(spark, sf_dir).select("vec_id", "label", agrees.alias("probable"))
+
+
+@query(
+    "J5_forest_invariants",
+    """SELECT 'rows' AS name, count(*) AS value FROM embeddings UNION ALL SELECT 'trees', 200 UNION ALL SELECT 'children do not add up', 0
+UNION ALL SELECT 'leaves that could be split', 0 UNION ALL SELECT 'wrong on more than a twentieth', 0 UNION ALL SELECT 'importance of all features, thousandths', 1000
+UNION ALL SELECT 'other predictions after reading back', 0""",
+)
+def forest_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's rows are those of its children, and only leaves of one class or a single row are left."""
+    rows = _rows(spark, sf_dir)
+    model = learn.train(rows, "vec_id", learn.Params("rf"))
+    nodes = model.model.nodes
+    key = ["forest", "tree", "block"]
+    below = nodes.select(*key, F.col("node").alias("child"), F.col("n").alias("below_n"), F.col("c0").alias("below_0"), F.col("c1").alias("below_1"))
+    inner = nodes.where("feature >= 0").select(*key, "node", "n", "c0", "c1", F.explode(F.array("left", "right")).alias("child"))
+    sums = inner.join(below, [*key, "child"]).groupBy(*key, "node", "n", "c0", "c1")
+    sums = sums.agg(F.sum("below_n").alias("sn"), F.sum("below_0").alias("s0"), F.sum("below_1").alias("s1"))
+    path = f"{shared_dir(spark)}/lumengraph_forest_{spark.sparkContext.applicationId}"
+    learn.save_model(model, path, spark)
+    mine, again = model.predict(rows).select("vec_id", "label", "prediction", "probability"), learn.load_model(path, spark).predict(rows)
+    both = mine.join(again.select("vec_id", F.col("probability").alias("p")), "vec_id")
+    total = sum(r["importance"] for r in learn.feature_importance(model, [f"f{i}" for i in range(64)], spark).collect())
+    wrong = mine.where("prediction <> label").count() * 20 > mine.count()
+    values = [
+        ("rows", mine.count()),
+        ("trees", nodes.select("tree").distinct().count()),
+        ("children do not add up", sums.where("sn <> n OR s0 <> c0 OR s1 <> c1").count()),
+        ("leaves that could be split", nodes.where("feature < 0 AND c0 > 0 AND c1 > 0 AND n > 1").count()),
+        ("wrong on more than a twentieth", int(wrong)),
+        ("importance of all features, thousandths", round(1000 * total)),
+        ("other predictions after reading back", both.where("probability <> p").count()),
+    ]
+    return spark.createDataFrame(values, "name string, value long")

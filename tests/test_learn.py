@@ -187,11 +187,15 @@ def test_registered_learn_queries_run_the_defaults(spark, monkeypatch):
         patch.setattr(learn, "train", lambda *_: None)
         assert reached("evaluate_model", q.evaluate_model) == ("vec_id",)
 
-    tried: list[tuple] = []
-    metrics = spark.createDataFrame([(0.5, 0.5, 0.5, 0.5)], "accuracy double, precision double, recall double, f1_score double")
-    monkeypatch.setattr(q.tables, "vector_features", lambda *_: rows)
-    monkeypatch.setattr(learn, "cross_validate", lambda df, id_col, params, k: tried.append((params.kind, k)) or metrics)
+    settings = {kind: learn._settings(grid) for kind, grid in (("svm", learn.SVM_GRID), ("rf", learn.FOREST_GRID))}
+    assert len(settings["rf"]) == 3 * 4 * 3 * 3 and len(settings["svm"]) == 4 * (4 + 1 + 4)
+    seen: list[tuple] = []
+    for kind, name in (("rf", "_search_forests"), ("svm", "_search_margins")):
+        counts = lambda df, id_col, k, found, kind=kind: seen.append((kind, k, found)) or [(repr(s), f, (1, 1, 1, 1)) for s in found for f in range(k)]
+        monkeypatch.setattr(learn, name, counts)
+    monkeypatch.setattr(learn.json, "loads", lambda _: {})
     monkeypatch.setattr(learn, "train", lambda *_: None)
+    monkeypatch.setattr(q.tables, "vector_features", lambda *_: rows)
     found = q.grid_search(spark, "").collect()
-    assert tried == [("rf", 5)] * 27 + [("svm", 5)] * len(learn._settings(learn.SVM_GRID))
-    assert len(found) == len(tried) and {r.kind for r in found} == {"rf", "svm"}
+    assert sorted(seen, key=str) == sorted([(kind, 5, settings[kind]) for kind in settings], key=str)
+    assert len(found) == 108 + 36 and {r.kind for r in found} == {"rf", "svm"}
