@@ -72,21 +72,28 @@ def kth_distance(df: DataFrame, keys: list[str], value: str, id_col: str, k: int
     return out.drop("_before", "_behind", "_nth", "_left", "_reach", BUCKET)
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Numbers as whole numbers of the same order, neighbours one apart; its own inverse but for the type."""
+    bits = x.view(np.int64)
+    return np.where(bits < 0, np.iinfo(np.int64).min - bits, bits)
+
+
+def _beyond(x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The least number that is, as numbers are subtracted, ``radius`` (above 0) or more beyond ``x``."""
+    inside = _ordered(x)
+    outside = np.maximum(_ordered(x + 2 * radius), inside + 1)
+    while (outside - inside > 1).any():
+        middle = inside + (outside - inside) // 2
+        far = _ordered(middle.view(np.float64)).view(np.float64) - x >= radius
+        inside, outside = np.where(far, inside, middle), np.where(far, middle, outside)
+    return _ordered(outside.view(np.float64)).view(np.float64)
+
+
 @F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 def _open_ends(value: pd.Series, radius: pd.Series) -> pd.DataFrame:
-    """The nearest numbers on both sides whose difference from ``value`` is not below ``radius``; of a radius of 0, the next numbers."""
-    x = value.to_numpy()
-    r = np.maximum(radius.to_numpy(), np.nextafter(0.0, 1.0))
-    ends = []
-    for way in (-1.0, 1.0):
-        end = x + way * r
-        gap = lambda e, way=way: way * (e - x)
-        while (short := gap(end) < r).any():
-            end = np.where(short, np.nextafter(end, way * np.inf), end)
-        while (wide := gap(np.nextafter(end, -way * np.inf)) >= r).any():
-            end = np.where(wide, np.nextafter(end, -way * np.inf), end)
-        ends.append(end)
-    return pd.DataFrame({"low": ends[0], "high": ends[1]})
+    """The nearest numbers on both sides that are not less than ``radius`` away; of a radius of 0, the next numbers."""
+    x, r = value.to_numpy() + 0.0, np.maximum(radius.to_numpy(), np.nextafter(0.0, 1.0))
+    return pd.DataFrame({"low": -_beyond(-x, r), "high": _beyond(x, r)})
 
 
 def nearer_counts(df: DataFrame, keys: list[str], value: str, id_col: str) -> DataFrame:
