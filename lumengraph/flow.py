@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.functions import colour
 from lumengraph.operators import (
-    assemble, colourstats, graph, learn, measures, raster, results, segment, shape, spectral, texture, validate,
+    assemble, colourstats, distances, graph, learn, measures, raster, results, segment, shape, spectral, texture, validate,
 )
 from lumengraph.session import at_once, cut
 
@@ -50,7 +50,9 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # The loops do not depend on each other; their many small jobs share the cluster.
     costs = {kind: measures.costs(edges, kind) for kind in ("inverse", "hops", "weight")}
     inverse, hops, lengths, components, clustering, between = at_once([
-        *[lambda kind=kind: measures.shortest_paths(nodes, costs[kind]) for kind in costs],
+        lambda: cut(distances.distance_sums(nodes, costs["inverse"])),
+        lambda: cut(distances.hop_sums(nodes, costs["hops"])),
+        lambda: cut(distances.distance_sums(nodes, costs["weight"])),
         lambda: cut(graph.connected_components(nodes, edges)),
         lambda: cut(measures.clustering_weighted(nodes, edges)),
         lambda: cut(measures.betweenness(nodes, edges)),

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.functions.ordered import exact_median
+from lumengraph.operators import distances
 from lumengraph.operators.graph import both_ways
 from lumengraph.session import cut
 
 KEYS = ("image_id",)
 FLOOR = 1e-10
-TIE = 1e-9
 
 
 # --- local structure ---------------------------------------------------------------------------
@@ -100,128 +100,51 @@ def costs(edges: DataFrame, kind: str) -> DataFrame:
     return both_ways(edges).withColumn("cost", cost).drop("w")
 
 
-def shortest_paths(
-    nodes: DataFrame, arcs: DataFrame, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """Distances ``keys, s, t, d`` of all reachable pairs, the node itself included.
-
-    Only pairs that got shorter in a round are extended in the next one, by an
-    equi-join on (graph, node) and a partial aggregate per pair. No group is gathered;
-    the state is the answer itself. Rounds: the hops of the longest shortest path.
-    """
-    keys = list(keys)
-    arcs = cut(arcs.select(*keys, F.col("u").alias("t"), F.col("v").alias("next"), "cost"))
-    known = cut(
-        nodes.select(
-            *keys, F.col("node").alias("s"), F.col("node").alias("t"), F.lit(0.0).alias("d"), F.lit(True).alias("new")
-        )
-    )
-    while True:
-        step = known.where("new").join(arcs, [*keys, "t"]).select(
-            *keys, "s", F.col("next").alias("t"), (F.col("d") + F.col("cost")).alias("d"), F.lit(None).cast("double").alias("old")
-        )
-        merged = (
-            known.select(*keys, "s", "t", "d", F.col("d").alias("old"))
-            .unionByName(step)
-            .groupBy(*keys, "s", "t")
-            .agg(F.min("d").alias("d"), F.min("old").alias("old"))
-        )
-        known = cut(merged.select(*keys, "s", "t", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("new")))
-        if known.where("new").isEmpty():
-            return known.drop("new")
+shortest_paths = distances.shortest_paths
 
 
 def betweenness(
-    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, kind: str = "inverse"
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, kind: str = "inverse", batch: int = distances.SOURCES
 ) -> DataFrame:
-    """Share of shortest paths through each node, scaled by (n-1)(n-2).
-
-    The arcs that lie on shortest paths from s form a DAG. Path counts flow along it
-    from s, dependencies flow back; both are sums over arcs, so each round sends what
-    arrived in the last one. Work is the DAG size, never node triples.
-    """
+    """Share of shortest paths through each node, scaled by (n-1)(n-2); ``batch`` sources at a time."""
     keys = list(keys)
-    arcs = cut(costs(edges, kind))
-    dist = cut(shortest_paths(nodes, arcs, keys))
-    near = dist.select(*keys, "s", F.col("t").alias("u"), F.col("d").alias("du"))
-    far = dist.select(*keys, "s", F.col("t").alias("v"), F.col("d").alias("dv"))
-    dag = cut(
-        near.join(arcs, [*keys, "u"])
-        .join(far, [*keys, "s", "v"])
-        .where(F.abs(F.col("du") + F.col("cost") - F.col("dv")) <= F.col("dv") * TIE)
-        .select(*keys, "s", "u", "v")
-    )
-    wave = cut(nodes.select(*keys, F.col("node").alias("s"), F.col("node").alias("u"), F.lit(1.0).alias("c")))
-    total = wave
-    while True:
-        wave = cut(
-            wave.join(dag, [*keys, "s", "u"]).groupBy(*keys, "s", F.col("v").alias("u")).agg(F.sum("c").alias("c"))
-        )
-        if wave.isEmpty():
-            break
-        total = total.unionByName(wave)
-    paths = cut(total.groupBy(*keys, "s", "u").agg(F.sum("c").alias("c")))
-    back = paths.select(*keys, "s", F.col("u").alias("v"), (F.lit(1.0) / F.col("c")).alias("g"))
-    gained = None
-    while True:
-        back = cut(
-            back.join(dag, [*keys, "s", "v"]).groupBy(*keys, "s", F.col("u").alias("v")).agg(F.sum("g").alias("g"))
-        )
-        if back.isEmpty():
-            break
-        gained = back if gained is None else gained.unionByName(back)
+    through = distances.path_shares(nodes, costs(edges, kind), keys, batch)
     size = nodes.groupBy(*keys).agg(F.count("*").alias("n"))
     scale = F.when(F.col("n") > 2, F.lit(1.0) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(F.lit(0.0))
-    if gained is None:
-        through = None
-        base = nodes.select(*keys, "node").withColumn("through", F.lit(0.0))
-    else:
-        through = (
-            gained.groupBy(*keys, "s", "v")
-            .agg(F.sum("g").alias("g"))
-            .withColumnRenamed("v", "u")
-            .join(paths, [*keys, "s", "u"])
-            .where("s <> u")
-            .groupBy(*keys, F.col("u").alias("node"))
-            .agg(F.sum(F.col("g") * F.col("c")).alias("through"))
-        )
-        base = nodes.select(*keys, "node").join(through, [*keys, "node"], "left")
+    base = nodes.select(*keys, "node").join(through, [*keys, "node"], "left")
     return base.join(size, keys).select(
         *keys, "node", (F.coalesce("through", F.lit(0.0)) * scale).alias("betweenness")
     )
 
 
-def closeness(nodes: DataFrame, distances: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def closeness(nodes: DataFrame, sums: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """From ``distances.distance_sums``."""
     keys = list(keys)
     size = nodes.groupBy(*keys).agg(F.count("*").alias("n"))
-    reach = distances.groupBy(*keys, F.col("t").alias("node")).agg(
-        F.count("*").alias("r"), F.sum("d").alias("total")
-    )
+    others = F.col("reached") - 1
     value = F.when(
-        (F.col("total") > 0) & (F.col("n") > 1),
-        (F.col("r") - 1) / F.col("total") * ((F.col("r") - 1) / (F.col("n") - 1)),
+        (F.col("total") > 0) & (F.col("n") > 1), others / F.col("total") * (others / (F.col("n") - 1))
     ).otherwise(F.lit(0.0))
-    return reach.join(size, keys).select(*keys, "node", value.alias("closeness"))
+    return sums.join(size, keys).select(*keys, "node", value.alias("closeness"))
 
 
 def eccentricity(nodes: DataFrame, hops: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Largest hop distance of each node; infinite when the graph is not connected."""
+    """Largest hop distance of each node, from ``distances.hop_sums``; infinite when the graph is not connected."""
     keys = list(keys)
     size = nodes.groupBy(*keys).agg(F.count("*").alias("n"))
-    seen = hops.groupBy(*keys, F.col("s").alias("node")).agg(F.max("d").alias("far"), F.count("*").alias("r"))
-    return seen.join(size, keys).select(
-        *keys, "node", F.when(F.col("r") == F.col("n"), F.col("far")).otherwise(F.lit(float("inf"))).alias("eccentricity")
-    )
+    far = F.when(F.col("reached") == F.col("n"), F.col("farthest")).otherwise(F.lit(float("inf")))
+    return hops.join(size, keys).select(*keys, "node", far.alias("eccentricity"))
 
 
 def global_efficiency(nodes: DataFrame, hops: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """From ``distances.hop_sums``."""
     keys = list(keys)
     size = nodes.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = hops.where("s <> t").groupBy(*keys).agg(F.sum(F.lit(1.0) / F.col("d")).alias("total"))
+    total = hops.groupBy(*keys).agg(F.sum("inverse").alias("inverse"))
     n = F.col("n")
     return size.join(total, keys, "left").select(
         *keys,
-        F.when(n > 1, F.coalesce("total", F.lit(0.0)) / (n * (n - 1))).otherwise(F.lit(0.0)).alias("global_efficiency"),
+        F.when(n > 1, F.coalesce("inverse", F.lit(0.0)) / (n * (n - 1))).otherwise(F.lit(0.0)).alias("global_efficiency"),
     )
 
 
@@ -243,7 +166,7 @@ def local_efficiency(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = K
     ego_edges = tri.select(*keys, F.inline(sides)).withColumn("weight", F.lit(1.0))
     ego_nodes = both_ways(edges).select(*keys, F.col("u").alias("ego"), F.col("v").alias("node"))
     ego_nodes, ego_edges = cut(ego_nodes), cut(ego_edges)
-    hops = shortest_paths(ego_nodes, costs(ego_edges, "hops"), ego_keys)
+    hops = distances.hop_sums(ego_nodes, costs(ego_edges, "hops"), ego_keys)
     eff = global_efficiency(ego_nodes, hops, ego_keys).withColumnRenamed("ego", "node")
     return nodes.select(*keys, "node").join(eff, [*keys, "node"], "left").groupBy(*keys).agg(
         F.avg(F.coalesce("global_efficiency", F.lit(0.0))).alias("local_efficiency")
@@ -251,16 +174,16 @@ def local_efficiency(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = K
 
 
 def char_path_length(
-    nodes: DataFrame, distances: DataFrame, components: DataFrame, keys: Sequence[str] = KEYS
+    nodes: DataFrame, sums: DataFrame, components: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Mean distance; over several components the mean of theirs weighted by size.
+    """Mean distance, from ``distances.distance_sums``; over several components the mean of theirs weighted by size.
 
     Components of one node do not count; a graph of such only has no length (infinite).
     """
     keys = list(keys)
     size = components.groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    of = components.select(*keys, F.col("node").alias("s"), "component")
-    total = distances.join(of, [*keys, "s"]).groupBy(*keys, "component").agg(F.sum("d").alias("total"))
+    of = components.select(*keys, "node", "component")
+    total = sums.join(of, [*keys, "node"]).groupBy(*keys, "component").agg(F.sum("total").alias("total"))
     n = F.col("n")
     each = size.join(total, [*keys, "component"]).where("n > 1").select(
         *keys, n.alias("n"), (F.col("total") / (n * (n - 1))).alias("length")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.operators import graph, measures
+from lumengraph.operators import distances, graph, measures
 from lumengraph.plans import sqlkit as sql
 from lumengraph.plans import tables
 from lumengraph.plans.registry import query, rounded
@@ -226,8 +226,8 @@ FROM dist d JOIN size z ON z.image_id = d.image_id GROUP BY d.image_id, d.t""",
     ),
 )
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, dist = _paths(spark, sf_dir, "inverse")
-    return rounded(measures.closeness(nodes, dist))
+    nodes, edges = nodes_edges(spark, sf_dir)
+    return rounded(measures.closeness(nodes, distances.distance_sums(nodes, measures.costs(edges, "inverse"))))
 
 
 @query(
@@ -241,8 +241,8 @@ FROM dist d JOIN size z ON z.image_id = d.image_id GROUP BY d.image_id, d.s""",
     ),
 )
 def eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, hops = _paths(spark, sf_dir, "hops")
-    found = measures.eccentricity(nodes, hops)
+    nodes, edges = nodes_edges(spark, sf_dir)
+    found = measures.eccentricity(nodes, distances.hop_sums(nodes, measures.costs(edges, "hops")))
     finite = F.when(F.col("eccentricity") != float("inf"), F.col("eccentricity"))
     return found.select("image_id", "node", finite.alias("eccentricity"))
 
@@ -291,14 +291,15 @@ FROM (SELECT DISTINCT image_id FROM nodes) n LEFT JOIN (SELECT * FROM each WHERE
 
 @query("F9_char_path_length", _length_sql(sql.EDGES))
 def char_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, dist = _paths(spark, sf_dir, "weight")
+    nodes, edges = nodes_edges(spark, sf_dir)
+    dist = distances.distance_sums(nodes, measures.costs(edges, "weight"))
     return rounded(measures.char_path_length(nodes, dist, graph.connected_components(nodes, edges)))
 
 
 @query("F10_char_path_length_disconnected", _length_sql(sql.EDGES.replace("> 0.75)", f"> {_SPLIT})")))
 def char_path_length_disconnected(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _split(spark, sf_dir)
-    dist = measures.shortest_paths(nodes, measures.costs(edges, "weight"))
+    dist = distances.distance_sums(nodes, measures.costs(edges, "weight"))
     found = measures.char_path_length(nodes, dist, graph.connected_components(nodes, edges))
     finite = F.when(F.col("char_path_length") != float("inf"), F.col("char_path_length"))
     return rounded(found.select("image_id", finite.alias("char_path_length")))
@@ -315,7 +316,8 @@ FROM dist d JOIN size z ON z.image_id = d.image_id GROUP BY d.image_id""",
     ),
 )
 def global_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, hops = _paths(spark, sf_dir, "hops")
+    nodes, edges = nodes_edges(spark, sf_dir)
+    hops = distances.hop_sums(nodes, measures.costs(edges, "hops"))
     return rounded(measures.global_efficiency(nodes, hops))
 
 

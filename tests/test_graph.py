@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from lumengraph.operators import graph, measures, spectral
+from lumengraph.operators import distances, graph, measures, spectral
 
 
 def table(spark, graphs):
@@ -46,7 +46,7 @@ def test_closed_forms(tiny):
     assert trans["k5"] == 1 and trans["cycle6"] == 0
     clus = by(measures.clustering_weighted(nodes, edges), "clustering", "image_id", "node")
     assert all(math.isclose(clus[("k5", i)], 1) for i in range(5)) and clus[("star6", 0)] == 0
-    hops = measures.shortest_paths(nodes, measures.costs(edges, "hops"))
+    hops = distances.hop_sums(nodes, measures.costs(edges, "hops"))
     eff = by(measures.global_efficiency(nodes, hops), "global_efficiency", "image_id")
     assert math.isclose(eff["k5"], 1) and math.isclose(eff["star6"], (10 + 20 * 0.5) / 30)
     ecc = by(measures.eccentricity(nodes, hops), "eccentricity", "image_id", "node")
@@ -72,7 +72,7 @@ def test_path_length_of_parts(tiny):
     nodes, edges = tiny
     comps = graph.connected_components(nodes, edges)
     assert by(comps, "component", "image_id", "node")[("two", 4)] == 3
-    dist = measures.shortest_paths(nodes, measures.costs(edges, "weight"))
+    dist = distances.distance_sums(nodes, measures.costs(edges, "weight"))
     got = by(measures.char_path_length(nodes, dist, comps), "char_path_length", "image_id")
     assert math.isclose(got["two"], ((0.5 + 0.5 + 1.0) / 3 * 3 + 0.25 * 2) / 5)
     fixed = graph.repair_connectivity(nodes, edges, comps).where("image_id = 'two'").collect()
@@ -156,3 +156,25 @@ def test_moments_and_bands(spark, rng):
         assert abs(got[k] - x @ np.linalg.matrix_power(dense, k) @ x) < 1e-9
     power = by(spectral.band_power(spectral.chebyshev_moments(lap, signal)), "power", "band")
     assert abs(sum(power.values()) - x @ x) < 1e-9
+
+
+def test_sums_over_distances_are_those_of_all_pairs(spark, rng):
+    """Batches of few sources; graphs of one word and of several, in parts, with ties and a lone node."""
+    nodes, edges = [], []
+    for name, n, m in (("big", 66, 420), ("small", 7, 9), ("lone", 1, 0)):
+        nodes += [(name, 3 * i) for i in range(n)]
+        pairs = {tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(m)}
+        edges += [(name, 3 * a, 3 * b, float(rng.integers(1, 5)) / 4) for a, b in pairs]
+    nodes = spark.createDataFrame(nodes, "image_id string, node int")
+    edges = spark.createDataFrame(edges, "image_id string, src int, dst int, weight double")
+    for kind, found in (("hops", lambda arcs: distances.hop_sums(nodes, arcs, words=1)), ("weight", lambda arcs: distances.distance_sums(nodes, arcs, sources=40))):
+        arcs = measures.costs(edges, kind)
+        want: dict = {}
+        for r in measures.shortest_paths(nodes, arcs).collect():
+            reached, total, far, inverse = want.get((r["image_id"], r["t"]), (0, 0.0, 0.0, 0.0))
+            want[r["image_id"], r["t"]] = (reached + 1, total + r["d"], max(far, r["d"]), inverse + (1 / r["d"] if r["d"] else 0))
+        got = {(r["image_id"], r["node"]): tuple(r[c] for c in ("reached", "total", "farthest", "inverse")) for r in found(arcs).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+    whole, parts = (by(measures.betweenness(nodes, edges, batch=b), "betweenness", "image_id", "node") for b in (64, 40))
+    assert whole.keys() == parts.keys() and all(math.isclose(whole[k], parts[k], abs_tol=1e-12) for k in whole)
