@@ -1,31 +1,23 @@
 """Code length of documents by prediction by partial matching.
 
 A text is its lower-cased words, each closed by a gap, then one end. Bytes are predicted
-from up to seven bytes before them, not reaching past the gap before the word, so a word's
-code length depends on the word alone and is worked out once for each distinct word. In each
-context an unseen byte costs an escape, with probability q / 2n for q distinct bytes in n
-occurrences, and a byte seen c times has (2c - 1) / 2n (method D); the next shorter context
-then leaves out the bytes of the longer one (exclusion), down to all bytes being equally
-likely. A shorter context counts a byte once for each longer context that has it (update
-exclusion). Counts come from all training texts.
-
-Above the bytes, texts may also be read in phrases: runs of words that start where a word's
-hash is divisible by ``phrase`` (about that many words long), so that equal passages fall
-into equal phrases. A phrase of the training texts is predicted as a whole, by its count; any
-other costs one escape, by method D as well, and is spelt by its words.
-
-Bytes may also be predicted from the running text (``running``): the seven bytes of context
-then reach over gaps, back to the gap before the text, and a text is scored by the training
-texts outside its own fold (rows with a null id are a fold here), as seven running bytes are
-often the text's own and would tell it what follows. The base score has no such rule. Tasks sum the leaves of some
-`UNIT_BYTES` of texts of one fold before they hand them on, sorted and packed; costs come back for each
-distinct leaf of such a unit, as 32-bit floats in the same order, and meet its texts again.
-
-Steps: distinct words with counts; their byte contexts, the leaves of the context trie,
-summed over all words; leaves dealt out by the last two bytes of their context, so that one
-task has all longer contexts of a leaf (contexts of one and no byte are two small tables);
-code lengths back to the words; words to documents. Frequent words, at most `FREQUENT`, go
-to the tasks as sorted arrays; tokens of all other words are joined.
+from the seven bytes before them, back to the gap before the text. In each context an unseen
+byte costs an escape, with probability q / 2n for q distinct bytes in n occurrences, and a
+byte seen c times has (2c - 1) / 2n (method D); the next shorter context then leaves out the
+bytes of the longer one (exclusion), down to all bytes being equally likely. A shorter
+context counts a byte once for each longer context that has it (update exclusion). Counts
+come from all training texts; one model scores every text, a training text's own bytes
+being among those it has seen.
+
+Tasks sum the leaves of the context trie (seven bytes and the next) over units of about
+`UNIT_BYTES` of texts before they hand them on, sorted and packed, dealt out by the last three
+bytes of the context, so that one task has all longer contexts of a leaf; contexts of two
+bytes and fewer are small tables. Costs come back for each distinct leaf of a unit, as 32-bit floats in
+the same order, and meet the unit's texts, which wait packed. Leaves are deleted when their
+costs are written.
+
+For the base score, frequent words, at most `FREQUENT`, go to the tasks as sorted arrays;
+tokens of all other words are joined.
 
 Null or empty text has no words and costs the end alone. Repeated rows are scored each. Rows
 with a null id count as training texts. With no training rows all bytes are equally likely,
@@ -34,6 +26,7 @@ and the base score is that of its formula with N and V 0. An empty table gives n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,23 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.llm.common import fold, texts
-from lumengraph.llm.kernel import LOWER, Sums, Words, byte_sums, mix, slices
-from lumengraph.session import cut
+from lumengraph.llm.kernel import LOWER, Words, byte_sums, mix, slices
+from lumengraph.session import cut, shared_dir
 
 ORDER = 7
+#: Contexts are dealt out by their last bytes, so many; counts of shorter ones go to all tasks.
+SHORT = 3
 GAP, END = 0x20, 0x0A
 #: Words sent to all tasks, at most: 25 bytes each.
 FREQUENT = 1 << 19
-#: Words of a phrase, on average.
-PHRASE = 32
-#: Words of a block, about; and distinct words a task keeps before it hands them on.
-BLOCK_WORDS, HELD = 150_000, 400_000
-#: Leaves that a task works on at a time.
-CHUNK = 400_000
+#: Distinct words a task keeps before it hands them on.
+HELD = 400_000
 #: Bytes of the texts whose leaves are summed together, about; and of all texts for each part of the contexts.
-UNIT_BYTES, PART_BYTES = 8 << 20, 2 << 20
-#: Folds of `fold`, which also has -1.
-FOLDS = 5
+UNIT_BYTES, PART_BYTES = 12 << 20, 2 << 20
 
 #: The word that stands for the end of a text; no word has the byte.
 END_WORD = bytes([END])
@@ -102,40 +91,6 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("word", "hash").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def leaf_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(leaf of every byte of every word with its closing gap, number of leaves of each word).
-
-    A leaf is the context, its last seven bytes, and the byte that follows it.
-    """
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    sizes = np.array([len(w) + (w != END_WORD) for w in words], np.int64)
-    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])  # of the gap before each word
-    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.repeat(starts, sizes) + inside  # of the last byte of the context
-    history = np.zeros(len(place), np.uint64)
-    for back in range(ORDER):
-        byte = np.where(back <= inside, data[np.maximum(place - back, 0)], 0).astype(np.uint64)
-        history |= byte << np.uint64(8 * back)
-    return history << np.uint64(8) | data[place + 1].astype(np.uint64), sizes
-
-
-def block_leaves(words: DataFrame) -> DataFrame:
-    """block, leaf, n of the words (block, word, n), summed inside each batch."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            leaf, sizes = leaf_keys(batch.column("word").to_pylist())
-            n, block = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("n", "block"))
-            for b in np.unique(block):
-                kinds, place = np.unique(leaf[block == b], return_inverse=True)
-                sums = np.bincount(place, n[block == b], len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), b, np.int32)), pa.array(kinds.view(np.int64)), pa.array(sums)], ["block", "leaf", "n"])
-
-    return words.select("block", "word", "n").mapInArrow(spell, "block int, leaf long, n long")
-
-
 class _Counts:
     """Counts of (context, byte) pairs of one order, sorted by pair."""
 
@@ -175,19 +130,19 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0.0)
 
 
-def code_lengths(leaf: np.ndarray, n: np.ndarray, shorter: tuple[_Counts, _Counts], asked: np.ndarray | None = None) -> np.ndarray:
-    """log10 of the probability of each leaf's byte in its context; 0 for leaves not ``asked`` for.
+def code_lengths(leaf: np.ndarray, n: np.ndarray, shorter: tuple[_Counts, ...]) -> np.ndarray:
+    """log10 of the probability of each leaf's byte in its context.
 
-    All leaves whose contexts share their last two bytes must be given together; ``shorter``
-    has the counts of order 1 and 0 over all leaves.
+    All leaves whose contexts share their last `SHORT` bytes must be given together; ``shorter``
+    has the counts of the orders below over all leaves, from the longest down.
     """
     byte, history = leaf & np.uint64(255), leaf >> np.uint64(8)
-    out, rest = np.zeros(len(leaf)), np.arange(len(leaf)) if asked is None else np.flatnonzero(asked)  # rest: leaves that no longer context had
+    out, rest = np.zeros(len(leaf)), np.arange(len(leaf))  # rest: leaves that no longer context had
     above: _Counts | None = None
     for order in range(ORDER, -1, -1):
         context = history[rest] & np.uint64((1 << 8 * order) - 1)
-        if order < 2:
-            counts = shorter[1 - order]
+        if order < SHORT:
+            counts = shorter[SHORT - 1 - order]
         elif above is None:
             counts = _Counts(history, byte, n)
         else:
@@ -208,59 +163,10 @@ def code_lengths(leaf: np.ndarray, n: np.ndarray, shorter: tuple[_Counts, _Count
         if not len(rest):
             return out
         above = counts
-    out[rest] -= np.log10(np.maximum(256.0 - shorter[1].kinds.sum(), 1.0))
+    out[rest] -= np.log10(np.maximum(256.0 - shorter[-1].kinds.sum(), 1.0))
     return out
 
 
-def leaf_code_lengths(leaves: DataFrame) -> DataFrame:
-    """leaf, cost of the written table ``leaves`` (leaf, n)."""
-    two = leaves.where("n > 0").select(F.expr("leaf & 16777215").alias("two")).distinct()
-    short = two.groupBy(F.expr("two & 65535").alias("pair")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 2**16 rows
-    shared = leaves.sparkSession.sparkContext.broadcast(_shorter(short["pair"].to_numpy(), short["n"].to_numpy()))
-
-    def cost(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        leaf, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(code_lengths(leaf.view(np.uint64), n, shared.value))], ["leaf", "cost"])
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            leaf, n, near = (batch.column(c).to_numpy() for c in ("leaf", "n", "near"))
-            if sum(len(h[0]) for h in held) >= CHUNK and len(near):
-                done = int(np.searchsorted(near, near[-1]))  # the last group may go on
-                if done:
-                    yield cost([*held, (leaf[:done], n[:done])])
-                    held, leaf, n = [], leaf[done:], n[done:]
-            held.append((leaf, n))
-        if sum(len(h[0]) for h in held):
-            yield cost(held)
-
-    near = leaves.withColumn("near", F.expr("(leaf >> 8) & 65535"))
-    return near.repartition("near").sortWithinPartitions("near").mapInArrow(stream, "leaf long, cost double")
-
-
-def score_words(counts: DataFrame) -> DataFrame:
-    """hash, n, total, cost (log10 of its probability) of each distinct word of the written table ``counts``."""
-    blocks = 1 + counts.count() // BLOCK_WORDS
-    words = counts.withColumn("block", F.pmod("hash", F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    words = cut(words.sortWithinPartitions("block"))
-    spelt = cut(block_leaves(words).groupBy("block", "leaf").agg(F.sum("n").alias("n")))
-    costs = leaf_code_lengths(cut(spelt.groupBy("leaf").agg(F.sum("n").alias("n"))))
-    back = spelt.select("block", "leaf").join(costs, "leaf").select("block", "leaf", "cost")
-
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return left.select(["hash", "n", "total"]).append_column("cost", pa.array([], pa.float64()))
-        leaf, cost = right.column("leaf").to_numpy().view(np.uint64), right.column("cost").to_numpy()
-        order = np.argsort(leaf)
-        spelling, sizes = leaf_keys(left.column("word").to_pylist())
-        each = cost[order][np.searchsorted(leaf[order], spelling)]
-        sums = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-        return left.select(["hash", "n", "total"]).append_column("cost", pa.array(sums))
-
-    return words.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(add, "hash long, n long, total long, cost double")
-
-
 def running_leaves(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(leaf of every byte of every text's running words and end, number of leaves of each text) of a lower-cased slice."""
     words = Words(data, bounds)
@@ -297,150 +203,151 @@ def _unpacked(packed: bytes, size: int, kind: type) -> np.ndarray:
 
 
 def _dealt(kinds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the sorted leaves by part, bounds of the parts in it); a part has all leaves of the last two bytes of a context."""
-    part = (mix(kinds >> np.uint64(8) & np.uint64(65535)) % np.uint64(parts)).astype(np.int64)
+    """(order of the sorted leaves by part, bounds of the parts in it); a part has all leaves of the last bytes of a context."""
+    part = (mix(kinds >> np.uint64(8) & np.uint64((1 << 8 * SHORT) - 1)) % np.uint64(parts)).astype(np.int64)
     return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
 
 
-#: Columns of a unit: a row for each text, and rows of its leaves and counts for each part; part -1 has the
-#: leaves of one byte after two of the training texts.
-_UNIT_SQL = "unit long, fold int, doc_id long, held_out boolean, text long, body binary, part int, size int, leaf binary, n binary"
+#: Columns of a unit, by kind: 0 are slices of its texts, 1 its leaves and their counts in training texts for each part,
+#: 2 the ends of its training leaves, `SHORT` bytes and the next.
 _UNIT = pa.schema(
     {
-        "unit": pa.int64(), "fold": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.int64(), "body": pa.binary(), "part": pa.int32(), "size": pa.int32(),
-        "leaf": pa.binary(), "n": pa.binary(),
+        "kind": pa.int32(), "unit": pa.int64(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "text": pa.list_(pa.int64()), "bounds": pa.list_(pa.int64()),
+        "body": pa.binary(), "part": pa.int32(), "size": pa.int32(), "leaf": pa.binary(), "n": pa.binary(),
     }
 )
+_UNIT_SQL = (
+    "kind int, unit long, doc_id array<long>, held_out array<boolean>, text array<long>, bounds array<long>, body binary, part int, size int, leaf binary, n binary"
+)
 
 
-def _kinds(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct leaves of ``held``, sorted, and their counts; the list is emptied."""
-    leaf = np.concatenate(held or [np.zeros(0, np.uint64)])
-    held.clear()
-    leaf.sort()
+def _kinds(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct leaves, sorted, and the first place of each among the sorted."""
+    leaf = np.sort(leaf)
     first = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])[: len(leaf)])
-    return leaf[first], np.diff(np.append(first, len(leaf)))
+    return leaf[first], first
 
 
-def _unit_rows(unit: int, fold: int, rows: int, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
-    columns |= {"unit": np.full(rows, unit), "fold": np.full(rows, fold)}
+def _unit_rows(kind: int, unit: int, rows: int, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
+    columns |= {"kind": np.full(rows, kind), "unit": np.full(rows, unit)}
     made = [columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in _UNIT]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, _UNIT, strict=True)], schema=_UNIT)
 
 
 def _units(rows: DataFrame, parts: int) -> DataFrame:
-    """`_UNIT` of the texts (doc_id, held_out, fold, text)."""
-
-    def summed(unit: int, fold: int, training: bool, held: list[np.ndarray]) -> pa.RecordBatch:
-        kinds, n = _kinds(held)
-        n = n.astype(np.uint32) if training else np.zeros(len(kinds), np.uint32)
-        two = np.unique(kinds & np.uint64(0xFFFFFF)) if training else kinds[:0]
+    """`_UNIT` of the texts (doc_id, held_out, text)."""
+
+    def summed(unit: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """``held`` has leaves, and whether they are of training texts."""
+        leaf, trains = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        held.clear()
+        kinds, _ = _kinds(leaf)
+        n = np.zeros(len(kinds), np.uint32)
+        own, first = _kinds(leaf[trains])
+        n[np.searchsorted(kinds, own)] = np.diff(np.append(first, int(trains.sum())))
+        ends = np.unique(own & np.uint64((1 << 8 * (SHORT + 1)) - 1))
+        del leaf, trains, own
         order, bounds = _dealt(kinds, parts)
         kinds, n = kinds[order], n[order]
         own = np.flatnonzero(np.diff(bounds))
         pieces = [slice(bounds[p], bounds[p + 1]) for p in own]
-        return _unit_rows(
-            unit, fold, len(own) + 1, part=np.append(own, -1), size=np.append(np.diff(bounds)[own], len(two)),
-            leaf=[*(_packed(kinds[p]) for p in pieces), _packed(two)], n=[*(_packed(n[p]) for p in pieces), None],
-        )
+        yield _unit_rows(1, unit, len(own), part=own, size=np.diff(bounds)[own], leaf=[_packed(kinds[p]) for p in pieces], n=[_packed(n[p]) for p in pieces])
+        yield _unit_rows(2, unit, 1, size=[len(ends)], leaf=[_packed(ends)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        next_ = TaskContext.get().partitionId() << 32
-        units: dict[int, tuple[int, bool, list[np.ndarray]]] = {}  # of each fold: unit, whether it trains, leaves
-        for whole in batches:
-            folds = whole.column("fold").to_numpy()
-            for f in np.unique(folds).tolist():
-                batch = whole.take(pa.array(np.flatnonzero(folds == f)))
-                doc, out = batch.column("doc_id"), batch.column("held_out")
-                for first, end, data, bounds in slices(batch.column("text")):
-                    if f not in units:
-                        units[f], next_ = (next_, not out[0].as_py(), []), next_ + 1
-                    unit, training, held = units[f]
-                    data = LOWER[data]
-                    held.append(running_leaves(data, bounds)[0])
-                    body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
-                    text = byte_sums(data).of(bounds[:-1], bounds[1:]).view(np.int64)
-                    yield _unit_rows(unit, f, end - first, doc_id=doc.slice(first, end - first), held_out=out.slice(first, end - first), text=text, body=body.cast(pa.binary()))
-                    if sum(map(len, held)) >= UNIT_BYTES:
-                        yield summed(unit, f, training, held)
-                        del units[f]
-        for f, (unit, training, held) in units.items():
-            yield summed(unit, f, training, held)
-
-    return rows.select("doc_id", "held_out", "fold", "text").mapInArrow(gather, _UNIT_SQL)
-
-
-def _shorter(pair: np.ndarray, n: np.ndarray) -> tuple[_Counts, _Counts]:
-    """Counts of order 1 and 0 from the number of contexts of two bytes for each pair of last byte and next."""
-    pair = pair.astype(np.uint64)
-    one = _Counts(pair >> np.uint64(8), pair & np.uint64(255), n)
-    return one, one.shorter(0)
+        unit, held = TaskContext.get().partitionId() << 32, []
+        for batch in batches:
+            doc, out = batch.column("doc_id"), batch.column("held_out")
+            for first, end, data, bounds in slices(batch.column("text")):
+                data = LOWER[data]
+                leaf, sizes = running_leaves(data, bounds)
+                held.append((leaf, np.repeat(~np.array(out.slice(first, end - first).to_pylist(), bool), sizes)))
+                text = byte_sums(data).of(bounds[:-1], bounds[1:]).view(np.int64)
+                one = lambda x: [x.tolist() if isinstance(x, np.ndarray) else x.to_pylist()]
+                yield _unit_rows(
+                    0, unit, 1, doc_id=one(doc.slice(first, end - first)), held_out=one(out.slice(first, end - first)), text=one(text), bounds=one(bounds),
+                    body=[pa.compress(data.tobytes(), "zstd", asbytes=True)],
+                )
+                if sum(len(h[0]) for h in held) >= UNIT_BYTES:
+                    yield from summed(unit, held)
+                    unit += 1
+        if held:
+            yield from summed(unit, held)
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(gather, _UNIT_SQL)
+
+
+def _shorter(triple: np.ndarray, n: np.ndarray) -> tuple[_Counts, ...]:
+    """Counts of the orders below `SHORT`, from the number of contexts of `SHORT` bytes for each context one shorter and next byte."""
+    triple = triple.astype(np.uint64)
+    counts = [_Counts(triple >> np.uint64(8), triple & np.uint64(255), n)]
+    for order in range(SHORT - 2, -1, -1):
+        counts.append(counts[-1].shorter(order))
+    return tuple(counts)
 
 
 def running_costs(rows: DataFrame) -> DataFrame:
-    """doc_id, held_out, text, cost of each text (doc_id, held_out, fold, text), whose bytes are predicted from the running text."""
+    """doc_id, held_out, text, cost of each text (doc_id, held_out, text), whose bytes are predicted from the running text."""
+    spark = rows.sparkSession
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = int(min(1 + size // PART_BYTES, 1 << 16))
-    units = cut(_units(rows, parts))
+    parts = int(1 + size // PART_BYTES)
+    path = f"{shared_dir(spark)}/lumengraph/{uuid.uuid4().hex}"
+    _units(rows, parts).write.partitionBy("kind").parquet(path)
+    written = spark.read.schema(_UNIT_SQL).parquet(path)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, n, f in zip(*(batch.column(c).to_pylist() for c in ("leaf", "size", "fold")), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(packed, n, np.uint64).view(np.int64)), pa.array(np.full(n, 1 << (f + 1)))], ["two", "folds"])
+            for packed, n in zip(*(batch.column(c).to_pylist() for c in ("leaf", "size")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(packed, n, np.uint64).view(np.int64))], ["end"])
 
-    two = units.where("part = -1 AND size > 0").select("leaf", "size", "fold").mapInArrow(opened, "two long, folds long")
-    two = two.groupBy("two").agg(F.bit_or("folds").alias("folds"))
-    outside = [F.count_if(F.col("folds").bitwiseAND(F.lit(~(1 << (f + 1)))) != 0).alias(str(f)) for f in range(-1, FOLDS)]
-    short = two.groupBy(F.expr("two & 65535").alias("pair")).agg(*outside).toPandas()  # at most 2**16 rows
-    shared = rows.sparkSession.sparkContext.broadcast({f: _shorter(short["pair"].to_numpy(), short[str(f)].to_numpy()) for f in range(-1, FOLDS)})
+    ends = written.where("kind = 2 AND size > 0").select("leaf", "size").mapInArrow(opened, "end long").distinct()
+    # at most 2**24 rows, of which texts have some ten thousand
+    short = ends.groupBy(F.col("end").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("triple")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    shared = spark.sparkContext.broadcast(_shorter(short["triple"].to_numpy(), short["n"].to_numpy()))
 
     def cost(chunks: pa.Table) -> pa.Table:
-        sizes, folds = chunks.column("size").to_pylist(), chunks.column("fold").to_pylist()
-        leaves, n = (
-            [_unpacked(x, s, kind) for x, s in zip(chunks.column(c).to_pylist(), sizes, strict=True)] for c, kind in (("leaf", np.uint64), ("n", np.uint32))
-        )
+        sizes = chunks.column("size").to_pylist()
+        leaves, n = ([_unpacked(x, s, kind) for x, s in zip(chunks.column(c).to_pylist(), sizes, strict=True)] for c, kind in (("leaf", np.uint64), ("n", np.uint32)))
         kinds = np.unique(np.concatenate(leaves))
         places = [np.searchsorted(kinds, x).astype(np.int32) for x in leaves]  # each sorted
         del leaves
         total = np.zeros(len(kinds), np.int64)
         for place, x in zip(places, n, strict=True):
             total[place] += x
-        packed: list[bytes] = [b""] * len(sizes)
-        for f in set(folds):
-            own = [i for i, g in enumerate(folds) if g == f]
-            outside, asked = total.copy(), np.zeros(len(kinds), bool)
-            for i in own:
-                outside[places[i]] -= n[i]
-                asked[places[i]] = True
-            use = asked | (outside > 0)
-            each = np.zeros(len(kinds), np.float32)
-            each[use] = code_lengths(kinds[use], outside[use], shared.value[f], asked[use])
-            for i in own:
-                packed[i] = _packed(each[places[i]])
+        each = code_lengths(kinds, total, shared.value).astype(np.float32)
+        packed = [_packed(each[place]) for place in places]
         return pa.table([chunks.column("unit"), chunks.column("part"), chunks.column("size"), pa.array(packed, pa.binary())], ["unit", "part", "size", "cost"])
 
-    chunks = units.where("part >= 0").select("unit", "fold", "part", "size", "leaf", "n")
-    costs = chunks.groupBy("part").applyInArrow(cost, "unit long, part int, size int, cost binary")
+    costs = cut(written.where("kind = 1").select("unit", "part", "size", "leaf", "n").groupBy("part").applyInArrow(cost, "unit long, part int, size int, cost binary"))
+    for kind in (1, 2):  # used up; the costs are written
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [(first, end, *running_leaves(data, bounds)) for first, end, data, bounds in slices(left.column("body"))]
-        kinds = _kinds([leaf for _, _, leaf, _ in found])[0]
-        order, bounds = _dealt(kinds, parts)
+        out = []
+        for doc, held_out, text, bounds, body in zip(*(left.column(c).to_pylist() for c in ("doc_id", "held_out", "text", "bounds", "body")), strict=True):
+            data = np.frombuffer(pa.decompress(body, bounds[-1], "zstd", asbytes=True), np.uint8)
+            out.append((doc, held_out, text, *running_leaves(data, np.array(bounds))))
+        kinds, _ = _kinds(np.concatenate([o[3] for o in out] or [np.zeros(0, np.uint64)]))
+        order, edges = _dealt(kinds, parts)
         dealt, each = np.empty(len(kinds)), np.empty(len(kinds))
         for p, n, packed in zip(*(right.column(c).to_pylist() for c in ("part", "size", "cost")), strict=True):
-            dealt[bounds[p] : bounds[p + 1]] = _unpacked(packed, n, np.float32)
+            dealt[edges[p] : edges[p + 1]] = _unpacked(packed, n, np.float32)
         each[order] = dealt
-        sums = np.zeros(left.num_rows)
-        for first, end, leaf, sizes in found:
+        sums = []
+        for _, _, _, leaf, sizes in out:
             by = np.argsort(leaf)  # sorted leaves are found faster
-            cost = np.empty(len(leaf))
-            cost[by] = each[np.searchsorted(kinds, leaf[by])]
-            sums[first:end] = np.add.reduceat(cost, np.cumsum(sizes) - sizes)
-        return left.select(["doc_id", "held_out", "text"]).append_column("cost", pa.array(sums))
-
-    bodies = units.where("body IS NOT NULL").select("unit", "doc_id", "held_out", "text", "body")
+            cost_ = np.empty(len(leaf))
+            cost_[by] = each[np.searchsorted(kinds, leaf[by])]
+            sums.append(np.add.reduceat(cost_, np.cumsum(sizes) - sizes))
+        flat = [[x for o in out for x in o[i]] for i in range(3)]
+        kinds_ = [pa.int64(), pa.bool_(), pa.int64()]
+        columns = [*(pa.array(c, k) for c, k in zip(flat, kinds_, strict=True)), pa.array(np.concatenate(sums or [np.zeros(0)]))]
+        return pa.table(columns, ["doc_id", "held_out", "text", "cost"])
+
+    bodies = spark.read.schema(_UNIT_SQL).parquet(path).where("kind = 0").select("unit", "doc_id", "held_out", "text", "bounds", "body")
     return bodies.groupBy("unit").cogroup(costs.groupBy("unit")).applyInArrow(add, "doc_id long, held_out boolean, text long, cost double")
 
 
@@ -456,15 +363,15 @@ def _frequent(words: DataFrame) -> int:
     return least
 
 
-#: Columns of the parts of a text's score: a row for each text with the sums over its frequent
-#: words, one for each distinct other word, and one for each phrase with its other words.
+#: Columns of the parts of a text's base score: a row for each text with the sums over its frequent
+#: words, and one for each distinct other word.
 _PARTS = pa.schema(
     {
         "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.int64(), "rows": pa.int64(), "n_tokens": pa.int64(), "known": pa.float64(), "base": pa.float64(),
-        "cost": pa.float64(), "hash": pa.int64(), "times": pa.int64(), "phrase": pa.int64(), "rare": pa.list_(pa.int64()),
+        "hash": pa.int64(), "times": pa.int64(),
     }
 )
-_PARTS_SQL = "doc_id long, held_out boolean, text long, rows long, n_tokens long, known double, base double, cost double, hash long, times long, phrase long, rare array<long>"
+_PARTS_SQL = "doc_id long, held_out boolean, text long, rows long, n_tokens long, known double, base double, hash long, times long"
 
 
 def _part(batch: pa.RecordBatch, row: np.ndarray, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -473,93 +380,51 @@ def _part(batch: pa.RecordBatch, row: np.ndarray, **columns: np.ndarray | pa.Arr
     return pa.RecordBatch.from_arrays([pa.array(made[f.name]) if isinstance(made.get(f.name), np.ndarray) else made.get(f.name, pa.nulls(len(row), f.type)) for f in _PARTS], schema=_PARTS)
 
 
-def phrase_costs(phrases: DataFrame) -> DataFrame:
-    """doc_id, held_out, text, cost, rare: phrases of training texts by their count; of others, the words still to be added."""
-    counts = cut(phrases.groupBy("phrase").agg(F.count_if(~F.col("held_out")).alias("n")))
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
-    if not size["n"]:
-        return phrases.select("doc_id", "held_out", "text", "cost", "rare")
-    escape = float(np.log10(0.5 * size["kinds"] / size["n"]))
-    known = F.log10((F.col("n") - 0.5) / F.lit(float(size["n"])))
-    return phrases.join(counts, "phrase").select(
-        "doc_id", "held_out", "text", F.when(F.col("n") > 0, known).otherwise(F.col("cost") + F.lit(escape)).alias("cost"), F.when(F.col("n") == 0, F.col("rare")).alias("rare")
-    )
-
-
-def score_documents(docs: DataFrame, held: int = 1, phrase: int = 0, running: bool = False) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold ``held`` is held out.
-
-    ``phrase`` is the mean length of phrases in words; 0 for none. With ``running``, bytes are
-    predicted from the running text by the training texts of other folds, and there are no phrases.
-    """
-    if phrase and running:
-        raise ValueError("phrases are spelt by their words alone")
+def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold ``held`` is held out."""
     rows = texts(docs).withColumn("held_out", fold() == held)
     found = word_counts(rows.select("text", (~F.col("held_out")).alias("training")))
     ends = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.count(F.lit(1)).alias("total")).where("total > 0")
-    ends = ends.select(F.lit(END_WORD).alias("word"), F.lit(end_hash()).alias("hash"), "n", "total")
-    counts = found.unionByName(ends)
-    words = cut(counts.drop("word").withColumn("cost", F.lit(0.0)) if running else score_words(cut(counts)))
+    ends = ends.select(F.lit(end_hash()).alias("hash"), "n", "total")
+    words = cut(found.drop("word").unionByName(ends))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     below = float(size["n"] + 0.5 * (size["v"] + 1))
-    base = F.log10((F.col("n") + 0.5) / F.lit(below))
-    words = words.select("hash", "n", "total", base.alias("base"), "cost")
+    words = words.select("hash", "n", "total", F.log10((F.col("n") + 0.5) / F.lit(below)).alias("base"))
     least = _frequent(words)
-    top = words.where(F.col("total") >= least).select("hash", (F.col("n") > 0).alias("known"), "base", "cost").toArrow()
+    top = words.where(F.col("total") >= least).select("hash", (F.col("n") > 0).alias("known"), "base").toArrow()
     order = np.argsort(top.column("hash").to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("hash", "known", "base", "cost")))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("hash", "known", "base")))
     del top, order
     close = words.where(F.col("hash") == end_hash()).first()  # none without texts
-    ending = [float(x) for x in (close["n"] > 0, close["base"], close["cost"])] if close else [0.0] * 3
+    ending = [float(x) for x in (close["n"] > 0, close["base"])] if close else [0.0] * 2
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, base_, cost = shared.value
+        hashes, known, base = shared.value
         for batch in batches:
             for first, last, data, bounds in slices(batch.column("text")):
                 data = LOWER[data]
                 words_ = Words(data, bounds)
                 rows_, size_ = last - first, np.diff(words_.first)
                 row = np.repeat(np.arange(rows_), size_)
-                own = words_.hashes(data)
+                own = words_.hashes(data).view(np.int64)
                 text = byte_sums(data).of(bounds[:-1], bounds[1:]).view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, own.view(np.int64)), max(len(hashes) - 1, 0))
-                hit = hashes[at] == own.view(np.int64) if len(hashes) else np.zeros(len(own), bool)
-                each = [np.where(hit, x[at], 0.0) if len(hashes) else np.zeros(len(own)) for x in (known, base_, cost)]
+                at = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
+                hit = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
+                each = [np.where(hit, x[at], 0.0) if len(hashes) else np.zeros(len(own)) for x in (known, base)]
                 sums = [np.bincount(row, e, rows_) + x for e, x in zip(each, ending, strict=True)]
-                if phrase:
-                    sums[2] = np.full(rows_, ending[2])
-                yield _part(batch, np.arange(first, last), text=text, rows=np.ones(rows_, np.int64), n_tokens=size_ + 1, known=sums[0], base=sums[1], cost=sums[2])
-                rare = own[~hit].view(np.int64)
-                kinds, times = np.unique(np.stack([row[~hit], rare], axis=1), axis=0, return_counts=True)
+                yield _part(batch, np.arange(first, last), text=text, rows=np.ones(rows_, np.int64), n_tokens=size_ + 1, known=sums[0], base=sums[1])
+                kinds, times = np.unique(np.stack([row[~hit], own[~hit]], axis=1), axis=0, return_counts=True)
                 yield _part(batch, kinds[:, 0] + first, text=text[kinds[:, 0]], hash=kinds[:, 1].copy(), times=times)
-                if phrase and len(own):
-                    new = mix(own) % np.uint64(phrase) == 0
-                    new[words_.first[:-1][size_ > 0]] = True
-                    start = np.flatnonzero(new)
-                    end = np.append(start[1:], len(own))
-                    before = np.concatenate([[0], np.cumsum(~hit)])
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(before[start], before[-1]).astype(np.int32)), pa.array(rare))
-                    hashed = Sums(own).of(start, end).view(np.int64)
-                    yield _part(batch, row[start] + first, text=text[row[start]], cost=np.add.reduceat(each[2], start), phrase=hashed, rare=lists)
 
     parts = cut(rows.mapInArrow(add, _PARTS_SQL))
-    zero = F.lit(0).cast("long")
-    whole = parts.where("rows = 1").select("doc_id", "held_out", "text", "rows", "n_tokens", "known", "base", "cost")
-    rare = parts.where("hash IS NOT NULL").select("doc_id", "held_out", "text", "hash", "times", (zero if phrase else F.col("times")).alias("spelt"))
-    if phrase:
-        phrases = cut(phrase_costs(parts.where("phrase IS NOT NULL").select("doc_id", "held_out", "text", "cost", "phrase", "rare")))
-        nil = F.lit(0.0)
-        whole = whole.unionByName(phrases.select("doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost"))
-        rare = rare.unionByName(phrases.select("doc_id", "held_out", "text", F.explode("rare").alias("hash"), zero.alias("times"), F.lit(1).cast("long").alias("spelt")))
-    if running:  # the words above cost nothing
-        spelt, nil = running_costs(rows.withColumn("fold", fold())), F.lit(0.0)
-        whole = whole.unionByName(spelt.select("doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost"))
-    rare = rare.join(words.where(F.col("total") < least).select("hash", "n", "base", "cost"), "hash")
-    rare = rare.select(
-        "doc_id", "held_out", "text", zero.alias("rows"), zero.alias("n_tokens"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("double").alias("known"),
-        (F.col("base") * F.col("times")).alias("base"), (F.col("cost") * F.col("spelt")).alias("cost"),
-    )
-    sums = whole.unionByName(rare).groupBy("doc_id", "held_out", "text").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
+    zero, nil = F.lit(0).cast("long"), F.lit(0.0)
+    id_ = ["doc_id", "held_out", "text"]
+    whole = parts.where("rows = 1").select(*id_, "rows", "n_tokens", "known", "base", nil.alias("cost"))
+    rare = parts.where("hash IS NOT NULL").select(*id_, "hash", "times").join(words.where(F.col("total") < least).select("hash", "n", "base"), "hash")
+    known = F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("double")
+    rare = rare.select(*id_, zero.alias("rows"), zero.alias("n_tokens"), known.alias("known"), (F.col("base") * F.col("times")).alias("base"), nil.alias("cost"))
+    spelt = running_costs(rows).select(*id_, zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost")
+    sums = whole.unionByName(rare).unionByName(spelt).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
     each = lambda c: F.col(c) / F.col("rows")  # noqa: E731  rows that repeat id and text were added up
     return sums.select(
         "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), F.round(each("known")).cast("long").alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"),
