@@ -44,10 +44,10 @@ SHORT = 3
 GAP, END = 0x20, 0x0A
 #: Words sent to all tasks, at most: 25 bytes each.
 FREQUENT = 1 << 19
-#: Distinct words a task keeps before it hands them on.
-HELD = 400_000
+#: Distinct words of slices that a task keeps before it hands them on.
+HELD = 1 << 20
 #: Bytes of the texts whose leaves are summed together, about; and of all texts for each part of the contexts.
-UNIT_BYTES, PART_BYTES = 12 << 20, 2 << 20
+UNIT_BYTES, PART_BYTES = 8 << 20, 2 << 20
 
 #: The word that stands for the end of a text; no word has the byte.
 END_WORD = bytes([END])
@@ -59,36 +59,32 @@ def end_hash() -> int:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """word, hash, n (in training texts), total of the distinct words of ``rows`` (text, training)."""
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        hashes = np.concatenate([h[0] for h in held])
-        owner = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
-        start, end, n, total = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
-        kinds, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [held[o][1][a:b].tobytes() for o, a, b in zip(owner[first], start[first], end[first], strict=True)]
+    """hash, n (in training texts), total of the distinct words of ``rows`` (text, training)."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        hashes, n, total = (np.concatenate([h[i] for h in held]) for i in range(3))
+        kinds, place = np.unique(hashes, return_inverse=True)
         sums = [np.bincount(place, x, len(kinds)).astype(np.int64) for x in (n, total)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds.view(np.int64)), *map(pa.array, sums)], ["word", "hash", "n", "total"])
+        return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), *map(pa.array, sums)], ["hash", "n", "total"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             training = np.array(batch.column("training").to_pylist(), bool)
             for first, end, data, bounds in slices(batch.column("text")):
                 data = LOWER[data]
                 words = Words(data, bounds)
-                hashes = words.hashes(data)
                 row = np.repeat(training[first:end], np.diff(words.first))
-                kinds, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-                held.append((kinds, data, words.start[at], words.end[at], np.bincount(place, row, len(kinds)), np.bincount(place, minlength=len(kinds))))
+                kinds, place = np.unique(words.hashes(data), return_inverse=True)
+                held.append((kinds, np.bincount(place, row, len(kinds)), np.bincount(place, minlength=len(kinds))))
                 if sum(len(h[0]) for h in held) > HELD:
                     yield flush(held)
                     held = []
         if held:
             yield flush(held)
 
-    parts = rows.mapInArrow(count, "word binary, hash long, n long, total long")
-    return parts.groupBy("word", "hash").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    parts = rows.mapInArrow(count, "hash long, n long, total long")
+    return parts.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 class _Counts:
@@ -221,11 +217,13 @@ _UNIT_SQL = (
 )
 
 
-def _kinds(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct leaves, sorted, and the first place of each among the sorted."""
-    leaf = np.sort(leaf)
+def _kinds(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct leaves of ``held``, sorted, and how often each occurs; the list is emptied."""
+    leaf = np.concatenate(held or [np.zeros(0, np.uint64)])
+    held.clear()
+    leaf.sort()
     first = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])[: len(leaf)])
-    return leaf[first], first
+    return leaf[first], np.diff(np.append(first, len(leaf)))
 
 
 def _unit_rows(kind: int, unit: int, rows: int, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -237,43 +235,43 @@ def _unit_rows(kind: int, unit: int, rows: int, **columns: list | np.ndarray | p
 def _units(rows: DataFrame, parts: int) -> DataFrame:
     """`_UNIT` of the texts (doc_id, held_out, text)."""
 
-    def summed(unit: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """``held`` has leaves, and whether they are of training texts."""
-        leaf, trains = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        held.clear()
-        kinds, _ = _kinds(leaf)
-        n = np.zeros(len(kinds), np.uint32)
-        own, first = _kinds(leaf[trains])
-        n[np.searchsorted(kinds, own)] = np.diff(np.append(first, int(trains.sum())))
+    def summed(unit: int, held: tuple[list[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """``held`` has the leaves of training texts, and of others."""
+        own, n = _kinds(held[1])
+        kinds = np.union1d(own, _kinds(held[0])[0])
+        counts = np.zeros(len(kinds), np.uint32)
+        counts[np.searchsorted(kinds, own)] = n
         ends = np.unique(own & np.uint64((1 << 8 * (SHORT + 1)) - 1))
-        del leaf, trains, own
         order, bounds = _dealt(kinds, parts)
-        kinds, n = kinds[order], n[order]
+        kinds, counts = kinds[order], counts[order]
         own = np.flatnonzero(np.diff(bounds))
         pieces = [slice(bounds[p], bounds[p + 1]) for p in own]
-        yield _unit_rows(1, unit, len(own), part=own, size=np.diff(bounds)[own], leaf=[_packed(kinds[p]) for p in pieces], n=[_packed(n[p]) for p in pieces])
+        yield _unit_rows(1, unit, len(own), part=own, size=np.diff(bounds)[own], leaf=[_packed(kinds[p]) for p in pieces], n=[_packed(counts[p]) for p in pieces])
         yield _unit_rows(2, unit, 1, size=[len(ends)], leaf=[_packed(ends)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        unit, held = TaskContext.get().partitionId() << 32, []
+        unit, held, size = TaskContext.get().partitionId() << 32, ([], []), 0
         for batch in batches:
             doc, out = batch.column("doc_id"), batch.column("held_out")
             for first, end, data, bounds in slices(batch.column("text")):
                 data = LOWER[data]
                 leaf, sizes = running_leaves(data, bounds)
-                held.append((leaf, np.repeat(~np.array(out.slice(first, end - first).to_pylist(), bool), sizes)))
+                trains = np.repeat(~np.array(out.slice(first, end - first).to_pylist(), bool), sizes)
+                held[0].append(leaf[~trains])
+                held[1].append(leaf[trains])
+                size += len(leaf)
                 text = byte_sums(data).of(bounds[:-1], bounds[1:]).view(np.int64)
                 one = lambda x: [x.tolist() if isinstance(x, np.ndarray) else x.to_pylist()]
                 yield _unit_rows(
                     0, unit, 1, doc_id=one(doc.slice(first, end - first)), held_out=one(out.slice(first, end - first)), text=one(text), bounds=one(bounds),
                     body=[pa.compress(data.tobytes(), "zstd", asbytes=True)],
                 )
-                if sum(len(h[0]) for h in held) >= UNIT_BYTES:
+                if size >= UNIT_BYTES:
                     yield from summed(unit, held)
-                    unit += 1
-        if held:
+                    unit, size = unit + 1, 0
+        if size:
             yield from summed(unit, held)
 
     return rows.select("doc_id", "held_out", "text").mapInArrow(gather, _UNIT_SQL)
@@ -330,7 +328,7 @@ def running_costs(rows: DataFrame) -> DataFrame:
         for doc, held_out, text, bounds, body in zip(*(left.column(c).to_pylist() for c in ("doc_id", "held_out", "text", "bounds", "body")), strict=True):
             data = np.frombuffer(pa.decompress(body, bounds[-1], "zstd", asbytes=True), np.uint8)
             out.append((doc, held_out, text, *running_leaves(data, np.array(bounds))))
-        kinds, _ = _kinds(np.concatenate([o[3] for o in out] or [np.zeros(0, np.uint64)]))
+        kinds, _ = _kinds([o[3] for o in out])
         order, edges = _dealt(kinds, parts)
         dealt, each = np.empty(len(kinds)), np.empty(len(kinds))
         for p, n, packed in zip(*(right.column(c).to_pylist() for c in ("part", "size", "cost")), strict=True):
@@ -386,7 +384,7 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     found = word_counts(rows.select("text", (~F.col("held_out")).alias("training")))
     ends = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.count(F.lit(1)).alias("total")).where("total > 0")
     ends = ends.select(F.lit(end_hash()).alias("hash"), "n", "total")
-    words = cut(found.drop("word").unionByName(ends))
+    words = cut(found.unionByName(ends))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     below = float(size["n"] + 0.5 * (size["v"] + 1))
     words = words.select("hash", "n", "total", F.log10((F.col("n") + 0.5) / F.lit(below)).alias("base"))
