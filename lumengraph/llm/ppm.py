@@ -187,6 +187,11 @@ def running_leaves(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return leaf[inside], np.diff(np.append((stop - size)[opening], len(line))) - ORDER
 
 
+def _turned(leaf: np.ndarray) -> np.ndarray:
+    """Leaves with their last context byte first, so that sorted ones share their beginnings; turned again, as they were."""
+    return (leaf >> np.uint64(8)).byteswap() | (leaf & np.uint64(255))
+
+
 def _packed(values: np.ndarray) -> bytes:
     """The values byte by byte, the first bytes of all, then the second; sorted ones shrink well."""
     return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), "zstd", asbytes=True)
@@ -199,8 +204,8 @@ def _unpacked(packed: bytes, size: int, kind: type) -> np.ndarray:
 
 
 def _dealt(kinds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the sorted leaves by part, bounds of the parts in it); a part has all leaves of the last bytes of a context."""
-    part = (mix(kinds >> np.uint64(8) & np.uint64((1 << 8 * SHORT) - 1)) % np.uint64(parts)).astype(np.int64)
+    """(order of the sorted turned leaves by part, bounds of the parts in it); a part has all leaves of the last bytes of a context."""
+    part = (mix(kinds >> np.uint64(64 - 8 * SHORT)) % np.uint64(parts)).astype(np.int64)
     return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
 
 
@@ -236,12 +241,12 @@ def _units(rows: DataFrame, parts: int) -> DataFrame:
     """`_UNIT` of the texts (doc_id, held_out, text)."""
 
     def summed(unit: int, held: tuple[list[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """``held`` has the leaves of training texts, and of others."""
+        """``held`` has the turned leaves of training texts, and of others."""
         own, n = _kinds(held[1])
         kinds = np.union1d(own, _kinds(held[0])[0])
         counts = np.zeros(len(kinds), np.uint32)
         counts[np.searchsorted(kinds, own)] = n
-        ends = np.unique(own & np.uint64((1 << 8 * (SHORT + 1)) - 1))
+        ends = np.unique(_turned(own) & np.uint64((1 << 8 * (SHORT + 1)) - 1))
         order, bounds = _dealt(kinds, parts)
         kinds, counts = kinds[order], counts[order]
         own = np.flatnonzero(np.diff(bounds))
@@ -259,6 +264,7 @@ def _units(rows: DataFrame, parts: int) -> DataFrame:
                 data = LOWER[data]
                 leaf, sizes = running_leaves(data, bounds)
                 trains = np.repeat(~np.array(out.slice(first, end - first).to_pylist(), bool), sizes)
+                leaf = _turned(leaf)
                 held[0].append(leaf[~trains])
                 held[1].append(leaf[trains])
                 size += len(leaf)
@@ -266,7 +272,7 @@ def _units(rows: DataFrame, parts: int) -> DataFrame:
                 one = lambda x: [x.tolist() if isinstance(x, np.ndarray) else x.to_pylist()]
                 yield _unit_rows(
                     0, unit, 1, doc_id=one(doc.slice(first, end - first)), held_out=one(out.slice(first, end - first)), text=one(text), bounds=one(bounds),
-                    body=[pa.compress(data.tobytes(), "zstd", asbytes=True)],
+                    body=[pa.Codec("zstd", compression_level=3).compress(data.tobytes(), asbytes=True)],
                 )
                 if size >= UNIT_BYTES:
                     yield from summed(unit, held)
@@ -308,13 +314,13 @@ def running_costs(rows: DataFrame) -> DataFrame:
     def cost(chunks: pa.Table) -> pa.Table:
         sizes = chunks.column("size").to_pylist()
         leaves, n = ([_unpacked(x, s, kind) for x, s in zip(chunks.column(c).to_pylist(), sizes, strict=True)] for c, kind in (("leaf", np.uint64), ("n", np.uint32)))
-        kinds = np.unique(np.concatenate(leaves))
+        kinds = np.unique(np.concatenate(leaves))  # turned
         places = [np.searchsorted(kinds, x).astype(np.int32) for x in leaves]  # each sorted
         del leaves
         total = np.zeros(len(kinds), np.int64)
         for place, x in zip(places, n, strict=True):
             total[place] += x
-        each = code_lengths(kinds, total, shared.value).astype(np.float32)
+        each = code_lengths(_turned(kinds), total, shared.value).astype(np.float32)
         packed = [_packed(each[place]) for place in places]
         return pa.table([chunks.column("unit"), chunks.column("part"), chunks.column("size"), pa.array(packed, pa.binary())], ["unit", "part", "size", "cost"])
 
@@ -327,7 +333,8 @@ def running_costs(rows: DataFrame) -> DataFrame:
         out = []
         for doc, held_out, text, bounds, body in zip(*(left.column(c).to_pylist() for c in ("doc_id", "held_out", "text", "bounds", "body")), strict=True):
             data = np.frombuffer(pa.decompress(body, bounds[-1], "zstd", asbytes=True), np.uint8)
-            out.append((doc, held_out, text, *running_leaves(data, np.array(bounds))))
+            leaf, sizes = running_leaves(data, np.array(bounds))
+            out.append((doc, held_out, text, _turned(leaf), sizes))
         kinds, _ = _kinds([o[3] for o in out])
         order, edges = _dealt(kinds, parts)
         dealt, each = np.empty(len(kinds)), np.empty(len(kinds))
