@@ -26,12 +26,13 @@ and the base score is that of its formula with N and V 0. An empty table gives n
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengraph.llm.common import fold, texts
@@ -292,6 +293,12 @@ def _shorter(triple: np.ndarray, n: np.ndarray) -> tuple[_Counts, ...]:
     return tuple(counts)
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of written tables now: it does when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def running_costs(rows: DataFrame) -> DataFrame:
     """doc_id, held_out, text, cost of each text (doc_id, held_out, text), whose bytes are predicted from the running text."""
     spark = rows.sparkSession
@@ -328,6 +335,8 @@ def running_costs(rows: DataFrame) -> DataFrame:
     for kind in (1, 2):  # used up; the costs are written
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del written, ends
+    _release(spark)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -428,8 +437,11 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     rare = parts.where("hash IS NOT NULL").select(*id_, "hash", "times").join(words.where(F.col("total") < least).select("hash", "n", "base"), "hash")
     known = F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("double")
     rare = rare.select(*id_, zero.alias("rows"), zero.alias("n_tokens"), known.alias("known"), (F.col("base") * F.col("times")).alias("base"), nil.alias("cost"))
+    read = cut(whole.unionByName(rare).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost"))))
+    del parts, whole, rare, found, words
+    _release(docs.sparkSession)
     spelt = running_costs(rows).select(*id_, zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost")
-    sums = whole.unionByName(rare).unionByName(spelt).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
+    sums = read.unionByName(spelt).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
     each = lambda c: F.col(c) / F.col("rows")  # noqa: E731  rows that repeat id and text were added up
     return sums.select(
         "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), F.round(each("known")).cast("long").alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"),
