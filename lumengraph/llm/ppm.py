@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumengraph.llm.common import fold, texts
 from lumengraph.llm.kernel import LOWER, Words, byte_sums, mix, slices
-from lumengraph.session import cut, shared_dir
+from lumengraph.session import cut, scratch, shared_dir
 
 ORDER = 7
 #: Contexts are dealt out by their last bytes, so many; counts of shorter ones go to all tasks.
@@ -394,9 +394,8 @@ def _part(batch: pa.RecordBatch, row: np.ndarray, **columns: np.ndarray | pa.Arr
     return pa.RecordBatch.from_arrays([pa.array(made[f.name]) if isinstance(made.get(f.name), np.ndarray) else made.get(f.name, pa.nulls(len(row), f.type)) for f in _PARTS], schema=_PARTS)
 
 
-def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold ``held`` is held out."""
-    rows = texts(docs).withColumn("held_out", fold() == held)
+def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, held_out, text, rows, n_tokens, known, base, cost (0) of the distinct texts (doc_id, held_out, text), and the tokens of the training texts."""
     found = word_counts(rows.select("text", (~F.col("held_out")).alias("training")))
     ends = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.count(F.lit(1)).alias("total")).where("total > 0")
     ends = ends.select(F.lit(end_hash()).alias("hash"), "n", "total")
@@ -407,7 +406,7 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     least = _frequent(words)
     top = words.where(F.col("total") >= least).select("hash", (F.col("n") > 0).alias("known"), "base").toArrow()
     order = np.argsort(top.column("hash").to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("hash", "known", "base")))
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("hash", "known", "base")))
     del top, order
     close = words.where(F.col("hash") == end_hash()).first()  # none without texts
     ending = [float(x) for x in (close["n"] > 0, close["base"])] if close else [0.0] * 2
@@ -437,13 +436,27 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     rare = parts.where("hash IS NOT NULL").select(*id_, "hash", "times").join(words.where(F.col("total") < least).select("hash", "n", "base"), "hash")
     known = F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("double")
     rare = rare.select(*id_, zero.alias("rows"), zero.alias("n_tokens"), known.alias("known"), (F.col("base") * F.col("times")).alias("base"), nil.alias("cost"))
-    read = cut(whole.unionByName(rare).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost"))))
-    del parts, whole, rare, found, words
-    _release(docs.sparkSession)
-    spelt = running_costs(rows).select(*id_, zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost")
+    whole = whole.unionByName(rare).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
+    return whole, size["n"]
+
+
+def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold ``held`` is held out."""
+    rows = texts(docs).withColumn("held_out", fold() == held)
+    spark, id_ = docs.sparkSession, ["doc_id", "held_out", "text"]
+    spelt = running_costs(rows)
+    path = f"{shared_dir(spark)}/lumengraph/{uuid.uuid4().hex}"
+    with scratch(spark):  # words and parts go when the base scores are written
+        found, train_tokens = base_scores(rows)
+        found.write.parquet(path)
+    zero, nil = F.lit(0).cast("long"), F.lit(0.0)
+    read = spark.read.schema(found.schema).parquet(path)
+    spelt = spelt.select(*id_, zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost")
+    del found
+    _release(spark)
     sums = read.unionByName(spelt).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
     each = lambda c: F.col(c) / F.col("rows")  # noqa: E731  rows that repeat id and text were added up
     return sums.select(
-        "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), F.round(each("known")).cast("long").alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), F.round(each("known")).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         each("base").alias("base_score"), each("cost").alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy"),
     ).drop("copy")
