@@ -27,6 +27,7 @@ and the base score is that of its formula with N and V 0. An empty table gives n
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -294,9 +295,14 @@ def _shorter(triple: np.ndarray, n: np.ndarray) -> tuple[_Counts, ...]:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of written tables now: it does when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of written tables now: it does when the driver's garbage is collected.
+
+    What the first round frees holds what the second one does.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)  # Spark deletes in a thread of its own
 
 
 def running_costs(rows: DataFrame) -> DataFrame:
