@@ -49,7 +49,7 @@ FREQUENT = 1 << 19
 #: Distinct words of slices that a task keeps before it hands them on.
 HELD = 1 << 20
 #: Bytes of the texts whose leaves are summed together, about; and of all texts for each part of the contexts.
-UNIT_BYTES, PART_BYTES = 8 << 20, 2 << 20
+UNIT_BYTES, PART_BYTES = 10 << 20, 2 << 20
 
 #: The word that stands for the end of a text; no word has the byte.
 END_WORD = bytes([END])
@@ -274,7 +274,7 @@ def _units(rows: DataFrame, parts: int) -> DataFrame:
                 one = lambda x: [x.tolist() if isinstance(x, np.ndarray) else x.to_pylist()]
                 yield _unit_rows(
                     0, unit, 1, doc_id=one(doc.slice(first, end - first)), held_out=one(out.slice(first, end - first)), text=one(text), bounds=one(bounds),
-                    body=[pa.Codec("zstd", compression_level=3).compress(data.tobytes(), asbytes=True)],
+                    body=[pa.Codec("zstd", compression_level=6).compress(data.tobytes(), asbytes=True)],
                 )
                 if size >= UNIT_BYTES:
                     yield from summed(unit, held)
