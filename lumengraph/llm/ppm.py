@@ -12,8 +12,8 @@ being among those it has seen.
 Tasks sum the leaves of the context trie (seven bytes and the next) over units of about
 `UNIT_BYTES` of texts before they hand them on, sorted and packed, dealt out by the last three
 bytes of the context, so that one task has all longer contexts of a leaf; contexts of two
-bytes and fewer are small tables. Costs come back for each distinct leaf of a unit, as 32-bit floats in
-the same order, and meet the unit's texts, which wait packed. Leaves are deleted when their
+bytes and fewer are small tables. Costs come back for each distinct leaf of a unit, in the same
+order, as ranks in the list of the distinct 32-bit floats, and meet the unit's texts, which wait packed. Leaves are deleted when their
 costs are written.
 
 For the base score, frequent words, at most `FREQUENT`, go to the tasks as sorted arrays;
@@ -205,6 +205,15 @@ def _unpacked(packed: bytes, size: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, size).T).view(kind).ravel()
 
 
+def _ranked(values: np.ndarray, code: np.ndarray) -> tuple[int, bytes, bytes]:
+    """``values[code]`` as the number of its distinct values, these by falling frequency, and their ranks; both packed."""
+    times = np.bincount(code, minlength=len(values))
+    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    rank = np.empty(len(values), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return len(order), _packed(values[order]), _packed(rank[code])
+
+
 def _dealt(kinds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(order of the sorted turned leaves by part, bounds of the parts in it); a part has all leaves of the last bytes of a context."""
     part = (mix(kinds >> np.uint64(64 - 8 * SHORT)) % np.uint64(parts)).astype(np.int64)
@@ -224,6 +233,9 @@ _UNIT_SQL = (
 )
 
 
+_COSTS_SQL = "unit long, part int, size int, listed int, values binary, cost binary"
+
+
 def _kinds(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct leaves of ``held``, sorted, and how often each occurs; the list is emptied."""
     leaf = np.concatenate(held or [np.zeros(0, np.uint64)])
@@ -333,11 +345,12 @@ def running_costs(rows: DataFrame) -> DataFrame:
         total = np.zeros(len(kinds), np.int64)
         for place, x in zip(places, n, strict=True):
             total[place] += x
-        each = code_lengths(_turned(kinds), total, shared.value).astype(np.float32)
-        packed = [_packed(each[place]) for place in places]
-        return pa.table([chunks.column("unit"), chunks.column("part"), chunks.column("size"), pa.array(packed, pa.binary())], ["unit", "part", "size", "cost"])
+        values, code = np.unique(code_lengths(_turned(kinds), total, shared.value).astype(np.float32), return_inverse=True)
+        listed, values_, ranks = (list(x) for x in zip(*(_ranked(values, code[place]) for place in places), strict=True))
+        columns = [*(chunks.column(c) for c in ("unit", "part", "size")), pa.array(listed, pa.int32()), pa.array(values_, pa.binary()), pa.array(ranks, pa.binary())]
+        return pa.table(columns, ["unit", "part", "size", "listed", "values", "cost"])
 
-    costs = cut(written.where("kind = 1").select("unit", "part", "size", "leaf", "n").groupBy("part").applyInArrow(cost, "unit long, part int, size int, cost binary"))
+    costs = cut(written.where("kind = 1").select("unit", "part", "size", "leaf", "n").groupBy("part").applyInArrow(cost, _COSTS_SQL))
     for kind in (1, 2):  # used up; the costs are written
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -353,8 +366,8 @@ def running_costs(rows: DataFrame) -> DataFrame:
         kinds, _ = _kinds([o[3] for o in out])
         order, edges = _dealt(kinds, parts)
         dealt, each = np.empty(len(kinds)), np.empty(len(kinds))
-        for p, n, packed in zip(*(right.column(c).to_pylist() for c in ("part", "size", "cost")), strict=True):
-            dealt[edges[p] : edges[p + 1]] = _unpacked(packed, n, np.float32)
+        for p, n, listed, values, packed in zip(*(right.column(c).to_pylist() for c in ("part", "size", "listed", "values", "cost")), strict=True):
+            dealt[edges[p] : edges[p + 1]] = _unpacked(values, listed, np.float32)[_unpacked(packed, n, np.uint32)]
         each[order] = dealt
         sums = []
         for _, _, _, leaf, sizes in out:
