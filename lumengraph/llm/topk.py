@@ -11,8 +11,9 @@ candidates that can still reach the threshold. The k best of each shard are merg
 Queries go to every shard, in blocks; both sides of a (shard, block) pair are bounded, and
 nothing is broadcast. Rows with a null id, and vectors that are null or hold null or
 non-finite components, take no part. Shorter vectors count as ending in zeros. Rows that
-repeat id and vector count once; rows that repeat an id with another vector are candidates
-(and queries) of their own, and none is a candidate of a query with its id. Ties go to the
+repeat id and vector are searched once and take a rank each as candidates; as queries they
+are one. Rows that repeat an id with another vector are candidates (and queries) of their
+own, and none is a candidate of a query with its id. Ties go to the
 smaller id. Products are exact as long as they fit in 64 bits. An empty table gives no rows.
 """
 
@@ -33,7 +34,7 @@ FIRST, TOGETHER, STEP = 1024, 128, 8
 
 
 def whole_vectors(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id, vector: the little-endian 64-bit floors of the scaled components, of the rows that take part."""
+    """vec_id, vector, copies: the little-endian 64-bit floors of the scaled components, of the rows that take part, and how many share both."""
 
     def floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,7 +51,7 @@ def whole_vectors(vectors: DataFrame, scale: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vector"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return rows.mapInArrow(floor, "vec_id long, vector binary").dropDuplicates(["vec_id", "vector"])
+    return rows.mapInArrow(floor, "vec_id long, vector binary").groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -109,7 +110,7 @@ def search(vectors: DataFrame, is_query, k: int, scale: float) -> DataFrame:
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(F.length("vector")).alias("w")).first()
     shards, blocks, width = -(-size["n"] // SHARD_ROWS) or 1, -(-size["q"] // BLOCK_QUERIES) or 1, (size["w"] or 0) // 8
     number = F.xxhash64("vec_id", "vector")
-    candidates = rows.select(F.pmod(number, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vector")
+    candidates = rows.select(F.pmod(number, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vector", "copies")
     queries = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(number, F.lit(blocks)).alias("block"), "vec_id", "vector")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -117,13 +118,16 @@ def search(vectors: DataFrame, is_query, k: int, scale: float) -> DataFrame:
         ids, own = (t.column("vec_id").to_numpy() for t in (right, left))
         found = list(max_score(_matrix(left.column("vector"), width), own, _matrix(right.column("vector"), width), ids, k)) if len(left) else []
         if not found:
-            return pa.table({"query_id": pa.array([], pa.int64()), "query": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "query": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         query = np.repeat(np.arange(len(own)), [len(p) for p, _ in found])
         place, score = np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found])
-        return pa.table({"query_id": own[query], "query": left.column("vector").take(pa.array(query)), "vec_id": ids[place], "score": score.astype(np.int64)})
+        copies = right.column("copies").to_numpy()[place]
+        return pa.table({"query_id": own[query], "query": left.column("vector").take(pa.array(query)), "vec_id": ids[place], "copies": copies, "score": score.astype(np.int64)})
 
     keys = [F.col("shard"), F.col("block")]
-    queries, candidates = (x.select(F.col("shard").cast("long"), F.col("block").cast("long"), "vec_id", "vector") for x in (queries, candidates))
-    tops = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(best, "query_id long, query binary, vec_id long, score long")
+    queries, candidates = (x.withColumns({c: F.col(c).cast("long") for c in ("shard", "block")}) for x in (queries, candidates))
+    tops = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(best, "query_id long, query binary, vec_id long, copies long, score long")
     order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
-    return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    tops = tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = tops.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))  # later copies are past rank k
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -281,11 +281,13 @@ def test_toxicity(spark, docs, none):
 def test_topk(spark, rng):
     vectors = [(i, [float(x) for x in rng.integers(-8, 9, 6) / 16]) for i in range(150)] + [(i, [0.25] * 6) for i in range(150, 190)]
     odd = [(200, None), (201, [None] + [1.0] * 5), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6), (0, vectors[0][1]), (204, [0.5])]
-    got = topk.search(spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")), F.col("vec_id") % 20 == 0, 20, 64.0).collect()
+    twice = [*vectors[1:30:2], *vectors[40:44] * 25]  # copies take a rank each
+    got = topk.search(spark.createDataFrame(vectors + odd + twice, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")), F.col("vec_id") % 20 == 0, 20, 64.0).collect()
     whole = {i: np.floor(64 * np.array(v)) for i, v in [*vectors, (204, [0.5, 0, 0, 0, 0, 0])]}
     want = set()
+    ids = [*whole, 0, *(i for i, _ in twice)]
     for q in range(0, 190, 20):
-        order = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:20]
+        order = sorted((-int(whole[q] @ whole[i]), i) for i in ids if i != q)[:20]
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(order)}
     assert {tuple(g) for g in got} == want and len(got) == len(want)
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, 64.0).count() == 0
