@@ -26,10 +26,9 @@ and the base score is that of its formula with N and V 0. An empty table gives n
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -306,15 +305,16 @@ def _shorter(triple: np.ndarray, n: np.ndarray) -> tuple[_Counts, ...]:
     return tuple(counts)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of written tables now: it does when the driver's garbage is collected.
-
-    What the first round frees holds what the second one does.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)  # Spark deletes in a thread of its own
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go at the end of the query that wrote them, not when the driver collects its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def running_costs(rows: DataFrame) -> DataFrame:
@@ -333,7 +333,9 @@ def running_costs(rows: DataFrame) -> DataFrame:
 
     ends = written.where("kind = 2 AND size > 0").select("leaf", "size").mapInArrow(opened, "end long").distinct()
     # at most 2**24 rows, of which texts have some ten thousand
-    short = ends.groupBy(F.col("end").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("triple")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    short = ends.groupBy(F.col("end").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("triple")).agg(F.count(F.lit(1)).alias("n"))
+    with _tidied(spark):
+        short = short.toPandas()
     shared = spark.sparkContext.broadcast(_shorter(short["triple"].to_numpy(), short["n"].to_numpy()))
 
     def cost(chunks: pa.Table) -> pa.Table:
@@ -350,12 +352,12 @@ def running_costs(rows: DataFrame) -> DataFrame:
         columns = [*(chunks.column(c) for c in ("unit", "part", "size")), pa.array(listed, pa.int32()), pa.array(values_, pa.binary()), pa.array(ranks, pa.binary())]
         return pa.table(columns, ["unit", "part", "size", "listed", "values", "cost"])
 
-    costs = cut(written.where("kind = 1").select("unit", "part", "size", "leaf", "n").groupBy("part").applyInArrow(cost, _COSTS_SQL))
+    costs = written.where("kind = 1").select("unit", "part", "size", "leaf", "n").groupBy("part").applyInArrow(cost, _COSTS_SQL)
+    with _tidied(spark):
+        costs = cut(costs)
     for kind in (1, 2):  # used up; the costs are written
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del written, ends
-    _release(spark)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -418,7 +420,8 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
     found = word_counts(rows.select("text", (~F.col("held_out")).alias("training")))
     ends = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.count(F.lit(1)).alias("total")).where("total > 0")
     ends = ends.select(F.lit(end_hash()).alias("hash"), "n", "total")
-    words = cut(found.unionByName(ends))
+    with _tidied(rows.sparkSession):
+        words = cut(found.unionByName(ends))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     below = float(size["n"] + 0.5 * (size["v"] + 1))
     words = words.select("hash", "n", "total", F.log10((F.col("n") + 0.5) / F.lit(below)).alias("base"))
@@ -467,12 +470,11 @@ def score_documents(docs: DataFrame, held: int = 1) -> DataFrame:
     path = f"{shared_dir(spark)}/lumengraph/{uuid.uuid4().hex}"
     with scratch(spark):  # words and parts go when the base scores are written
         found, train_tokens = base_scores(rows)
-        found.write.parquet(path)
+        with _tidied(spark):
+            found.write.parquet(path)
     zero, nil = F.lit(0).cast("long"), F.lit(0.0)
     read = spark.read.schema(found.schema).parquet(path)
     spelt = spelt.select(*id_, zero.alias("rows"), zero.alias("n_tokens"), nil.alias("known"), nil.alias("base"), "cost")
-    del found
-    _release(spark)
     sums = read.unionByName(spelt).groupBy(*id_).agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "cost")))
     each = lambda c: F.col(c) / F.col("rows")  # noqa: E731  rows that repeat id and text were added up
     return sums.select(
