@@ -110,9 +110,9 @@ def texture_features(strips: DataFrame) -> DataFrame:
     out = _named(glcm, place, {p: f"glcm_{p}" for p in texture.COOCCURRENCE_PROPERTIES})
     counts = cut(texture.binary_patterns(strips, "mask"))
     kind = [F.concat(F.lit("r"), text("radius")), F.col("method")]
-    hist = texture.pattern_histogram(counts).where("bin < 30")
+    hist = texture.pattern_histogram(counts, texture.SHORT_BINS).where(F.col("bin") < texture.SHORT_NAMES)
     out = out.unionByName(hist.select("image_id", F.concat_ws("_", F.lit("lbp_hist"), *kind, text("bin")).alias("name"), F.col("density").alias("value")))
-    out = out.unionByName(_named(texture.pattern_statistics(counts), kind, {s: f"lbp_{s}" for s in ("mean", "std", "entropy")}))
+    out = out.unionByName(_named(texture.pattern_statistics(counts, texture.SHORT_BINS), kind, {s: f"lbp_{s}" for s in ("mean", "std", "entropy")}))
     gray = cut(raster.gray_strips(strips, masked=True).select(*raster.KEYS, "gray", "mask"))
     waves = cut(texture.wavelet_statistics(texture.wavelet_coefficients(gray)))
     alias = F.array(*[F.struct(F.lit(f).alias("of"), F.lit(a).alias("as")) for f, names in texture.SAME_FILTERS.items() for a in names])

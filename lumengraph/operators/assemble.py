@@ -55,7 +55,7 @@ def texture_names() -> list[str]:
     ]
     for r in texture.PATTERN_RADII:
         for m in texture.PATTERN_METHODS:
-            out += [f"lbp_hist_r{r}_{m}_{i}" for i in range(min(30, texture.pattern_bins(r, m)))]
+            out += [f"lbp_hist_r{r}_{m}_{i}" for i in range(min(texture.SHORT_NAMES, texture.pattern_bins(r, m, texture.SHORT_BINS)))]
             out += [f"lbp_{s}_r{r}_{m}" for s in ("mean", "std", "entropy")]
     for aliases in texture.SAME_FILTERS.values():
         for f in aliases:
@@ -142,13 +142,17 @@ def assemble_features(long: DataFrame, names: Sequence[str], id_col: str = "imag
 
 
 def named_matrix(long: DataFrame, names: Sequence[str], labels: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
-    """A column per name and, with labels, ``diagnosis`` in words."""
-    wide = long.groupBy(id_col).pivot("name", list(names)).agg(F.first("value"))
-    wide = wide.na.fill(0.0, list(names))
+    """A column per name and, with labels, ``diagnosis`` in words.
+
+    Missing, NaN and infinite values are 0. With labels there is one row for each of them,
+    also for pictures without any feature.
+    """
+    wide = long.select(id_col, "name", clean_value().alias("value")).groupBy(id_col).pivot("name", list(names)).agg(F.first("value"))
     if labels is None:
-        return wide
+        return wide.na.fill(0.0, list(names))
     word = F.when(F.col("label") == 1, F.lit("melanoma")).otherwise(F.lit("benign"))
-    return wide.join(labels.select(id_col, word.alias("diagnosis")), id_col)
+    rows = labels.select(id_col, word.alias("diagnosis")).join(wide, id_col, "left")
+    return rows.select(id_col, *[F.col(f"`{n}`") for n in names], "diagnosis").na.fill(0.0, list(names))
 
 
 def column_names(names: Sequence[str], width: int) -> list[str]:

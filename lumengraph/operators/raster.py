@@ -396,36 +396,37 @@ _GRAYS = 1 << 14  # working gray levels
 _BINS = 256
 
 
+def leveled(hist: np.ndarray, limit: int) -> np.ndarray:
+    """The histogram cut off at ``limit``, its surplus spread evenly over the bins below.
+
+    All bins rise by the same count, each as far as its room goes. The remainder, fewer than
+    the bins that still have room, goes to bins at even ranks among those, one each. What
+    finds no room at all is lost.
+    """
+    kept = np.minimum(hist, limit)
+    surplus, room = int((hist - kept).sum()), limit - kept
+    rising = np.sort(room)
+    # Cost of a rise by the k-th smallest room: smaller ones are full, all others rise as far.
+    cost = np.concatenate([[0], np.cumsum(rising)[:-1]]) + rising * np.arange(len(rising), 0, -1)
+    full = int((cost <= surplus).sum())
+    if full == len(rising):
+        return kept + room
+    rise = (surplus - int(rising[:full].sum())) // (len(rising) - full)
+    risen = np.minimum(room, rise)
+    rest, spare = surplus - int(risen.sum()), np.flatnonzero(room > rise)
+    risen[spare[np.arange(rest) * len(spare) // max(rest, 1)]] += 1
+    return kept + risen
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _tile_curve(bins: pd.Series, counts: pd.Series, area: pd.Series, clip: pd.Series) -> pd.Series:
     """Gray curve of a tile from its (at most 256) histogram cells."""
     out = []
-    for b, n, a, c in zip(bins, counts, area, clip):
+    for places, n, pixels, share in zip(bins, counts, area, clip):
         hist = np.zeros(_BINS, dtype=np.int64)
-        hist[np.asarray(b)] = np.asarray(n)
-        limit = max(int(c * a), 1)
-        surplus = int(np.maximum(hist - limit, 0).sum())
-        hist = np.minimum(hist, limit)
-        share = surplus // _BINS
-        raised = np.minimum(hist + share, limit)
-        surplus -= int((raised - hist).sum())
-        hist = raised
-        # The rest goes out one by one, to bins spaced evenly over the ones with room.
-        while surplus > 0:
-            before = surplus
-            for start in range(_BINS):
-                room = hist < limit
-                step = max(1, int(room.sum()) // surplus)
-                chosen = np.arange(start, _BINS, step)
-                chosen = chosen[room[chosen]]
-                hist[chosen] += 1
-                surplus -= len(chosen)
-                if surplus <= 0:
-                    break
-            if surplus == before:
-                break
-        rising = np.cumsum(hist) * ((_GRAYS - 1) / a)
-        out.append(np.minimum(rising, _GRAYS - 1).astype(np.int32))
+        hist[np.asarray(places)] = np.asarray(n)
+        below = np.cumsum(leveled(hist, max(int(share * pixels), 1)))
+        out.append(np.minimum(below * ((_GRAYS - 1) / pixels), _GRAYS - 1).astype(np.int32))
     return pd.Series(out)
 
 

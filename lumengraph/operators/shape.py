@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumengraph.operators.raster import with_neighbours
 
@@ -166,16 +169,70 @@ def boundary_length(strips: DataFrame) -> DataFrame:
     return near.groupBy("image_id").agg(F.sum(across + below).cast("bigint").alias("boundary_length"))
 
 
-HULL_ANGLES = 360
+#: Lines whose hull is made together, and hulls that are merged at once.
+HULL_LINES, HULLS = 256, 16
 
 
-def hull_perimeter(strips: DataFrame, angles: int = HULL_ANGLES) -> DataFrame:
-    """Perimeter of the convex hull of the pixel centres, by Cauchy's formula.
+def hull_corners(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Corners (y, x) of the convex hull of whole-numbered points, once around; points on its sides are none."""
+    points = np.unique(np.stack([ys, xs], axis=1), axis=0)
+    if len(points) < 3:
+        return points
 
-    The mean width over all directions gives the perimeter; only the two end points
-    of each line can be extreme, and the largest value per direction is reduced
-    before the shuffle.
+    def side(way: np.ndarray) -> list[list[int]]:
+        kept: list[list[int]] = []
+        for y, x in way.tolist():
+            while len(kept) > 1:
+                (y0, x0), (y1, x1) = kept[-2:]
+                if (y1 - y0) * (x - x0) > (x1 - x0) * (y - y0):
+                    break
+                kept.pop()
+            kept.append([y, x])
+        return kept[:-1]
+
+    return np.array(side(points) + side(points[::-1]))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ys", "xs")]))
+def _hull(ys: pd.Series, xs: pd.Series) -> pd.DataFrame:
+    corners = [hull_corners(np.asarray(y), np.asarray(x)) for y, x in zip(ys, xs)]
+    return pd.DataFrame({"ys": [c[:, 0] for c in corners], "xs": [c[:, 1] for c in corners]})
+
+
+def convex_hull(strips: DataFrame) -> DataFrame:
+    """``image_id, ys, xs``: corners of the convex hull of the pixel centres, once around.
+
+    Only both ends of a line can be corners. Hulls are made for blocks of `HULL_LINES` lines
+    and merged, `HULLS` at a time, so no task holds more than the corners of a few hulls, and
+    a block of H lines and W columns has some (H * W)^(1/3) of them. Pictures without an
+    inside have no row.
+    """
+    tallest = strips.agg(F.max("y").alias("y")).first()["y"] or 0
+    ends = _line_sums(strips, 0).select(
+        "image_id", F.floor(F.col("y") / HULL_LINES).cast("int").alias("part"), F.array(F.col("y"), F.col("y")).alias("ys"), F.array("x_lo", "x_hi").alias("xs")
+    )
+    joined = lambda c: F.flatten(F.transform("met", lambda s: s[c].cast("array<int>")))
+    parts, last = ends, tallest // HULL_LINES
+    while True:
+        met = parts.groupBy("image_id", "part").agg(F.collect_list(F.struct("ys", "xs")).alias("met"))
+        hulls = met.select("image_id", "part", _hull(joined("ys"), joined("xs")).alias("hull"))
+        if last == 0:
+            return hulls.select("image_id", "hull.ys", "hull.xs")
+        parts = hulls.select("image_id", F.floor(F.col("part") / HULLS).cast("int").alias("part"), "hull.ys", "hull.xs")
+        last //= HULLS
+
+
+def hull_perimeter(strips: DataFrame, angles: int | None = None) -> DataFrame:
+    """Perimeter of the convex hull of the pixel centres.
+
+    With ``angles`` it is estimated by Cauchy's formula: the mean width over so many
+    directions, whose largest value per direction is reduced before the shuffle.
     """
+    if angles is None:
+        ahead = lambda c: F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1))
+        step = lambda a, b: F.zip_with(a, b, lambda p, q: (p - q).cast("double") * (p - q))
+        sides = F.zip_with(step("ys", ahead("ys")), step("xs", ahead("xs")), lambda p, q: F.sqrt(p + q))
+        return convex_hull(strips).select("image_id", F.aggregate(sides, F.lit(0.0), lambda acc, v: acc + v).alias("hull_perimeter"))
     ends = _line_sums(strips, 0).select(
         "image_id", F.col("y").cast("double").alias("y"), F.explode(F.array("x_lo", "x_hi")).alias("x")
     )
@@ -186,10 +243,10 @@ def hull_perimeter(strips: DataFrame, angles: int = HULL_ANGLES) -> DataFrame:
     return top.groupBy("image_id").agg((F.sum("reach") * step).alias("hull_perimeter"))
 
 
-def convexity(strips: DataFrame) -> DataFrame:
+def convexity(strips: DataFrame, angles: int | None = None) -> DataFrame:
     """Hull perimeter over perimeter, 1 when the perimeter is 0."""
     p = F.col("perimeter")
-    return hull_perimeter(strips).join(perimeter(strips), "image_id", "left").select(
+    return hull_perimeter(strips, angles).join(perimeter(strips), "image_id", "left").select(
         "image_id",
         F.when(p > 0, F.col("hull_perimeter") / p).otherwise(F.lit(1.0)).alias("convexity"),
     )

@@ -19,6 +19,7 @@ from lumengraph.session import cut
 
 # --- co-occurrence ----------------------------------------------------------------------------
 
+# Distances and directions.
 DISTANCES = (1, 2, 3, 4)
 ANGLES = (
     0.0,
@@ -87,6 +88,7 @@ def cooccurrence(strips: DataFrame, levels: int = 8) -> DataFrame:
     ).select("image_id", "to.distance", "to.angle", "i", "j", "p")
 
 
+# Fixed values.
 COOCCURRENCE_PROPERTIES = (
     "contrast", "dissimilarity", "homogeneity", "energy", "correlation", "ASM", "entropy",
 )
@@ -115,6 +117,7 @@ def cooccurrence_properties(table: DataFrame) -> DataFrame:
 
 # --- local binary patterns -----------------------------------------------------------------------
 
+# Fixed values.
 PATTERN_RADII = (1, 2, 3)
 PATTERN_METHODS = ("uniform", "default", "ror")
 
@@ -157,9 +160,16 @@ def _pattern_codes(flat: pd.Series, width: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def pattern_bins(radius: int, method: str) -> int:
+# The shortened histogram of the feature catalogue has so many bins of raw codes
+# at most, of which the first are features.
+SHORT_BINS = 128
+SHORT_NAMES = 30
+
+
+def pattern_bins(radius: int, method: str, most: int | None = None) -> int:
+    """Bins of a coding; raw codes have one each, unless ``most`` gives a smaller number."""
     n = 8 * radius
-    return {"uniform": n + 2, "default": min(2**n, 128), "ror": n + 1}[method]
+    return {"uniform": n + 2, "default": min(2**n, most or 2**n), "ror": n + 1}[method]
 
 
 def binary_patterns(strips: DataFrame, mask: str | None = None) -> DataFrame:
@@ -210,16 +220,21 @@ def binary_patterns(strips: DataFrame, mask: str | None = None) -> DataFrame:
     )
 
 
-def _pattern_bin_count() -> Column:
+def _pattern_bin_count(most: int | None) -> Column:
     n = F.col("radius") * 8
-    return F.when(F.col("method") == "uniform", n + 2).when(F.col("method") == "ror", n + 1).otherwise(F.lit(128))
+    raw = F.expr("shiftleft(1, radius * 8)")
+    raw = raw if most is None else F.least(raw, F.lit(most))
+    return F.when(F.col("method") == "uniform", n + 2).when(F.col("method") == "ror", n + 1).otherwise(raw)
 
 
 PATTERN = ("image_id", "radius", "method")
 
 
-def pattern_histogram(counts: DataFrame) -> DataFrame:
-    """Bin densities ``(…, bin, density, bins)`` of the codes, empty bins left out."""
+def pattern_histogram(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """Bin densities ``(…, bin, density, bins)`` of the codes, empty bins left out.
+
+    Raw codes have a bin each; ``most`` (`SHORT_BINS` in the feature catalogue) merges them.
+    """
     span = counts.groupBy(*PATTERN).agg(
         F.min("code").alias("lo"), F.max("code").alias("hi"), F.sum("n").alias("size")
     )
@@ -228,7 +243,7 @@ def pattern_histogram(counts: DataFrame) -> DataFrame:
         *PATTERN, "size",
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo").cast("double")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi").cast("double")).alias("hi"),
-        _pattern_bin_count().alias("bins"),
+        _pattern_bin_count(most).alias("bins"),
     )
     known = counts.join(span, list(PATTERN))
     place = F.least(
@@ -240,10 +255,10 @@ def pattern_histogram(counts: DataFrame) -> DataFrame:
     )
 
 
-def pattern_statistics(counts: DataFrame) -> DataFrame:
-    """Mean and spread of the codes and the entropy of the full histogram."""
+def pattern_statistics(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """Mean and spread of the codes and the entropy of their histogram."""
     h = F.col("density")
-    entropy = pattern_histogram(counts).groupBy(*PATTERN).agg(F.sum(-h * F.log2(h + 1e-10)).alias("entropy"))
+    entropy = pattern_histogram(counts, most).groupBy(*PATTERN).agg(F.sum(-h * F.log2(h + 1e-10)).alias("entropy"))
     mean = counts.groupBy(*PATTERN).agg(
         F.sum("n").alias("size"), (F.sum(F.col("n") * F.col("code")) / F.sum("n")).alias("mean")
     )
@@ -527,6 +542,7 @@ def wavelet_statistics(coefficients: DataFrame) -> DataFrame:
 
 # --- edges -----------------------------------------------------------------------------------
 
+# Fixed values.
 EDGE_THRESHOLDS = (50, 100, 150)
 # Tangent of 22.5 degrees in 15-bit fixed point.
 _TAN_22 = 13573

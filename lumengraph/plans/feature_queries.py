@@ -186,7 +186,7 @@ def glcm_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(texture.cooccurrence_properties(texture.cooccurrence(tables.raster(spark, sf_dir))))
 
 
-def _lbp_sql(body: str) -> str:
+def _lbp_sql(body: str, bins: str = "1 << CAST(radius * 8 AS INT)") -> str:
     taps = [
         (r, i, 1 << i, *tap)
         for r in texture.PATTERN_RADII
@@ -217,11 +217,11 @@ def _lbp_sql(body: str) -> str:
     UNION ALL SELECT image_id, radius, n, 'ror',
       list_min(list_transform(range(0, radius*8), lambda k: ((raw >> k) | (raw << (radius*8-k))) & ((1::BIGINT << (radius*8)) - 1))) FROM cnt)
   GROUP BY image_id, radius, method, code)""",
-        """span AS (
+        f"""span AS (
   SELECT image_id, radius, method, sum(n) AS size,
     CASE WHEN min(code) = max(code) THEN min(code) - 0.5 ELSE min(code) END::DOUBLE AS lo,
     CASE WHEN min(code) = max(code) THEN max(code) + 0.5 ELSE max(code) END::DOUBLE AS hi,
-    CASE method WHEN 'uniform' THEN radius*8+2 WHEN 'ror' THEN radius*8+1 ELSE 128 END AS bins
+    CASE method WHEN 'uniform' THEN radius*8+2 WHEN 'ror' THEN radius*8+1 ELSE {bins} END AS bins
   FROM codes GROUP BY image_id, radius, method)""",
         """hist AS MATERIALIZED (
   SELECT c.image_id, c.radius, c.method, s.bins, least(bins - 1, CAST(floor((code - lo) / (hi - lo) * bins) AS INT)) AS bin,
@@ -236,6 +236,12 @@ def lbp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(texture.pattern_histogram(texture.binary_patterns(tables.raster(spark, sf_dir))))
 
 
+@query("H8_lbp_short", _lbp_sql(f"SELECT image_id, radius, method, bins, bin, {sql.r('density')} AS density FROM hist", str(texture.SHORT_BINS)))
+def lbp_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortened histogram of the feature catalogue."""
+    return rounded(texture.pattern_histogram(texture.binary_patterns(tables.raster(spark, sf_dir)), texture.SHORT_BINS))
+
+
 @query(
     "H8_lbp_statistics",
     _lbp_sql(
@@ -524,24 +530,43 @@ def boundary_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.boundary_length(_discs(spark, sf_dir))
 
 
-_HULL = f"""hull AS (SELECT image_id, sum(reach) * {2 * math.pi / 360}::DOUBLE AS hull FROM (
+#: From the topmost line, each side goes on to the line reached at the least slope, and of equal ones to the farthest.
+_HULL = """ends AS MATERIALIZED (SELECT image_id, y, min(x) AS lo, max(x) AS hi FROM pts GROUP BY ALL),
+side AS MATERIALIZED (SELECT image_id, y, 0 AS s, lo AS v FROM ends UNION ALL SELECT image_id, y, 1, -hi FROM ends),
+nxt AS MATERIALIZED (
+  SELECT p.image_id, p.s, p.y, p.v, q.y AS y2, q.v AS v2
+  FROM side p JOIN side q ON p.image_id = q.image_id AND p.s = q.s AND q.y > p.y
+  QUALIFY row_number() OVER (PARTITION BY p.image_id, p.s, p.y ORDER BY CAST(q.v - p.v AS DOUBLE) / (q.y - p.y), q.y DESC) = 1),
+walk AS (
+  SELECT image_id, s, min(y) AS y, 0.0::DOUBLE AS len FROM side GROUP BY image_id, s
+  UNION ALL
+  SELECT w.image_id, w.s, n.y2, sqrt(CAST((n.y2 - n.y) * (n.y2 - n.y) + (n.v2 - n.v) * (n.v2 - n.v) AS DOUBLE))
+  FROM walk w JOIN nxt n ON w.image_id = n.image_id AND w.s = n.s AND w.y = n.y),
+caps AS (SELECT image_id, arg_min(hi - lo, y) + arg_max(hi - lo, y) AS width FROM ends GROUP BY image_id),
+hull AS (SELECT w.image_id, sum(len) + any_value(width) AS hull FROM walk w JOIN caps USING (image_id) GROUP BY w.image_id)"""
+
+_SUPPORT = f"""hull AS (SELECT image_id, sum(reach) * {2 * math.pi / 360}::DOUBLE AS hull FROM (
   SELECT image_id, t.i, max(x * cos(t.i * {2 * math.pi / 360}::DOUBLE) + y * sin(t.i * {2 * math.pi / 360}::DOUBLE)) AS reach
   FROM pts, range(0, 360) AS t(i) GROUP BY image_id, t.i) GROUP BY image_id)"""
 
+_CONVEXITY = f"SELECT image_id, {sql.r('CASE WHEN perimeter > 0 THEN hull / perimeter ELSE 1.0 END')} AS convexity FROM hull LEFT JOIN per USING (image_id)"
 
-@query(
-    "H20_convexity",
-    sql.with_(
-        _POINTS,
-        _PERIMETER,
-        _HULL,
-        body=f"SELECT image_id, {sql.r('CASE WHEN perimeter > 0 THEN hull / perimeter ELSE 1.0 END')} AS convexity FROM hull LEFT JOIN per USING (image_id)",
-    ),
-)
+
+@query("H20_convexity", sql.with_(_POINTS, _PERIMETER, _HULL, recursive=True, body=_CONVEXITY))
 def convexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shape.convexity(_discs(spark, sf_dir)))
 
 
+@query("H20_convexity_by_directions", sql.with_(_POINTS, _PERIMETER, _SUPPORT, body=_CONVEXITY))
+def convexity_by_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shape.convexity(_discs(spark, sf_dir), angles=360))
+
+
+@query("H20_hull_perimeter", sql.with_(_POINTS, _HULL, recursive=True, body=f"SELECT image_id, {sql.r('hull')} AS hull_perimeter FROM hull"))
+def hull_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shape.hull_perimeter(_discs(spark, sf_dir)))
+
+
 def _hu_sql() -> str:
     a, b, c, d = "(m30+m12)", "(m21+m03)", "(m30-m12*3)", "(m21*3-m03)"
     s, t = "(m20-m02)", "m11"

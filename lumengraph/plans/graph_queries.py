@@ -41,13 +41,13 @@ _NEAR = 0.5
     sql.with_(
         sql.NODES,
         body=f"""SELECT p.image_id, p.node AS src, q.node AS dst, {sql.r(sql.similarity('p', 'q'))} AS weight
-FROM nodes p JOIN nodes q ON p.image_id = q.image_id AND q.node = p.node + 1""",
+FROM nodes p JOIN nodes q ON p.image_id = q.image_id AND p.node < q.node WHERE {sql.similarity('p', 'q')} > 0""",
     ),
 )
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs that are similar at all, met in cells of colour or position."""
     nodes = tables.graph_nodes(spark, sf_dir)
-    pairs = nodes.where("node > 0").select("image_id", (F.col("node") - 1).alias("src"), F.col("node").alias("dst"))
-    return rounded(graph.pair_similarity(nodes, pairs))
+    return rounded(graph.pair_similarity(nodes, graph.candidate_pairs(nodes, 0.0)).where("weight > 0"))
 
 
 def _edges_sql(threshold: float) -> str:

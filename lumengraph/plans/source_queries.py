@@ -175,7 +175,7 @@ def ingest_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     "A11_write_feature_matrix",
     sql.with_(
         sql.FEATURES,
-        body=f"SELECT label, {sql.r('avg(value) FILTER (WHERE name = $$f0$$)')} AS f0, {sql.r('avg(value) FILTER (WHERE name = $$f63$$)')} AS f63, count(DISTINCT vec_id) AS n FROM feat GROUP BY label",
+        body="SELECT label, " + ", ".join(f"{sql.r(f'avg(value) FILTER (WHERE name = $$f{i}$$)')} AS f{i}" for i in range(64)) + ", count(DISTINCT vec_id) AS n FROM feat GROUP BY label",
     ),
 )
 def write_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ def write_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "features")
     sinks.write_feature_matrix(tables.vector_features(spark, sf_dir), folder, 64)
     back = sinks.read_feature_matrix(spark, folder, 64)
-    return rounded(back.groupBy("label").agg(F.avg("feature_0").alias("f0"), F.avg("feature_63").alias("f63"), F.count("*").alias("n")))
+    return rounded(back.groupBy("label").agg(*[F.avg(f"feature_{i}").alias(f"f{i}") for i in range(64)], F.count("*").alias("n")))
 
 
 @query("A13_append_analysis_result", sql.with_(sql.RECORDS, body=f"SELECT analysis_id, filename, {sql.r('probability')} AS probability FROM rec"))

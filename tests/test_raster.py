@@ -95,21 +95,12 @@ def brute_equalize(v, clip):
             limit = max(int(clip * area), 1)
             extra = np.maximum(hist - limit, 0).sum()
             hist = np.minimum(hist, limit)
-            add = np.minimum(extra // 256, limit - hist)
-            hist, extra = hist + add, extra - add.sum()
-            while extra > 0:
-                start_extra = extra
-                for s in range(256):
-                    free = hist < limit
-                    step = max(1, int(free.sum()) // extra)
-                    for b in range(s, 256, step):
-                        if free[b]:
-                            hist[b] += 1
-                            extra -= 1
-                    if extra <= 0:
-                        break
-                if extra == start_extra:
-                    break
+            while extra >= (hist < limit).sum() > 0:
+                extra -= (hist < limit).sum()
+                hist = hist + (hist < limit)
+            free = [b for b in range(256) if hist[b] < limit]
+            for turn in range(extra if free else 0):
+                hist[free[turn * len(free) // extra]] += 1
             maps[i, j] = np.minimum(np.cumsum(hist) * (16383 / area), 16383).astype(int)
     out = np.zeros_like(v)
     for y in range(h):
