@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lumengraph.plans.tables import NODE_SHARES, NODE_SPREAD
+
 
 def r(expr: str, places: int = 6) -> str:
     return f"(round({expr} + 3e-11::DOUBLE, {places}) + 0.0)"
@@ -38,10 +40,13 @@ pix AS MATERIALIZED (
   FROM disc1),
 dims AS (SELECT DISTINCT image_id, 64 AS h, 64 AS w FROM pix)"""
 
-NODES = """nodes AS MATERIALIZED (
+_SHARES = ",\n    ".join(
+    f"list_reduce(list_transform(embedding[{first}:{first + n - 1}], lambda v: CAST(v AS DOUBLE)), lambda p, q: p + q) * {by}::DOUBLE / {NODE_SPREAD}::DOUBLE AS {name}"
+    for name, (first, n, by) in NODE_SHARES.items()
+)
+NODES = f"""nodes AS MATERIALIZED (
   SELECT CAST(vec_id // 20 AS INT) AS image_id, CAST(vec_id % 20 AS INT) AS node,
-    CAST(embedding[1] AS DOUBLE)*100 AS l, CAST(embedding[2] AS DOUBLE)*100 AS a, CAST(embedding[3] AS DOUBLE)*100 AS b,
-    CAST(embedding[4] AS DOUBLE) AS cy, CAST(embedding[5] AS DOUBLE) AS cx
+    {_SHARES}
   FROM embeddings)"""
 
 

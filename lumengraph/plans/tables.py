@@ -97,17 +97,19 @@ def disc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discs(spark, sf_dir).withColumn("seg", cell)
 
 
+#: First dimension, number of dimensions and scale of a node's values; together all 64 dimensions.
+NODE_SHARES = {"l": (1, 13, 100.0), "a": (14, 13, 100.0), "b": (27, 13, 100.0), "cy": (40, 13, 1.0), "cx": (53, 12, 1.0)}
+#: About the root of the dimensions in a share: sums spread like single dimensions.
+NODE_SPREAD = 3.6
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes with colour and position taken from the vectors."""
-    dim = lambda i, by: (F.get("embedding", F.lit(i)).cast("double") * by)
+    """Nodes with colour and position, each the scaled sum of its share of the vector's dimensions."""
+    total = lambda first, n: F.aggregate(F.slice("embedding", first, n), F.lit(0.0), lambda acc, v: acc + v.cast("double"))
     return read(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / GRAPH_NODES).cast("int").alias("image_id"),
         (F.col("vec_id") % GRAPH_NODES).cast("int").alias("node"),
-        dim(0, 100.0).alias("l"),
-        dim(1, 100.0).alias("a"),
-        dim(2, 100.0).alias("b"),
-        dim(3, 1.0).alias("cy"),
-        dim(4, 1.0).alias("cx"),
+        *[(total(first, n) * by / NODE_SPREAD).alias(name) for name, (first, n, by) in NODE_SHARES.items()],
     )
 
 
