@@ -15,6 +15,7 @@ from lumengraph.operators.raster import pixels
 from lumengraph.session import cut
 
 CHANNEL = ("image_id", "space", "channel")
+VALUES = tuple(f"{space}_{i}" for space in ("rgb", "hsv", "lab") for i in range(3))
 
 
 def colour_census(strips: DataFrame, mask: str | None = None) -> DataFrame:
@@ -26,37 +27,39 @@ def colour_census(strips: DataFrame, mask: str | None = None) -> DataFrame:
 
 
 def channel_values(census: DataFrame) -> DataFrame:
-    """Nine rows per colour: RGB bytes, HSV in [0, 1] and Lab."""
+    """Nine values for each colour in one row: RGB bytes, HSV in [0, 1] and Lab."""
     unit = [F.col(c) / 255.0 for c in "rgb"]
     hsv, lab = colour.rgb_to_hsv(*unit), colour.rgb_to_lab(*unit)
-    wide = census.select(
+    return census.select(
         "image_id",
         "n",
         *[F.col(c).cast("double").alias(f"rgb_{i}") for i, c in enumerate("rgb")],
         *[c.alias(f"hsv_{i}") for i, c in enumerate(hsv)],
         *[c.alias(f"lab_{i}") for i, c in enumerate(lab)],
     )
-    cells = [
-        F.struct(F.lit(s).alias("space"), F.lit(i).alias("channel"), F.col(f"{s}_{i}").alias("value"))
-        for s in ("rgb", "hsv", "lab")
-        for i in range(3)
-    ]
-    return wide.select("image_id", "n", F.inline(F.array(*cells)))
 
 
 def channel_moments(values: DataFrame) -> DataFrame:
-    """Size, mean, smallest and largest value."""
-    return values.groupBy(*CHANNEL).agg(
-        F.sum("n").alias("size"),
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    """One row per image: its size, and mean, smallest and largest value of each channel."""
+    each = [
+        F.struct((F.sum(F.col("n") * F.col(v)) / F.sum("n")).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")).alias(f"{v}_m")
+        for v in VALUES
+    ]
+    return values.groupBy("image_id").agg(F.sum("n").alias("size"), *each)
 
 
 def channel_bins(values: DataFrame, bins: int = 256) -> DataFrame:
-    """Equal-width bins from smallest to largest value with centred power sums."""
-    known = values.join(channel_moments(values), list(CHANNEL))
+    """Equal-width bins from smallest to largest value with centred power sums.
+
+    The hint keeps the colours off the driver: before they are counted, the planner
+    takes them for as small as the table the pictures are made from, and would broadcast them.
+    """
+    wide = values.join(channel_moments(values).hint("merge"), "image_id")
+    cells = [
+        F.struct(F.lit(v[:3]).alias("space"), F.lit(int(v[4:])).alias("channel"), F.col(v).alias("value"), *[F.col(f"{v}_m.{m}").alias(m) for m in ("mean", "min", "max")])
+        for v in VALUES
+    ]
+    known = wide.select("image_id", "n", "size", F.inline(F.array(*cells)))
     share = (F.col("value") - F.col("min")) / (F.col("max") - F.col("min"))
     place = F.when(F.col("max") > F.col("min"), F.least(F.floor(share * bins), F.lit(bins - 1)))
     dev = F.col("value") - F.col("mean")

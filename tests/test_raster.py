@@ -6,7 +6,7 @@ import pytest
 from conftest import as_strips, collect_plane, plane
 from pyspark.sql import functions as F
 
-from lumengraph.operators import raster, texture, validate
+from lumengraph.operators import colourstats, raster, texture, validate
 from lumengraph.sources import images
 
 
@@ -211,3 +211,14 @@ def test_gray_values(spark):
     px = np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255]]])
     got = validate.map_strips(as_strips(spark, {0: px}), "g8", validate.colour.gray8).first()["g8"]
     assert got == [76, 150, 29, 255]
+
+
+def _broadcasts(df) -> bool:
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_colours_are_not_broadcast(spark, rng, tmp_path):
+    as_strips(spark, {1: rng.integers(0, 256, (5, 6, 3))}).write.parquet(str(tmp_path / "strips"))
+    strips = spark.read.parquet(str(tmp_path / "strips"))  # small on disk
+    assert not _broadcasts(colourstats.channel_statistics(strips))
+    assert not _broadcasts(colourstats.channel_histogram(strips))
