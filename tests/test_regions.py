@@ -123,3 +123,15 @@ def test_hu_invariance(spark):
         assert np.isclose(a[f"hu_{i}"], b[f"hu_{i}"], rtol=1e-6, atol=1e-12)
     for i in range(7):
         assert np.isclose(a[f"hu_{i}"], c[f"hu_{i}"], rtol=1e-6, atol=1e-12)
+
+
+def test_lines_are_not_broadcast(spark, rng, tmp_path):
+    strips = as_strips(spark, {1: rng.integers(0, 256, (5, 6, 3))})
+    filled = spark.createDataFrame([(1, 2, 1, 3, 13)], "image_id int, y int, x0 int, x1 int, region bigint")
+    largest = spark.createDataFrame([(1, 13, 3)], "image_id int, region bigint, area bigint")
+    on_disk = []
+    for name, table in (("strips", strips), ("filled", filled), ("largest", largest)):
+        table.write.parquet(str(tmp_path / name))
+        on_disk.append(spark.read.parquet(str(tmp_path / name)))
+    plan = validate.colour_variation(*on_disk)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [image_id" in plan and plan.count("BroadcastHashJoin") <= 1  # runs with the one region of each image
