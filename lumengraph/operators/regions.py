@@ -7,6 +7,8 @@ region's first pixel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,44 +67,63 @@ def _line_overlaps(runs: DataFrame, reach: int, keep: tuple[str, ...]) -> DataFr
     return met.where(F.col("_span") == first).drop("_span")
 
 
-def _link_in_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Smallest connected run, within one block of lines, for each run of the block."""
-    rows = rows.sort_values(["y", "x0"], ignore_index=True)
-    y, x0, x1 = (rows[c].to_numpy() for c in ("y", "x0", "x1"))
-    value, reach = rows["_value"].to_numpy(), rows["_reach"].to_numpy()
-    root = list(range(len(rows)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    lines = np.flatnonzero(np.r_[True, y[1:] != y[:-1], True])
-    for top, low, end in zip(lines[:-2], lines[1:-1], lines[2:]):
-        if y[low] != y[top] + 1:
-            continue
-        i, j = top, low
-        while i < low and j < end:
-            if value[i] == value[j] and x0[j] <= x1[i] + reach[i] and x1[j] >= x0[i] - reach[i]:
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-            # The run that ends first meets nothing further on; with equal ends both
-            # may still touch the other's successor by a corner.
-            if x1[i] < x1[j]:
-                i += 1
-            elif x1[j] < x1[i]:
-                j += 1
-            else:
-                if i + 1 < low and value[i + 1] == value[j] and x0[i + 1] <= x1[j] + reach[j]:
-                    p, q = find(i + 1), find(j)
-                    root[max(p, q)] = min(p, q)
-                if j + 1 < end and value[j + 1] == value[i] and x0[j + 1] <= x1[i] + reach[i]:
-                    p, q = find(i), find(j + 1)
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by image and block, dealt anew so that no block is cut; a block has a bound."""
+    rest = None
+    for rows in batches:
+        rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+        last = (rows["image_id"] == rows["image_id"].iloc[-1]) & (rows["_block"] == rows["_block"].iloc[-1])
+        whole = len(rows) - int(last.sum())
+        if whole:
+            yield rows.iloc[:whole]
+        rest = rows.iloc[whole:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _link_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Smallest connected run, within its block of lines, for each run; blocks come sorted by line."""
+    for rows in _whole_blocks(batches):
+        place = [rows[c].to_numpy() for c in ("image_id", "_block", "y")]
+        block = np.cumsum(np.any([p[1:] != p[:-1] for p in place[:2]], axis=0), dtype=np.int64)
+        block = np.concatenate([[0], block])
+        new_line = np.concatenate([[True], (block[1:] != block[:-1]) | (place[2][1:] != place[2][:-1]), [True]])
+        lines = np.flatnonzero(new_line)
+        follows = (block[lines[1:-1]] == block[lines[:-2]]) & (place[2][lines[1:-1]] == place[2][lines[:-2]] + 1)
+        x0, x1, value, reach = (rows[c].tolist() for c in ("x0", "x1", "_value", "_reach"))
+        root = list(range(len(rows)))
+
+        def find(i: int) -> int:
+            while root[i] != i:  # noqa: B023
+                root[i] = root[root[i]]  # noqa: B023
+                i = root[i]  # noqa: B023
+            return i
+
+        lines = lines.tolist()
+        for top, low, end, near in zip(lines[:-2], lines[1:-1], lines[2:], follows.tolist()):
+            if not near:
+                continue
+            i, j = top, low
+            while i < low and j < end:
+                if value[i] == value[j] and x0[j] <= x1[i] + reach[i] and x1[j] >= x0[i] - reach[i]:
+                    p, q = find(i), find(j)
                     root[max(p, q)] = min(p, q)
-                i, j = i + 1, j + 1
-    run = rows["run"].to_numpy()
-    return rows[["image_id", "run"]].assign(local=[run[find(i)] for i in range(len(rows))])
+                # The run that ends first meets nothing further on; with equal ends both
+                # may still touch the other's successor by a corner.
+                if x1[i] < x1[j]:
+                    i += 1
+                elif x1[j] < x1[i]:
+                    j += 1
+                else:
+                    if i + 1 < low and value[i + 1] == value[j] and x0[i + 1] <= x1[j] + reach[j]:
+                        p, q = find(i + 1), find(j)
+                        root[max(p, q)] = min(p, q)
+                    if j + 1 < end and value[j + 1] == value[i] and x0[j + 1] <= x1[i] + reach[i]:
+                        p, q = find(i), find(j + 1)
+                        root[max(p, q)] = min(p, q)
+                    i, j = i + 1, j + 1
+        run = rows["run"].to_numpy()
+        yield rows[["image_id", "run"]].assign(local=run[[find(i) for i in range(len(rows))]])
 
 
 def connected_runs(runs: DataFrame, value: Column, reach: Column) -> DataFrame:
@@ -114,9 +135,9 @@ def connected_runs(runs: DataFrame, value: Column, reach: Column) -> DataFrame:
     """
     id_type = runs.schema["image_id"].dataType.simpleString()
     work = runs.withColumns({"_value": value, "_reach": reach, "_block": F.floor(F.col("y") / _BLOCK).cast("int")})
-    local = cut(
-        work.groupBy("image_id", "_block").applyInPandas(_link_in_block, f"image_id {id_type}, run bigint, local bigint")
-    )
+    # Many small blocks go through one call: a call for each would cost more than its work.
+    sorted_ = work.select("image_id", "_block", "y", "x0", "x1", "run", "_value", "_reach").repartition("image_id", "_block").sortWithinPartitions("image_id", "_block", "y", "x0")
+    local = cut(sorted_.mapInPandas(_link_in_blocks, f"image_id {id_type}, run bigint, local bigint"))
     labelled = work.join(local, ["image_id", "run"])
     edge = labelled.where((F.col("y") % _BLOCK == 0) | ((F.col("y") + 1) % _BLOCK == 0))
     met = _line_overlaps(edge, 1, ("_value", "_reach", "local", "_block"))

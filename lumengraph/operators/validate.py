@@ -128,7 +128,12 @@ def colour_variation(strips: DataFrame, filled: DataFrame, largest: DataFrame) -
 
 
 def validate_images(shapes: DataFrame, strips: DataFrame) -> DataFrame:
-    """``image_id, is_valid, reason``: the first failing gate, or the message of success.
+    """``image_id, is_valid, reason``: the first failing gate, or the message of success."""
+    return gates(shapes, strips)[0]
+
+
+def gates(shapes: DataFrame, strips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The verdicts ``image_id, is_valid, reason``, and the largest regions they saw.
 
     ``shapes`` is ``image_id, problem``. Only images of sound shape and enough skin go on
     to the costly region step.
@@ -151,7 +156,7 @@ def validate_images(shapes: DataFrame, strips: DataFrame) -> DataFrame:
         .when(F.col("variation") < MIN_VARIATION, F.lit(FLAT_LESION))
         .otherwise(F.lit(VALID))
     )
-    return joined.select("image_id", (reason == VALID).alias("is_valid"), reason.alias("reason"))
+    return joined.select("image_id", (reason == VALID).alias("is_valid"), reason.alias("reason")), largest
 
 
 def strips_shape(strips: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from conftest import as_strips, collect_plane, plane
 
 from lumengraph.operators import regions, segment, shape, validate
@@ -135,3 +136,17 @@ def test_lines_are_not_broadcast(spark, rng, tmp_path):
         on_disk.append(spark.read.parquet(str(tmp_path / name)))
     plan = validate.colour_variation(*on_disk)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [image_id" in plan and plan.count("BroadcastHashJoin") <= 1  # runs with the one region of each image
+
+
+def test_blocks_cut_by_batches_are_put_together(spark, rng):
+    mask = rng.random((70, 9)) < 0.55
+    rows = sorted(
+        (r.image_id, r.y // 64, r.y, r.x0, r.x1, r.run, 1, 1)
+        for r in regions.value_runs(plane(spark, mask, "dark", "boolean"), "dark").where("dark").collect()
+    )
+    table = pd.DataFrame(rows, columns=["image_id", "_block", "y", "x0", "x1", "run", "_value", "_reach"])
+    whole = pd.concat(regions._link_in_blocks(iter([table])), ignore_index=True)
+    parts = pd.concat(regions._link_in_blocks(table.iloc[i : i + 7] for i in range(0, len(table), 7)), ignore_index=True)
+    assert whole.equals(parts) and len(whole) == len(table)
+    label = flood(mask[:64], True)
+    assert all(label[r.run // 9, r.run % 9] == r.local for r in whole.itertuples() if r.run < 64 * 9)
