@@ -326,9 +326,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gate_scorer(rows: DataFrame) -> DataFrame:
     """Gates, and as score the share of the picture its largest dark region fills."""
     strips = cut(raster.to_strips(rows))
-    verdict = validate.validate_images(validate.strips_shape(strips), strips)
-    dark = cut(validate.dark_mask(strips))
-    largest = validate.largest_region(validate.lesion_candidates(dark, regions.filled_regions(dark)))
+    verdict, largest = validate.gates(validate.strips_shape(strips), strips)
     share = largest.select("image_id", (F.col("area") / (64.0 * 64.0)).alias("probability"))
     return verdict.withColumnRenamed("reason", "validation").join(share, "image_id", "left")
 

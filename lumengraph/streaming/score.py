@@ -15,14 +15,18 @@ from lumengraph.sources.tables import append_unique
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def arriving_images(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """New files of a landing folder as ``image_id, image``."""
+def arriving_images(spark: SparkSession, folder: str, bytes_per_batch: int = 1 << 30) -> DataFrame:
+    """New files of a landing folder as ``image_id, image``.
+
+    A batch takes files by their size: the jobs of a batch cost the same for few small files as
+    for many, so a fixed number of files would make time grow with the number of batches.
+    """
     stream = (
         spark.readStream.format("image")
         .schema(IMAGE_SCHEMA)
         .option("dropInvalid", "false")
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxBytesPerTrigger", bytes_per_batch)
     )
     return with_id(stream.load(folder))
 

@@ -55,3 +55,15 @@ def test_stream_scores_and_sets_aside(spark, tmp_path, rng):
     png(landing / "two.png", rng.integers(0, 256, (8, 8, 3)))
     assert run()[0] == {"one.png", "two.png"}
     assert spark.read.parquet(paths[1]).count() == 2
+
+
+def test_many_small_files_are_one_batch(spark, tmp_path):
+    from lumengraph.streaming import score
+
+    (tmp_path / "in").mkdir()
+    for i in range(1100):
+        (tmp_path / "in" / f"{i}.bmp").write_bytes(b"no picture")
+    sizes = []
+    stream = score.arriving_images(spark, str(tmp_path / "in")).writeStream.trigger(availableNow=True)
+    stream.option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda batch, _: sizes.append(batch.count())).start().awaitTermination()
+    assert sizes == [1100]
