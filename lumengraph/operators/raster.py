@@ -464,13 +464,16 @@ def equalize_adaptive(strips: DataFrame, clip_limit: float = 0.03, channels: Seq
     of its size; a tile histogram is clipped, its surplus spread over the bins, and
     its running share becomes a gray curve. A pixel blends the curves of the four
     tiles around it.
+
+    The hints keep curves and pictures off the driver: before they are made, the planner takes
+    them for as small as the table the pictures are made from, and would broadcast them.
     """
     top = lambda r, g, b: F.greatest(r, g, b) / 255.0
     work = map_strips(strips, "v", top, channels)
     reach = work.groupBy("image_id").agg(
         F.min(F.array_min("v")).alias("v_lo"), F.max(F.array_max("v")).alias("v_hi")
     )
-    work = work.join(reach, "image_id")
+    work = work.join(reach.hint("merge"), "image_id")
     span = F.col("v_hi") - F.col("v_lo")
     level = lambda v: F.when(span == 0, F.lit(0.0)).otherwise((v - F.col("v_lo")) / span * float(_GRAYS - 1))
     to_bin = lambda v: F.floor(F.rint(level(v)) / float(1 + _GRAYS // _BINS)).cast("int")
@@ -497,6 +500,7 @@ def equalize_adaptive(strips: DataFrame, clip_limit: float = 0.03, channels: Seq
         .withColumn("mx", F.explode(mirror_x))
         .groupBy(
             "image_id", "th", "tw",
+            F.ceil(F.col("height") / F.col("th")).cast("int").alias("n_ty"),
             F.floor(F.col("my") / F.col("th")).cast("int").alias("ty"),
             F.floor(F.col("mx") / F.col("tw")).cast("int").alias("tx"),
             "bin",
@@ -504,27 +508,28 @@ def equalize_adaptive(strips: DataFrame, clip_limit: float = 0.03, channels: Seq
         .agg(F.count("*").cast("int").alias("n"))
     )
     bins = F.sequence(F.lit(0), F.lit(_BINS - 1))
-    tiles = cells.groupBy("image_id", "th", "tw", "ty", "tx").agg(
+    tiles = cells.groupBy("image_id", "th", "tw", "n_ty", "ty", "tx").agg(
         F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts")
     )
     curve = _tile_curve("bins", "counts", F.col("th") * F.col("tw"), F.lit(float(clip_limit)))
-    curves = tiles.select("image_id", "ty", "tx", curve.alias("curve"))
-    # Each line blends two tile rows; the curves of a tile row are one array.
-    rows = curves.groupBy("image_id", "ty").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("tx", "curve"))), lambda s: s["curve"]).alias("curves"),
+    curves = tiles.select("image_id", "n_ty", "ty", "tx", curve.alias("curve"))
+    # Each line blends two tile rows, known to it by one number ``py``: the rows py - 1 and py, within
+    # the picture. The curves of a tile row are one array.
+    ty, use = F.col("ty"), lambda py, side: F.struct(py.alias("py"), F.lit(side).alias("side"))
+    uses = F.filter(
+        F.array(
+            use(ty + 1, 0), use(ty, 1),
+            F.when(ty == 0, use(ty, 0)), F.when(ty == F.col("n_ty") - 1, use(ty + 1, 1)),
+        ),
+        lambda u: u.isNotNull(),
     )
+    used = curves.select("image_id", "tx", "curve", F.inline(uses))
+    of = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("tx", "curve")))), lambda s: s["curve"])
+    pairs = used.groupBy("image_id", "py").agg(of(0).alias("curves0"), of(1).alias("curves1"))
     half_y, half_x = F.floor(F.col("th") / 2).cast("int"), F.floor(F.col("tw") / 2).cast("int")
-    n_ty = F.ceil(F.col("height") / F.col("th")).cast("int")
     pos_y = F.col("y") + half_y
-    work = (
-        work.withColumn("py", F.floor(pos_y / F.col("th")).cast("int"))
-        .withColumn("fy", (pos_y % F.col("th")) / F.col("th"))
-        .withColumn("ty0", F.greatest(F.col("py") - 1, F.lit(0)))
-        .withColumn("ty1", F.least(F.col("py"), n_ty - 1))
-    )
-    up = rows.select("image_id", F.col("ty").alias("ty0"), F.col("curves").alias("curves0"))
-    low = rows.select("image_id", F.col("ty").alias("ty1"), F.col("curves").alias("curves1"))
-    work = work.join(up, ["image_id", "ty0"]).join(low, ["image_id", "ty1"])
+    work = work.withColumn("py", F.floor(pos_y / F.col("th")).cast("int")).withColumn("fy", (pos_y % F.col("th")) / F.col("th"))
+    work = work.join(pairs.hint("merge"), ["image_id", "py"])
 
     def blend(b: Column, x: Column) -> Column:
         pos = x + half_x
@@ -546,7 +551,7 @@ def equalize_adaptive(strips: DataFrame, clip_limit: float = 0.03, channels: Seq
         F.min(F.array_min("eq")).alias("eq_lo"), F.max(F.array_max("eq")).alias("eq_hi")
     )
     # Back to colour: value replaced, hue and saturation kept.
-    work = work.join(final, "image_id")
+    work = work.join(final.hint("merge"), "image_id")
     eq_span = F.col("eq_hi") - F.col("eq_lo")
     value = lambda s: F.when(eq_span == 0, F.lit(0.0)).otherwise((s["eq"] - F.col("eq_lo")) / eq_span)
     brightest = lambda s: F.greatest(*[s[c] for c in channels])
