@@ -91,10 +91,11 @@ def shortest_paths(
 
     Only pairs that got shorter in a round are extended in the next one, by an
     equi-join on (graph, node) and a partial aggregate per pair. No group is gathered;
-    the state is the answer itself. Rounds: the hops of the longest shortest path.
+    the state is the answer itself. Rounds: the hops of the longest shortest path. They join by
+    merge, as a broadcast in each would add up on the driver.
     """
     keys = list(keys)
-    arcs = arcs.select(*keys, F.col("u").alias("t"), F.col("v").alias("next"), "cost")
+    arcs = arcs.select(*keys, F.col("u").alias("t"), F.col("v").alias("next"), "cost").hint("merge")
     begin = nodes if sources is None else sources
     known = cut(begin.select(*keys, F.col("node").alias("s"), F.col("node").alias("t"), F.lit(0.0).alias("d"), F.lit(True).alias("new")))
     while True:

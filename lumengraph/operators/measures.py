@@ -183,9 +183,9 @@ def char_path_length(
     keys = list(keys)
     size = components.groupBy(*keys, "component").agg(F.count("*").alias("n"))
     of = components.select(*keys, "node", "component")
-    total = sums.join(of, [*keys, "node"]).groupBy(*keys, "component").agg(F.sum("total").alias("total"))
+    total = sums.join(of.hint("merge"), [*keys, "node"]).groupBy(*keys, "component").agg(F.sum("total").alias("total"))
     n = F.col("n")
-    each = size.join(total, [*keys, "component"]).where("n > 1").select(
+    each = size.join(total.hint("merge"), [*keys, "component"]).where("n > 1").select(
         *keys, n.alias("n"), (F.col("total") / (n * (n - 1))).alias("length")
     )
     found = each.groupBy(*keys).agg((F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("length"))

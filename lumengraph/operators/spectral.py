@@ -44,9 +44,9 @@ def normalized_laplacian(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
 
 
 def multiply(laplacian: DataFrame, signal: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """``keys, node`` and the product for each signal column."""
+    """``keys, node`` and the product for each signal column; by merge, as rounds of broadcasts would add up on the driver."""
     keys = list(keys)
-    met = laplacian.join(signal.withColumnRenamed("node", "j"), [*keys, "j"])
+    met = laplacian.join(signal.withColumnRenamed("node", "j").hint("merge"), [*keys, "j"])
     return met.groupBy(*keys, F.col("i").alias("node")).agg(
         *[F.sum(F.col("value") * F.col(c)).alias(c) for c in columns]
     )
@@ -221,14 +221,15 @@ def extreme_eigenvalues(
     graph; a graph of several components has gap 0. Each round is one product and two
     sums per graph. Rounds go on until the ``residual`` of every graph, a bound on the error
     of both values, is at most ``EXHAUSTED``, unless a number of ``rounds`` is asked for.
-    Only the rounds' coefficients, two numbers each, meet in one row per graph.
+    Only the rounds' coefficients, two numbers each, meet in one row per graph. Rounds join by
+    merge: one broadcast each would be small, but all of them pass through the driver.
     """
     keys = list(keys)
     lap = cut(normalized_laplacian(nodes, edges, keys))
     deg = node_degree(nodes, edges, keys)
     total = deg.groupBy(*keys).agg(F.sum("strength").alias("total"), F.count("*").alias("n"))
     noise = F.pmod(F.abs(F.xxhash64("node")), F.lit(1000003)) / 1000003.0 - 0.5
-    start = deg.join(total, keys).select(
+    start = deg.join(total.hint("merge"), keys).select(
         *keys, "node", noise.alias("v"),
         F.when(F.col("total") > 0, F.sqrt(F.col("strength") / F.col("total"))).otherwise(F.lit(0.0)).alias("z"),
     )
@@ -240,22 +241,22 @@ def extreme_eigenvalues(
         """``v`` to unit length; ``beta`` is the length it had, 0 once nothing is left."""
         norm = sums(df, n2=v * v).withColumn("norm", F.sqrt("n2")).drop("n2")
         alive = F.col("norm") > EXHAUSTED
-        return df.join(norm, keys).select(
+        return df.join(norm.hint("merge"), keys).select(
             *keys, "node", "z", "old",
             F.when(alive, v / F.col("norm")).otherwise(F.lit(0.0)).alias("v"),
             F.when(alive, F.col("norm")).otherwise(F.lit(0.0)).alias("beta"),
         )
 
-    flat = start.join(sums(start, along=v * z), keys).withColumn("v", v - F.col("along") * z)
+    flat = start.join(sums(start, along=v * z).hint("merge"), keys).withColumn("v", v - F.col("along") * z)
     state = cut(scaled(flat.withColumn("old", F.lit(0.0))).withColumn("beta", F.lit(0.0)))
     left = lambda new, now, old: new - F.col("alpha") * now - F.col("beta") * old
     step = 0
     found: list[DataFrame] = []
     while True:
         product = multiply(lap, state.select(*keys, "node", "v"), ["v"], keys).withColumnRenamed("v", "w")
-        met = cut(state.join(product, [*keys, "node"]))
+        met = cut(state.join(product.hint("merge"), [*keys, "node"]))
         rest = cut(
-            met.join(sums(met, alpha=v * w, wz=w * z, vz=v * z, oz=F.col("old") * z), keys).select(
+            met.join(sums(met, alpha=v * w, wz=w * z, vz=v * z, oz=F.col("old") * z).hint("merge"), keys).select(
                 *keys, "node", "z", v.alias("old"), "alpha",
                 (left(w, v, F.col("old")) - left(F.col("wz"), F.col("vz"), F.col("oz")) * z).alias("v"),
             )
@@ -273,9 +274,9 @@ def extreme_eigenvalues(
             ends = cut(rows.select(*keys, _tridiagonal_extremes("c.alpha", "c.beta").alias("e")))
             if step == rounds or ends.where(F.col("e.residual") > EXHAUSTED).isEmpty():
                 break
-    ends = ends.join(total, keys)
+    ends = ends.join(total.hint("merge"), keys)
     parts = components.select(*keys, "component").distinct().groupBy(*keys).agg(F.count("*").alias("parts"))
-    return ends.join(parts, keys).select(
+    return ends.join(parts.hint("merge"), keys).select(
         *keys,
         F.when((F.col("n") > 1) & (F.col("total") > 0), F.col("e.high")).otherwise(F.lit(0.0)).alias("spectral_radius"),
         F.when((F.col("parts") == 1) & (F.col("n") > 1), F.greatest(F.col("e.low"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("spectral_gap"),
