@@ -226,21 +226,36 @@ def hull_perimeter(strips: DataFrame, angles: int | None = None) -> DataFrame:
     """Perimeter of the convex hull of the pixel centres.
 
     With ``angles`` it is estimated by Cauchy's formula: the mean width over so many
-    directions, whose largest value per direction is reduced before the shuffle.
+    directions. The farthest point in any direction is a corner of the hull, so all
+    directions are read off the corners, in the picture's one row.
     """
-    if angles is None:
-        ahead = lambda c: F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1))
-        step = lambda a, b: F.zip_with(a, b, lambda p, q: (p - q).cast("double") * (p - q))
-        sides = F.zip_with(step("ys", ahead("ys")), step("xs", ahead("xs")), lambda p, q: F.sqrt(p + q))
-        return convex_hull(strips).select("image_id", F.aggregate(sides, F.lit(0.0), lambda acc, v: acc + v).alias("hull_perimeter"))
-    ends = _line_sums(strips, 0).select(
-        "image_id", F.col("y").cast("double").alias("y"), F.explode(F.array("x_lo", "x_hi")).alias("x")
-    )
+    hulls = convex_hull(strips)
+    if angles is not None:
+        return hulls.select("image_id", _mean_reach(angles)("ys", "xs").alias("hull_perimeter"))
+    ahead = lambda c: F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1))
+    step = lambda a, b: F.zip_with(a, b, lambda p, q: (p - q).cast("double") * (p - q))
+    sides = F.zip_with(step("ys", ahead("ys")), step("xs", ahead("xs")), lambda p, q: F.sqrt(p + q))
+    return hulls.select("image_id", F.aggregate(sides, F.lit(0.0), lambda acc, v: acc + v).alias("hull_perimeter"))
+
+
+def _mean_reach(angles: int):
+    """Sum over the directions of the largest reach of the corners (ys, xs), by the step."""
     step = 2 * math.pi / angles
-    spread = ends.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))))
-    support = F.col("x") * F.cos(F.col("turn") * step) + F.col("y") * F.sin(F.col("turn") * step)
-    top = spread.groupBy("image_id", "turn").agg(F.max(support).alias("reach"))
-    return top.groupBy("image_id").agg((F.sum("reach") * step).alias("hull_perimeter"))
+    turn = np.arange(angles) * step
+    cos, sin = np.cos(turn), np.sin(turn)
+
+    @F.pandas_udf("double")
+    def reach(ys: pd.Series, xs: pd.Series) -> pd.Series:
+        sums = []
+        for y, x in zip(ys, xs):
+            top = np.full(angles, -np.inf)
+            for a in range(0, len(y), 1024):  # few corners at once, whatever their number
+                part = slice(a, a + 1024)
+                top = np.maximum(top, (np.outer(np.asarray(x[part]), cos) + np.outer(np.asarray(y[part]), sin)).max(axis=0))
+            sums.append(float(top.sum()) * step)
+        return pd.Series(sums, dtype="float64")
+
+    return reach
 
 
 def convexity(strips: DataFrame, angles: int | None = None) -> DataFrame:
