@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +46,13 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     return lab_from_curves(*lab_curves(linear_light(r), linear_light(g), linear_light(b)))
 
 
+def lab_values(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`rgb_to_lab` of arrays inside a task."""
+    r, g, b = (np.where(c > 0.04045, ((np.maximum(c, 0.0) + 0.055) / 1.055) ** 2.4, c / 12.92) for c in (r, g, b))
+    curve = lambda t: np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16.0 / 116.0)
+    return lab_from_curves(*[curve((r * m[0] + g * m[1] + b * m[2]) / white) for m, white in zip(RGB_TO_XYZ, D65_WHITE)])
+
+
 def normalize_lab(lab: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
     l, a, b = lab
     return l / 100.0, (a + 128.0) / 255.0, (b + 128.0) / 255.0
