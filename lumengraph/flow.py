@@ -108,11 +108,11 @@ def texture_features(strips: DataFrame) -> DataFrame:
     glcm = texture.cooccurrence_properties(cut(texture.cooccurrence(strips)))
     place = [F.concat(F.lit("d"), text("distance")), F.concat(F.lit("a"), text("angle"))]
     out = _named(glcm, place, {p: f"glcm_{p}" for p in texture.COOCCURRENCE_PROPERTIES})
-    counts = cut(texture.binary_patterns(strips, "mask"))
+    cells = cut(texture.pattern_cells(cut(texture.binary_patterns(strips, "mask")), texture.SHORT_BINS))
     kind = [F.concat(F.lit("r"), text("radius")), F.col("method")]
-    hist = texture.pattern_histogram(counts, texture.SHORT_BINS).where(F.col("bin") < texture.SHORT_NAMES)
+    hist = cells.where(F.col("bin") < texture.SHORT_NAMES)
     out = out.unionByName(hist.select("image_id", F.concat_ws("_", F.lit("lbp_hist"), *kind, text("bin")).alias("name"), F.col("density").alias("value")))
-    out = out.unionByName(_named(texture.pattern_statistics(counts, texture.SHORT_BINS), kind, {s: f"lbp_{s}" for s in ("mean", "std", "entropy")}))
+    out = out.unionByName(_named(texture.statistics_of_cells(cells), kind, {s: f"lbp_{s}" for s in ("mean", "std", "entropy")}))
     gray = cut(raster.gray_strips(strips, masked=True).select(*raster.KEYS, "gray", "mask"))
     waves = cut(texture.wavelet_statistics(texture.wavelet_coefficients(gray)))
     alias = F.array(*[F.struct(F.lit(f).alias("of"), F.lit(a).alias("as")) for f, names in texture.SAME_FILTERS.items() for a in names])
@@ -122,7 +122,7 @@ def texture_features(strips: DataFrame) -> DataFrame:
     rest = waves.where("level > 0")
     out = out.unionByName(_named(top, front, {s: s for s in ("mean", "std", "energy", "entropy", "kurtosis", "skewness")}, "back"))
     out = out.unionByName(_named(rest, [*front, text("level")], {s: s for s in ("mean", "std", "energy", "entropy", "max")}, "back"))
-    grads = texture.gradients(gray, mask="mask")
+    grads = cut(texture.gradients(gray, mask="mask"))  # three statistics read them
     by_size = texture.gradient_statistics(grads)
     k = [F.concat(F.lit("k"), text("ksize"))]
     for kind_, names in (("mag", ("mean", "std", "max", "energy")), ("dir", ("mean", "std", *[f"hist_{i}" for i in range(16)]))):

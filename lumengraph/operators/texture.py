@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,39 @@ from lumengraph.functions import colour
 from lumengraph.operators import raster
 from lumengraph.operators.raster import horizontal_pass, vertical_pass, weighted, with_neighbours
 from lumengraph.operators.regions import label_regions
+from lumengraph.operators.segment import _flat, _lengths, _lists, _slices
 from lumengraph.session import cut
 
+
+def _cubes(lines: pa.ListArray, wide: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one width and their ``2k + 1`` lines, padded by ``k``, as one cube; NaN where some lack."""
+    inner = lines.flatten()
+    flat, lengths = _flat(inner), _lengths(inner)
+    first = np.concatenate([[0], np.cumsum(_lengths(lines))])  # of the lines of a row
+    start = np.concatenate([[0], np.cumsum(lengths)])  # of the values of a line
+    for w in np.unique(wide):
+        rows = np.flatnonzero(wide == w)
+        size = (2 * k + 1) * (w + 2 * k)
+        there = np.diff(first)[rows] == 2 * k + 1
+        there &= start[first[rows + 1]] - start[first[rows]] == size
+        cube = np.full((len(rows), size), np.nan)
+        cube[there] = flat[start[first[rows[there]]][:, None] + np.arange(size)]
+        cube = cube.reshape(len(rows), 2 * k + 1, w + 2 * k)
+        for i in np.flatnonzero(~there):
+            for j, at in enumerate(range(first[rows[i]], first[rows[i] + 1])):
+                cube[i, j, : lengths[at]] = flat[start[at] : start[at + 1]]
+        yield rows, cube
+
+
+def _total(parts: Sequence[tuple[float, np.ndarray]]) -> np.ndarray:
+    """The same sum in the same order as `raster.weighted`."""
+    total = None
+    for weight, part in parts:
+        if weight != 0:
+            part = part if weight == 1 else part * weight
+            total = part if total is None else total + part
+    return total
+
 # --- co-occurrence ----------------------------------------------------------------------------
 
 # Distances and directions.
@@ -134,30 +166,33 @@ def pattern_taps(radius: int) -> list[tuple[int, int, int, int, float, float]]:
     return taps
 
 
-_CODES = T.StructType([T.StructField(f"code_{r}", T.ArrayType(T.IntegerType())) for r in PATTERN_RADII])
-
-
-@F.pandas_udf(_CODES)
-def _pattern_codes(flat: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Pattern codes of one line from its padded neighbourhood, all columns at once.
+def _pattern_codes(cube: np.ndarray, radius: int) -> np.ndarray:
+    """Pattern codes of the middle lines of a cube of padded neighbourhoods.
 
     A pixel has 48 samples of four corners each; as nested array expressions, which
     Spark interprets value by value, that is two orders of magnitude slower.
     """
     far = max(PATTERN_RADII)
-    out: dict[str, list] = {f"code_{r}": [] for r in PATTERN_RADII}
-    for values, w in zip(flat, width):
-        lines = np.asarray(values).reshape(2 * far + 1, w + 2 * far)
-        cut_out = lambda dy, dx: lines[far + dy, far + dx : far + dx + w]  # noqa: B023, E731
-        centre = cut_out(0, 0)
-        for r in PATTERN_RADII:
-            code = np.zeros(w, dtype=np.int32)
-            for i, (y0, x0, y1, x1, fy, fx) in enumerate(pattern_taps(r)):
-                top = (1.0 - fx) * cut_out(y0, x0) + fx * cut_out(y0, x1)
-                low = (1.0 - fx) * cut_out(y1, x0) + fx * cut_out(y1, x1)
-                code |= (((1.0 - fy) * top + fy * low) - centre >= 0).astype(np.int32) << i
-            out[f"code_{r}"].append(code)
-    return pd.DataFrame(out)
+    w = cube.shape[2] - 2 * far
+    cut_out = lambda dy, dx: cube[:, far + dy, far + dx : far + dx + w]
+    centre = cut_out(0, 0)
+    code = np.zeros(centre.shape, dtype=np.int64)
+    for i, (y0, x0, y1, x1, fy, fx) in enumerate(pattern_taps(radius)):
+        top = (1.0 - fx) * cut_out(y0, x0) + fx * cut_out(y0, x1)
+        low = (1.0 - fx) * cut_out(y1, x0) + fx * cut_out(y1, x1)
+        code |= (((1.0 - fy) * top + fy * low) - centre >= 0).astype(np.int64) << i
+    return code
+
+
+def _pattern_forms(raw: np.ndarray, radius: int) -> dict[str, np.ndarray]:
+    """The codes of every method from raw ones."""
+    n = 8 * radius
+    whole = (1 << n) - 1
+    flips = np.bitwise_count((raw ^ (raw >> 1)) & (whole >> 1))
+    turned = raw
+    for k in range(1, n):
+        turned = np.minimum(turned, ((raw >> k) | (raw << (n - k))) & whole)
+    return {"uniform": np.where(flips <= 2, np.bitwise_count(raw), n + 1), "default": raw, "ror": turned}
 
 
 # The shortened histogram of the feature catalogue has so many bins of raw codes
@@ -184,39 +219,48 @@ def binary_patterns(strips: DataFrame, mask: str | None = None) -> DataFrame:
         strips, "v", lambda r, g, b: F.floor(colour.gray(r / 255.0, g / 255.0, b / 255.0) * 255.0).cast("double")
     )
     near = with_neighbours(bytes_, ["v"], far, far, border="zero", keep=keep)
-    # Codes are made line by line and only then exploded, so that a pixel row carries
-    # its code and not the neighbourhood.
-    lines = near.select("image_id", *keep, _pattern_codes(F.flatten("v"), F.col("width")).alias("c"))
-    each = lines.select(
-        "image_id", F.explode(F.arrays_zip(*keep, *[F.col(f"c.code_{r}") for r in PATTERN_RADII])).alias("px")
-    )
-    if mask:
-        each = each.where(F.col("px")[mask])
-    codes = each.select(
-        "image_id",
-        F.inline(F.array(*[F.struct(F.lit(r).alias("radius"), F.col("px")[f"code_{r}"].alias("raw")) for r in PATTERN_RADII])),
-    )
-    # Distinct raw codes are few; the other two codings are worked out on the counts.
-    counted = codes.groupBy("image_id", "radius", "raw").agg(F.count("*").alias("n"))
-    raw, n = F.col("raw"), F.col("radius") * 8
-    flips = F.bit_count(raw.bitwiseXOR(F.shiftright(raw, 1)).bitwiseAND(F.expr("shiftleft(1, radius * 8 - 1) - 1")))
-    uniform = F.when(flips <= 2, F.bit_count(raw)).otherwise(n + 1)
-    turned = F.array_min(
-        F.expr(
-            "transform(sequence(0, radius * 8 - 1), k -> "
-            "(shiftright(raw, k) | shiftleft(raw, radius * 8 - k)) & (shiftleft(1, radius * 8) - 1))"
-        )
-    )
-    forms = F.array(
-        *[
-            F.struct(F.lit(m).alias("method"), c.cast("int").alias("code"))
-            for m, c in (("uniform", uniform), ("default", raw), ("ror", turned))
-        ]
-    )
+    id_type = near.schema["image_id"].dataType
+    schema = T.StructType([
+        T.StructField("image_id", id_type), T.StructField("radius", T.IntegerType()), T.StructField("form", T.IntegerType()),
+        T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType()),
+    ])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All methods' codes of some lines, counted, so that no row is made for a pixel."""
+        for batch in batches:
+            # Lines of about 2^16 pixels together, as a pixel has seven lines of neighbours here.
+            wide = batch.column("width").to_numpy().astype(np.int64)
+            steps = np.flatnonzero(np.diff(np.cumsum(wide) >> 16, prepend=-1))
+            for first, last in zip(steps, [*steps[1:], len(wide)]):
+                one = batch.slice(first, last - first)
+                ids = one.column("image_id").dictionary_encode()
+                place = ids.indices.to_numpy().astype(np.int64)
+                inside = one.column(mask) if mask else None
+                inner = np.concatenate([[0], np.cumsum(_lengths(inside))]) if mask else None
+                on = pc.fill_null(inside.flatten(), False).to_numpy(zero_copy_only=False) if mask else None
+                for rows, cube in _cubes(one.column("v"), wide[first:last], far):
+                    if np.isnan(cube).any():
+                        raise ValueError("a picture lacks lines or pixels")
+                    shape = (len(rows), cube.shape[2] - 2 * far)
+                    of = np.broadcast_to(place[rows][:, None], shape)
+                    taken = on[inner[rows][:, None] + np.arange(shape[1])] if mask else np.ones(shape, bool)
+                    for radius in PATTERN_RADII:
+                        keys, n = np.unique(of[taken] << 24 | _pattern_codes(cube, radius)[taken], return_counts=True)
+                        for form, codes in enumerate(_pattern_forms(keys & 0xFFFFFF, radius).values()):
+                            kinds, at = np.unique((keys >> 24) << 24 | codes, return_inverse=True)
+                            sums = np.bincount(at, n, len(kinds)).astype(np.int64)
+                            fixed = [pa.array(np.full(len(kinds), v, np.int32)) for v in (radius, form)]
+                            yield pa.RecordBatch.from_arrays(
+                                [ids.dictionary.take(pa.array(kinds >> 24)), *fixed, pa.array((kinds & 0xFFFFFF).astype(np.int32)), pa.array(sums)],
+                                names=schema.names,
+                            )
+
+    counted = near.select("image_id", "width", "v", *keep).mapInArrow(count, schema)
+    methods = F.array(*[F.lit(m) for m in PATTERN_METHODS])
     return (
-        counted.select("image_id", "radius", "n", F.inline(forms))
-        .groupBy("image_id", "radius", "method", "code")
+        counted.groupBy("image_id", "radius", "form", "code")
         .agg(F.sum("n").alias("n"))
+        .select("image_id", "radius", F.get(methods, F.col("form")).alias("method"), "code", "n")
     )
 
 
@@ -230,17 +274,18 @@ def _pattern_bin_count(most: int | None) -> Column:
 PATTERN = ("image_id", "radius", "method")
 
 
-def pattern_histogram(counts: DataFrame, most: int | None = None) -> DataFrame:
-    """Bin densities ``(…, bin, density, bins)`` of the codes, empty bins left out.
+def pattern_cells(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """The bins of `pattern_histogram` with what `pattern_statistics` sums over them.
 
-    Raw codes have a bin each; ``most`` (`SHORT_BINS` in the feature catalogue) merges them.
+    Raw codes are about as many as pixels, so one pass over the counts serves both.
     """
     span = counts.groupBy(*PATTERN).agg(
-        F.min("code").alias("lo"), F.max("code").alias("hi"), F.sum("n").alias("size")
+        F.min("code").alias("lo"), F.max("code").alias("hi"), F.sum("n").alias("size"),
+        (F.sum(F.col("n") * F.col("code")) / F.sum("n")).alias("mean"),
     )
     flat = F.col("lo") == F.col("hi")
     span = span.select(
-        *PATTERN, "size",
+        *PATTERN, "size", "mean",
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo").cast("double")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi").cast("double")).alias("hi"),
         _pattern_bin_count(most).alias("bins"),
@@ -250,28 +295,31 @@ def pattern_histogram(counts: DataFrame, most: int | None = None) -> DataFrame:
         F.floor((F.col("code") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1
     ).cast("int")
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    dev = F.col("code") - F.col("mean")
     return known.groupBy(*PATTERN, "bins", place.alias("bin")).agg(
-        (F.sum("n") / (F.first("size") * F.first(width))).alias("density")
+        (F.sum("n") / (F.first("size") * F.first(width))).alias("density"),
+        F.first("size").alias("size"), F.first("mean").alias("mean"), F.sum(F.col("n") * dev * dev).alias("spread"),
     )
 
 
+def pattern_histogram(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """Bin densities ``(…, bin, density, bins)`` of the codes, empty bins left out.
+
+    Raw codes have a bin each; ``most`` (`SHORT_BINS` in the feature catalogue) merges them.
+    """
+    return pattern_cells(counts, most).select(*PATTERN, "bins", "bin", "density")
+
+
 def pattern_statistics(counts: DataFrame, most: int | None = None) -> DataFrame:
     """Mean and spread of the codes and the entropy of their histogram."""
+    return statistics_of_cells(pattern_cells(counts, most))
+
+
+def statistics_of_cells(cells: DataFrame) -> DataFrame:
     h = F.col("density")
-    entropy = pattern_histogram(counts, most).groupBy(*PATTERN).agg(F.sum(-h * F.log2(h + 1e-10)).alias("entropy"))
-    mean = counts.groupBy(*PATTERN).agg(
-        F.sum("n").alias("size"), (F.sum(F.col("n") * F.col("code")) / F.sum("n")).alias("mean")
-    )
-    dev = F.col("code") - F.col("mean")
-    spread = (
-        counts.join(mean, list(PATTERN))
-        .groupBy(*PATTERN)
-        .agg(
-            F.first("mean").alias("mean"),
-            F.sqrt(F.sum(F.col("n") * dev * dev) / F.first("size")).alias("std"),
-        )
+    return cells.groupBy(*PATTERN).agg(
+        F.first("mean").alias("mean"), F.sqrt(F.sum("spread") / F.first("size")).alias("std"), F.sum(-h * F.log2(h + 1e-10)).alias("entropy"),
     )
-    return spread.join(entropy, list(PATTERN))
 
 
 # --- gradients -------------------------------------------------------------------------------
@@ -292,56 +340,53 @@ def outer(column: Sequence[float], line: Sequence[float]) -> list[list[float]]:
     return [[c * v for v in line] for c in column]
 
 
-def _derivatives(near: DataFrame, column: str, k: int, pairs: dict[str, tuple], keep: Sequence[str]) -> DataFrame:
-    """Vertical passes of separable derivative pairs over one neighbourhood of reach ``k``.
-
-    Adds ``<name>_s`` (smoothed lines, to be derived along x) and ``<name>_d``.
-    """
-    widen = lambda taps: (0.0,) * (k - len(taps) // 2) + tuple(taps) + (0.0,) * (k - len(taps) // 2)
-    length = F.col("width") + 2 * k
-    cols = []
-    for name, (deriv, smooth) in pairs.items():
-        cols.append(vertical_pass(F.col(column), widen(smooth), length).alias(f"{name}_s"))
-        cols.append(vertical_pass(F.col(column), widen(deriv), length).alias(f"{name}_d"))
-    return near.select("image_id", "y", "height", "width", column, *keep, *cols)
-
-
 def gradients(strips: DataFrame, column: str = "gray", mask: str | None = None) -> DataFrame:
     """Per pixel derivatives ``gx_*, gy_*`` for Sobel 3/5/7 and Scharr, and ``laplace``.
 
     All operators share one neighbourhood of three lines above and below, so the
-    picture is shuffled once.
+    picture is shuffled once. Neighbourhoods cross to numpy in Arrow batches, as a loop
+    over array expressions is interpreted pixel by pixel.
     """
     k = 3
     keep = [mask] if mask else []
     pairs = {f"k{size}": taps for size, taps in SOBEL.items()} | {"scharr": SCHARR}
-    near = with_neighbours(strips, [column], k, k, keep=keep)
-    tall = _derivatives(near, column, k, pairs, keep)
-    names = [f"{n}_{p}" for n in pairs for p in "sd"]
-    px = tall.select(
-        "image_id", "y", column, *keep, *names, F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x")
-    )
-    if mask:
-        px = px.where(F.col(mask)[F.col("x")])
-    snap = lambda g: F.when(F.abs(g) < NOISE, F.lit(0.0)).otherwise(g)
-    along = lambda line, taps: weighted(
-        [(w, F.get(F.col(line), F.col("x") + (k - len(taps) // 2 + i))) for i, w in enumerate(taps)]
-    )
-    cols = []
-    for name, (deriv, smooth) in pairs.items():
-        cols.append((f"gx_{name}", along(f"{name}_s", deriv)))
-        cols.append((f"gy_{name}", along(f"{name}_d", smooth)))
-    # Sums of the same terms in another order differ in the last digits only; without a
-    # noise floor the direction of a flat spot would be that of its rounding errors.
-    cols = [snap(c).alias(n) for n, c in cols]
-    laplace = weighted(
-        [
-            (w, F.get(F.get(F.col(column), F.lit(k + j - 1)), F.col("x") + (k + i - 1)))
-            for j, row in enumerate(LAPLACE)
-            for i, w in enumerate(row)
-        ]
-    )
-    return px.select("image_id", "y", "x", *cols, laplace.alias("laplace"))
+    near = with_neighbours(strips, [column], k, k, keep=keep).select("image_id", "y", "width", column, *keep)
+    names = [f"g{axis}_{name}" for name in pairs for axis in "xy"]
+    fields = near.schema
+    schema = T.StructType([fields["image_id"], fields["y"], T.StructField("x", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in (*names, "laplace")]])
+
+    def derive(cube: np.ndarray) -> list[np.ndarray]:
+        w = cube.shape[2] - 2 * k
+        down = lambda taps: _total([(t, cube[:, k - len(taps) // 2 + j]) for j, t in enumerate(taps)])
+        along = lambda line, taps: _total([(t, line[:, k - len(taps) // 2 + i :][:, :w]) for i, t in enumerate(taps)])
+        out = []
+        for deriv, smooth in pairs.values():
+            out += [along(down(smooth), deriv), along(down(deriv), smooth)]
+        # Sums of the same terms in another order differ in the last digits only; without a
+        # noise floor the direction of a flat spot would be that of its rounding errors.
+        for values in out:
+            values[np.abs(values) < NOISE] = 0.0
+        taps = [(t, cube[:, k + j - 1, k + i - 1 : k + i - 1 + w]) for j, row in enumerate(LAPLACE) for i, t in enumerate(row)]
+        return [*out, _total(taps)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                ids, y, wide = one.column("image_id"), one.column("y").to_numpy(), one.column("width").to_numpy().astype(np.int64)
+                if mask:
+                    inner = np.concatenate([[0], np.cumsum(_lengths(one.column(mask)))])
+                    on = pc.fill_null(one.column(mask).flatten(), False).to_numpy(zero_copy_only=False)
+                for rows, cube in _cubes(one.column(column), wide, k):
+                    w = cube.shape[2] - 2 * k
+                    x = np.arange(w)
+                    taken = on[inner[rows][:, None] + x] if mask else np.ones((len(rows), w), bool)
+                    line, x = np.nonzero(taken)
+                    values = [pa.array(v[taken], from_pandas=True) for v in derive(cube)]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(rows[line])), pa.array(y[rows[line]]), pa.array(x.astype(np.int32)), *values], names=schema.names
+                    )
+
+    return near.mapInArrow(work, schema)
 
 
 def gradient_statistics(grads: DataFrame) -> DataFrame:
@@ -407,88 +452,114 @@ def high_pass(low: Sequence[float]) -> list[float]:
     return [(-1.0) ** (k + 1) * low[n - 1 - k] for k in range(n)]
 
 
-def _mirror_half(pos: Column, size: Column) -> Column:
+def _mirror_half(pos: np.ndarray, size: int) -> np.ndarray:
     """Symmetric extension that repeats the border sample, any number of times."""
-    turn = F.pmod(pos, size * 2)
-    return F.when(turn < size, turn).otherwise(size * 2 - 1 - turn).cast("int")
+    turn = pos % (size * 2)
+    return np.where(turn < size, turn, size * 2 - 1 - turn)
+
+
+def _filter_across(one: pa.RecordBatch, column: str, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Some lines filtered along x, one row for each output line that needs them."""
+    family = np.asarray(one.column("family").to_pylist())
+    y, height, wide = (one.column(c).to_numpy().astype(np.int64) for c in ("y", "height", "width"))
+    lengths = _lengths(one.column(column))
+    start = np.cumsum(lengths) - lengths
+    flat = np.append(_flat(one.column(column)), np.nan)
+    for f, low in LOW_PASS.items():
+        n, high = len(low), high_pass(low)
+        for w in np.unique(wide[family == f]):
+            rows = np.flatnonzero((family == f) & (wide == w))
+            k = np.arange((w + n - 1) // 2)
+            at = start[rows][:, None] + np.arange(w)
+            line = flat[np.where(np.arange(w) < lengths[rows][:, None], at, len(flat) - 1)]
+            under = [line[:, _mirror_half(k * 2 + 1 - j, w)] for j in range(n)]
+            a, d = (sum((t * v for t, v in zip(taps, under)), 0.0) for taps in (low, high))
+            # Which output lines need a line, and with which tap: the mirrored copies of the
+            # line number, then every tap of matching parity.
+            h = height[rows]
+            for copy in [v + h * (2 * m) for m in range(-3, 4) for v in (y[rows], -y[rows] - 1)]:
+                for j in range(n):
+                    to = (copy + j - 1) // 2
+                    sent = np.flatnonzero((copy > -n) & (copy < h + n) & ((copy + j - 1) % 2 == 0) & (to >= 0) & (to < (h + n - 1) // 2))
+                    if len(sent):
+                        of = pa.array(rows[sent])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *[one.column(c).take(of) for c in ("image_id", "family", "height", "width")],
+                                pa.array(to[sent].astype(np.int32)), pa.array(np.full(len(sent), j, np.int32)),
+                                *[_lists(v[sent].ravel(), np.full(len(sent), len(k)), pa.nulls(0)) for v in (a, d)],
+                            ],
+                            names=names,
+                        )
+
+
+def _filter_down(one: pa.RecordBatch, names: Sequence[str]) -> pa.RecordBatch:
+    """The four bands of some output lines from the filtered lines under them."""
+    family = np.asarray(one.column("family").to_pylist())
+    height, width = (one.column(c).to_numpy().astype(np.int64) for c in ("height", "width"))
+    taps = np.array([len(LOW_PASS[f]) for f in family], dtype=np.int64)
+    out_h, out_w = (height + taps - 1) // 2, (width + taps - 1) // 2
+    under = one.column("under").flatten()
+    row = np.repeat(np.arange(one.num_rows), _lengths(one.column("under")))
+    tap = np.asarray(under.field(0))
+    flat = [_flat(under.field(i)) for i in (1, 2)]
+    lengths = _lengths(under.field(1))
+    start = np.cumsum(lengths) - lengths
+    ends = np.cumsum(out_w)
+    bands = np.empty((4, int(out_w.sum())))
+    for f, low in LOW_PASS.items():
+        high = high_pass(low)
+        for w in np.unique(out_w[family == f]):
+            rows = np.flatnonzero((family == f) & (out_w == w))
+            back = np.full(one.num_rows, -1)
+            back[rows] = np.arange(len(rows))
+            mine = np.flatnonzero(back[row] >= 0)
+            cubes = []
+            for values in flat:
+                # Lines that a picture lacks count as none.
+                cube = np.zeros((len(low), len(rows), w))
+                cube[tap[mine], back[row[mine]]] = values[start[mine][:, None] + np.arange(w)]
+                cubes.append(cube)
+            place = (ends - out_w)[rows][:, None] + np.arange(w)
+            for band, (cube, by) in enumerate([(cubes[0], low), (cubes[0], high), (cubes[1], low), (cubes[1], high)]):
+                bands[band][place] = sum((t * v for t, v in zip(by, cube)), 0.0)
+    return pa.RecordBatch.from_arrays(
+        [
+            *[one.column(c) for c in ("image_id", "family", "y")], pa.array(out_h.astype(np.int32)), pa.array(out_w.astype(np.int32)),
+            *[_lists(v, out_w, pa.nulls(0)) for v in bands],
+        ],
+        names=names,
+    )
 
 
 def wavelet_step(strips: DataFrame, column: str) -> DataFrame:
     """One 2-D step for every family: strips with ``aa, da, ad, dd`` of half the size.
 
     The first letter is the vertical filter. ``strips`` needs ``family``; lines under
-    one output line are at most as many as the filter is long.
+    one output line are at most as many as the filter is long. Lines are filtered in
+    numpy, in Arrow batches, as nested array expressions are interpreted value by value.
     """
-    taps_of = lambda pick: F.coalesce(
-        *[
-            F.when(F.col("family") == f, F.array(*[F.lit(v) for v in pick(low)]))
-            for f, low in LOW_PASS.items()
-        ]
-    )
-    work = strips.withColumn("lo", taps_of(list)).withColumn("hi", taps_of(high_pass))
-    work = work.withColumn("taps", F.size("lo"))
-    out_w = F.floor((F.col("width") + F.col("taps") - 1) / 2).cast("int")
-    out_h = F.floor((F.col("height") + F.col("taps") - 1) / 2).cast("int")
-
-    def across(filter_name: str) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), out_w - 1),
-            lambda k: F.aggregate(
-                F.transform(
-                    filter_name,
-                    lambda w, j: w * F.get(F.col(column), _mirror_half(k * 2 + 1 - j, F.col("width"))),
-                ),
-                F.lit(0.0),
-                lambda acc, v: acc + v,
-            ),
-        )
-
-    # Which output lines need this line, and with which tap: the mirrored copies of the
-    # line number, then every tap of matching parity.
-    y, h, n = F.col("y"), F.col("height"), F.col("taps")
-    images_of = [v + h * (2 * m) for m in range(-3, 4) for v in (y, -y - 1)]
-    copies = F.filter(F.array(*images_of), lambda v: (v > -n) & (v < h + n))
-    targets = F.flatten(
-        F.transform(
-            copies,
-            lambda v: F.filter(
-                F.transform(
-                    F.sequence(F.lit(0), n - 1),
-                    lambda j: F.struct(((v + j - 1) / 2).alias("k"), j.alias("j")),
-                ),
-                lambda t: (t["k"] == F.floor(t["k"])) & (t["k"] >= 0) & (t["k"] < out_h),
-            ),
-        )
-    )
-    half = work.select(
-        "image_id", "family", "y", "height", "width", "lo", "hi", "taps",
-        across("lo").alias("a"), across("hi").alias("d"), targets.alias("targets"),
-    )
-    sent = half.select(
-        "image_id", "family", "height", "width", "lo", "hi", "taps", "a", "d", F.explode("targets").alias("t")
-    )
-    lines = sent.groupBy("image_id", "family", F.col("t.k").cast("int").alias("y")).agg(
-        F.first("height").alias("height"),
-        F.first("width").alias("width"),
-        F.first("lo").alias("lo"),
-        F.first("hi").alias("hi"),
-        F.first("taps").alias("taps"),
-        F.array_sort(F.collect_list(F.struct(F.col("t.j").alias("j"), "a", "d"))).alias("under"),
-    )
-
-    def down(filter_name: str, part: str) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), out_w - 1),
-            lambda x: F.aggregate(
-                "under", F.lit(0.0), lambda acc, s: acc + F.get(F.col(filter_name), s["j"]) * F.get(s[part], x)
-            ),
-        )
-
-    return lines.select(
-        "image_id", "family", "y", out_h.alias("height"), out_w.alias("width"),
-        down("lo", "a").alias("aa"), down("hi", "a").alias("da"),
-        down("lo", "d").alias("ad"), down("hi", "d").alias("dd"),
-    )
+    id_type = strips.schema["image_id"].dataType.simpleString()
+    head = f"image_id {id_type}, family string"
+    sent_names = ["image_id", "family", "height", "width", "y", "j", "a", "d"]
+    done_names = ["image_id", "family", "y", "height", "width", "aa", "da", "ad", "dd"]
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in _slices([batch], column):
+                yield from _filter_across(one, column, sent_names)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                yield _filter_down(batch.slice(i, 512), done_names)
+
+    sent = strips.select(*raster.KEYS, "family", column).mapInArrow(across, f"{head}, height int, width int, y int, j int, a array<double>, d array<double>")
+    lines = sent.groupBy("image_id", "family", "y").agg(
+        F.first("height").alias("height"), F.first("width").alias("width"),
+        F.collect_list(F.struct("j", "a", "d")).alias("under"),
+    )
+    return lines.mapInArrow(down, f"{head}, y int, height int, width int, aa array<double>, da array<double>, ad array<double>, dd array<double>")
 
 
 def wavelet_coefficients(strips: DataFrame, column: str = "gray", levels: int = 3) -> DataFrame:
