@@ -3,6 +3,10 @@
 A run is ``image_id, y, x0, x1, run``; ``run`` is the number of its first pixel in
 reading order, so it is unique in the image and the smallest run of a region is the
 region's first pixel.
+
+Runs are written in a small part of the bytes they take in memory, most of all where pictures
+are known by long names. The hints on joins of runs and pieces keep them off the driver: the
+planner would broadcast what is small as a file.
 """
 
 from __future__ import annotations
@@ -138,7 +142,7 @@ def connected_runs(runs: DataFrame, value: Column, reach: Column) -> DataFrame:
     # Many small blocks go through one call: a call for each would cost more than its work.
     sorted_ = work.select("image_id", "_block", "y", "x0", "x1", "run", "_value", "_reach").repartition("image_id", "_block").sortWithinPartitions("image_id", "_block", "y", "x0")
     local = cut(sorted_.mapInPandas(_link_in_blocks, f"image_id {id_type}, run bigint, local bigint"))
-    labelled = work.join(local, ["image_id", "run"])
+    labelled = work.join(local.hint("merge"), ["image_id", "run"])
     edge = labelled.where((F.col("y") % _BLOCK == 0) | ((F.col("y") + 1) % _BLOCK == 0))
     met = _line_overlaps(edge, 1, ("_value", "_reach", "local", "_block"))
     close = (F.col("x0") <= F.col("up_x1") + F.col("_reach")) & (F.col("x1") >= F.col("up_x0") - F.col("_reach"))
@@ -147,13 +151,13 @@ def connected_runs(runs: DataFrame, value: Column, reach: Column) -> DataFrame:
         .select("image_id", F.col("up_local").alias("src"), F.col("local").alias("dst"))
         .distinct()
     )
-    out = runs.join(local, ["image_id", "run"])
+    out = runs.join(local.hint("merge"), ["image_id", "run"])
     if crossing.isEmpty():
         return out.withColumnRenamed("local", "piece")
     ends = crossing.select("image_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     merged = connected_components(ends, crossing)
     merged = merged.select("image_id", F.col("node").alias("local"), F.col("component").alias("merged"))
-    return out.join(merged, ["image_id", "local"], "left").withColumn("piece", F.coalesce("merged", "local")).drop("local", "merged")
+    return out.join(merged.hint("merge"), ["image_id", "local"], "left").withColumn("piece", F.coalesce("merged", "local")).drop("local", "merged")
 
 
 def shared_borders(runs: DataFrame, label: str) -> DataFrame:
@@ -184,21 +188,18 @@ def filled_regions(strips: DataFrame, mask: str = "dark") -> DataFrame:
     link outwards ends at the region that encloses it. Outside pieces that touch the
     picture's border enclose nothing.
     """
-    runs = cut(
-        value_runs(strips, mask)
-        .withColumnRenamed(mask, "inside")
-        .join(strips.groupBy("image_id").agg(F.max("y").alias("last_y"), (F.max("width") - 1).alias("last_x")), "image_id")
-    )
+    ends = strips.groupBy("image_id").agg(F.max("y").alias("last_y"), (F.max("width") - 1).alias("last_x"))
+    runs = cut(value_runs(strips, mask).withColumnRenamed(mask, "inside").join(ends.hint("merge"), "image_id"))
     side = F.col("inside").cast("int")
     runs = cut(connected_runs(runs, side, side))
     edge = (F.col("y") == 0) | (F.col("y") == F.col("last_y")) | (F.col("x0") == 0) | (F.col("x1") == F.col("last_x"))
     open_ = runs.groupBy("image_id", "piece").agg((F.max(edge) & ~F.max("inside")).alias("open"))
     first = runs.where("run = piece").select("image_id", "piece", "y", (F.col("x0") - 1).alias("x1"))
     left = runs.select("image_id", "y", "x1", F.col("piece").alias("around"))
-    nested = first.join(left, ["image_id", "y", "x1"], "left").join(open_, ["image_id", "piece"])
+    nested = first.join(left.hint("merge"), ["image_id", "y", "x1"], "left").join(open_.hint("merge"), ["image_id", "piece"])
     around_open = open_.select("image_id", F.col("piece").alias("around"), F.col("open").alias("around_open"))
     nested = cut(
-        nested.join(around_open, ["image_id", "around"], "left")
+        nested.join(around_open.hint("merge"), ["image_id", "around"], "left")
         .where("NOT open")
         .select("image_id", "piece", F.when(~F.coalesce("around_open", F.lit(True)), F.col("around")).alias("around"))
     )
@@ -207,11 +208,11 @@ def filled_regions(strips: DataFrame, mask: str = "dark") -> DataFrame:
         nested.where("around IS NOT NULL").select("image_id", F.col("around").alias("src"), F.col("piece").alias("dst")),
     )
     tree = trees.select("image_id", F.col("node").alias("piece"), F.col("component").alias("tree"))
-    root = nested.where("around IS NULL").join(tree, ["image_id", "piece"]).select(
+    root = nested.where("around IS NULL").join(tree.hint("merge"), ["image_id", "piece"]).select(
         "image_id", "tree", F.col("piece").alias("region")
     )
-    whole = tree.join(root, ["image_id", "tree"]).select("image_id", "piece", "region")
-    return runs.join(whole, ["image_id", "piece"]).select("image_id", "y", "x0", "x1", "region")
+    whole = tree.join(root.hint("merge"), ["image_id", "tree"]).select("image_id", "piece", "region")
+    return runs.join(whole.hint("merge"), ["image_id", "piece"]).select("image_id", "y", "x0", "x1", "region")
 
 
 def region_areas(runs: DataFrame) -> DataFrame:

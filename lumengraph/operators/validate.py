@@ -88,9 +88,12 @@ def otsu_threshold(strips: DataFrame, column: str = "gray") -> DataFrame:
 
 
 def dark_mask(strips: DataFrame) -> DataFrame:
-    """Strips with ``dark``: blurred gray not above the threshold."""
+    """Strips with ``dark``: blurred gray not above the threshold.
+
+    The hint keeps the lines off the driver, as in ``colour_variation``.
+    """
     gray = cut(blurred_gray(strips))
-    return gray.join(otsu_threshold(gray), "image_id").withColumn(
+    return gray.join(otsu_threshold(gray).hint("merge"), "image_id").withColumn(
         "dark", F.transform("gray", lambda v: v <= F.col("threshold"))
     )
 
